@@ -87,7 +87,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node that each node of an edge list reaches.
 
     Alternates large-star and small-star steps; each round ends in a reliable checkpoint, and only a count and a
-    hash of the edges come to the driver. Nodes without an edge have no row.
+    hash of the edges come to the driver. Labels themselves, and nodes without an edge, have no row.
     """
 
     def star(pairs: DataFrame, larger: bool) -> DataFrame:
