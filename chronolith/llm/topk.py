@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import checkpointed, shuffle_partitions
+from chronolith.llm.common import checkpointed
 
 #: Rows of a block, and queries of one.
-ROWS, QUERIES = 4096, 1024
+ROWS, QUERIES = 2048, 1024
 
 
 def valid(vectors: DataFrame, scale: float | None = None) -> DataFrame:
@@ -77,6 +77,21 @@ def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
     return rows.mapInArrow(run, f"{name} long, dim int, ids binary, matrix binary")
 
 
+def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """The rows in blocks, spread over as many partitions as there are full blocks; checkpointed."""
+    return checkpointed(blocks(rows.repartition(max(1, -(-rows.count() // size))), size, name))
+
+
+def meet(data: DataFrame, asked: DataFrame) -> DataFrame:
+    """A row for each block of rows and block of queries of one dimension: their numbers first, then their contents.
+
+    A stated set of queries against all rows, in blocks: the join is on the dimension and then on block numbers.
+    """
+    pairs = data.select("block", "dim").join(asked.select("asked", "dim"), "dim")
+    queries = asked.select("asked", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+    return pairs.join(queries, "asked").join(data.drop("dim"), "block")
+
+
 def matrix(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     own = np.frombuffer(ids, np.int64)
     return own, np.frombuffer(data, np.float64).reshape(len(own), -1)
@@ -107,15 +122,9 @@ def top_k(vectors: DataFrame, queries, k: int = 20, scale: float = 64, slices: i
     another dimension neither; with fewer candidates than k all are returned; ties go to the smaller vec_id; rows
     that are repeated with the same vec_id count as often as they occur. Null ids and invalid vectors take no part.
     """
-    spark = vectors.sparkSession
     rows = valid(vectors, scale)
-    data = checkpointed(blocks(rows.repartition(shuffle_partitions(spark), "vec_id"), ROWS, "block"))
-    asked = checkpointed(blocks(rows.filter(queries).dropDuplicates(["vec_id"]).repartition(shuffle_partitions(spark), "vec_id").coalesce(max(1, shuffle_partitions(spark) // 12)), QUERIES, "asked"))
-    tasks = (
-        data.select("block", "dim")
-        .join(asked.select("asked", "dim"), "dim")
-        .join(asked.select("asked", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")), "asked")
-    )
+    data = packed(rows, ROWS, "block")
+    asked = packed(rows.filter(queries).dropDuplicates(["vec_id"]), QUERIES, "asked")
 
     def cut(dim):
         edges = np.linspace(0, dim, min(slices, dim) + 1).astype(int)
@@ -163,7 +172,7 @@ def top_k(vectors: DataFrame, queries, k: int = 20, scale: float = 64, slices: i
                 yield rows_of(out)
 
     found = "query_id long, vec_id long, score long"
-    met = tasks.join(data.drop("dim"), "block").select("block", "asked", "dim", "ids", "matrix", "q_ids", "q_matrix")
+    met = meet(data, asked)
     first = met.mapInArrow(gather, found)
     # a query that has k listed totals gets a cutoff: the k-th best; the others take every row of theirs
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"))))
