@@ -35,26 +35,52 @@ def kind(value):
     )
 
 
-def levels(calls: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
-    """(conv_id, call_id, level): calls without unmet dependencies have level 0, the others one more than the highest
-    they depend on; calls in or behind a cycle have no row.
+def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level): calls without dependencies have level 0, the others one more than the highest they
+    depend on; calls in or behind a cycle have no row.
 
-    ``edges`` (conv_id, call_id, dep) join calls that exist. Each round takes the calls that are free off the rest
-    and ends in a checkpoint; there are as many rounds as levels.
+    ``edges`` (conv_id, call_id, dep) join calls that exist. Calls with one dependency first jump along their chains,
+    twice as far in each round, to a call with none or several; then those with several are settled in the order of
+    their depth among themselves. Chains of any length thus take a number of rounds that grows with its logarithm.
     """
     key = ["conv_id", "call_id"]
-    waiting = checkpointed(edges.select("conv_id", "call_id", "dep").distinct())
-    out, level = calls.select(*key).join(waiting.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0)), 0
-    free = out.select(*key)
-    while level < most and not waiting.isEmpty():
-        met = free.select("conv_id", F.col("call_id").alias("dep"))
-        rest = checkpointed(waiting.join(met, ["conv_id", "dep"], "left_anti"))
-        free = checkpointed(waiting.select(*key).distinct().join(rest.select(*key).distinct(), key, "left_anti"))
-        if free.isEmpty():
+    edges = checkpointed(edges.select("conv_id", "call_id", "dep").distinct())
+    n = edges.groupBy(*key).agg(F.count("*").alias("n"))
+    single = edges.join(n.filter("n = 1"), key, "left_semi")
+    several = edges.join(n.filter("n > 1"), key, "left_semi")
+    roots = calls.select(*key).distinct().join(edges.select(*key), key, "left_anti").withColumn("level", F.lit(0).cast("long"))
+
+    inner = single.select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("inner"))
+    state = single.join(inner, ["conv_id", "dep"], "left").select(
+        *key, F.col("dep").alias("to"), F.lit(1).cast("long").alias("steps"), F.col("inner").isNull().alias("done")
+    )
+    state, before = checkpointed(state), -1
+    while (open_ := state.filter("not done").count()) not in (0, before):
+        on = state.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"), F.col("done").alias("end"))
+        moved = state.filter("not done").join(on, ["conv_id", "to"]).select(*key, F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.col("end").alias("done"))
+        state, before = checkpointed(state.filter("done").unionByName(moved)), open_
+    ends = state.filter("done").drop("done")
+
+    # calls with several dependencies, each replaced by the end of its chain and the steps to it; cycles never settle
+    known = ends.select("conv_id", F.col("call_id").alias("dep"), "to", "steps")
+    chained = single.select("conv_id", F.col("call_id").alias("dep")).distinct().withColumn("chained", F.lit(True))
+    waiting = several.join(known, ["conv_id", "dep"], "left").join(chained, ["conv_id", "dep"], "left")
+    waiting = checkpointed(waiting.select(*key, F.when(F.col("chained") & F.col("to").isNull(), None).otherwise(F.coalesce("to", "dep")).alias("to"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")))
+    settled, front, values = roots, roots, None
+    while not waiting.isEmpty():
+        met = front.select("conv_id", F.col("call_id").alias("to"), "level")
+        hit = waiting.join(met, ["conv_id", "to"]).select(*key, (F.col("level") + F.col("steps")).alias("value"))
+        values = checkpointed(hit if values is None else values.unionByName(hit))
+        waiting = checkpointed(waiting.join(met, ["conv_id", "to"], "left_anti"))
+        ready = values.join(waiting.select(*key), key, "left_anti")
+        front = checkpointed(ready.groupBy(*key).agg(F.max("value").alias("level")))
+        if front.isEmpty():
             break
-        waiting, level = rest, level + 1
-        out = out.unionByName(free.withColumn("level", F.lit(level)))
-    return out
+        values = values.join(front.select(*key), key, "left_anti")
+        settled = settled.unionByName(front)
+    heads = settled.select("conv_id", F.col("call_id").alias("to"), "level")
+    along = ends.join(heads, ["conv_id", "to"]).select(*key, (F.col("level") + F.col("steps")).alias("level"))
+    return settled.unionByName(along).withColumn("level", F.col("level").cast("int"))
 
 
 def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
@@ -80,10 +106,11 @@ def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
     got = got.agg(F.min(F.struct("turn", "content"))["content"].alias("result"), F.count("*").alias("n_results"))
     linked = own.join(got, ["conv_key", "call_key"], "left")
 
-    named = own.select(F.col("conv_key").alias("conv_id"), F.col("call_key").alias("call_id"), F.explode(F.array_distinct("after")).alias("dep"))
-    known = own.select(F.col("conv_key").alias("conv_id"), F.col("call_key").alias("dep"))
+    keys = checkpointed(own.select("conv_key", "call_key", "after"))
+    named = keys.select(F.col("conv_key").alias("conv_id"), F.col("call_key").alias("call_id"), F.explode(F.array_distinct("after")).alias("dep"))
+    known = keys.select(F.col("conv_key").alias("conv_id"), F.col("call_key").alias("dep"))
     edges, stray = named.join(known, ["conv_id", "dep"], "left_semi"), named.join(known, ["conv_id", "dep"], "left_anti")
-    placed = levels(own.select(F.col("conv_key").alias("conv_id"), F.col("call_key").alias("call_id")), edges)
+    placed = levels(keys.select(F.col("conv_key").alias("conv_id"), F.col("call_key").alias("call_id")), edges)
     strays = stray.groupBy("conv_id", "call_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("unknown_call:"), "dep"))).alias("strays"))
     for side in (placed, strays):
         linked = linked.join(side.withColumnsRenamed({"conv_id": "conv_key", "call_id": "call_key"}), ["conv_key", "call_key"], "left")

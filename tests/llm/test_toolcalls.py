@@ -44,6 +44,12 @@ def test_long_chain_and_empty(spark):
     calls = [(7, i, f"c{i}", "none", "{}", [f"c{i - 1}"] if i else None) for i in range(12)]
     got, _ = run(spark, calls, [])
     assert [got[7, f"c{i}"].level for i in range(12)] == list(range(12))
+    fan = [(8, i, f"n{i}", "none", "{}", [f"n{j}" for j in range(max(0, i - 3), i)]) for i in range(9)]
+    fan += [(8, 20 + i, f"t{i}", "none", "{}", [f"t{i - 1}" if i else "n8"]) for i in range(5)] + [(8, 30, "w", "none", "{}", ["t4", "n0", "t2"])]
+    fan += [(8, 40, "k", "none", "{}", ["k"]), (8, 41, "l", "none", "{}", ["k", "n0"]), (8, 42, "m", "none", "{}", ["l"])]
+    got, _ = run(spark, fan, [])
+    assert [got[8, f"n{i}"].level for i in range(9)] == list(range(9)) and got[8, "t4"].level == 13 and got[8, "w"].level == 14
+    assert [got[8, x].level for x in "klm"] == [None] * 3
     got, orphan = run(spark, [], [])
     assert got == {} and orphan.count() == 0
 
