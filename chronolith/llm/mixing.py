@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import WORD
+from chronolith.llm.common import WORD, checkpointed
 
 #: Words of a block, slots of an output shard, and documents (about) that are laid end to end in one task.
 BLOCK, SHARD, LAID = 64, 1 << 16, 20_000
+#: Sources up to which their table (a few numbers each) is broadcast.
+MOST_SOURCES = 100_000
 
 
 def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -76,10 +78,13 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
 def laid(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: int = 11, carry: tuple[str, ...] = ()):
     """Documents at their places in their sources, and the sources.
 
-    Returns (rows, sources): rows are doc_id, text, source, size, s (the source's number), source_size, target ``carry``
-    and start (words before it in the source); sources are (s, blocks, slots owed).
+    Returns (rows, sources): rows are doc_id, source, ``carry``, size, s (the source's number), source_size, target
+    and start (words before it in the source); sources are (s, blocks, slots owed). Texts are read once for their
+    sizes, which go on through a checkpoint; texts go on only if they are carried.
     """
-    rows = docs.select("doc_id", "text", "source", *carry, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    rows = docs.select("doc_id", "source", *carry, size, F.xxhash64("text").alias("t"))
+    rows = rows if carry else checkpointed(rows)
     totals = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
     totals.sort(key=lambda r: (r.source is None, r.source or ""))
     sizes = [r.words for r in totals]
@@ -87,20 +92,21 @@ def laid(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     spark = docs.sparkSession
     named = [(i, r.source, r.words, goal[i], max(1, -(-r.n // LAID))) for i, r in enumerate(totals)]
     known = spark.createDataFrame(named, "s int, name string, source_size long, target double, parts int")
+    known = F.broadcast(known) if len(named) <= MOST_SOURCES else known
     rows = rows.join(known, F.col("source").eqNullSafe(F.col("name"))).drop("name")
     # the order inside a source: by a hash cut into parts, so that no task lays out a whole large source
     rows = rows.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("part", F.pmod("h", F.col("parts")).cast("int"))
     parts = rows.groupBy("s", "part").agg(F.sum("size").alias("own"))
     before = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("s", "part", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("s", "part").orderBy("h", "doc_id", "size", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("s", "part").orderBy("h", "doc_id", "size", "t").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(parts, ["s", "part"]).withColumn("start", F.col("base") + F.col("inside"))
     sources = []
     for i, words in enumerate(sizes):
         blocks = -(-words // block)
         sources.append((i, blocks, round(goal[i] * blocks / words) if words else 0))
-    return rows.select("doc_id", "text", "source", *carry, "size", "s", "source_size", "target", "start"), sources
+    return rows.select("doc_id", "source", *carry, "size", "s", "source_size", "target", "start"), sources
 
 
 def slots(spark, sources, seed: int = 11) -> DataFrame:
@@ -147,7 +153,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """
     rows, sources = laid(docs, **options)
     block = options.get("block", BLOCK)
-    got = pieces(rows, block).join(slots(docs.sparkSession, sources, options.get("seed", 11)), ["s", "block"])
+    got = pieces(rows, block).join(slots(docs.sparkSession, sources, options.get("seed", 11)).hint("merge"), ["s", "block"])
     taken = got.groupBy("s", "start").agg(F.sum((F.col("high") - F.col("low")) * F.col("taken")).alias("taken"))
     full = rows.filter("size > 0").join(taken, ["s", "start"], "left")
     empty = rows.filter("size = 0").withColumn("taken", F.lit(None).cast("long"))
@@ -162,8 +168,8 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 11) -> Data
     Columns doc_id, text, lang, source, n_chars. A document of which a pass takes all words keeps its text unchanged;
     otherwise its text is the taken words joined by one space. Documents of no words are not taken.
     """
-    rows, sources = laid(docs, block=block, seed=seed, carry=("lang",))
-    got = pieces(rows, block).join(slots(docs.sparkSession, sources, seed), ["s", "block"])
+    rows, sources = laid(docs, block=block, seed=seed, carry=("text", "lang"))
+    got = pieces(rows, block).join(slots(docs.sparkSession, sources, seed).hint("merge"), ["s", "block"])
     passes = got.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("taken").cast("int"))))
     spans = passes.groupBy("s", "start", "turn").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("spans"), F.sum(F.col("high") - F.col("low")).alias("words"))
     joined = rows.filter("size > 0").join(spans, ["s", "start"])
