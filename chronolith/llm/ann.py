@@ -7,9 +7,10 @@ that can matter are reranked exactly, in two rounds:
 
 1. each block reranks the few rows with the highest table scores; the k-th best exact cosine over all blocks is the
    query's bar (a cosine that k rows reach);
-2. each block reranks every row whose table score comes within ``slack`` standard deviations of the quantisation
-   error of the bar. The deviation is the row's own, from its stored norm: sqrt((1 - |x'|^2) / dimension). Groups of
-   copies of any size are thus all reranked where they lie near the bar; there is no cap on candidates.
+2. each block reranks these again with every row whose table score comes within ``slack`` standard deviations of the
+   bar. Beside the norm |x'| of its reconstruction a row keeps its cosine a with it: the score <q, x'> / |x'| * a
+   estimates the cosine with the query, with deviation sqrt((1 - a^2) / dimension). Groups of copies of any size are
+   thus all reranked where they lie near the bar; there is no cap on candidates.
 """
 
 from __future__ import annotations
@@ -23,30 +24,30 @@ from chronolith.llm.common import checkpointed
 from chronolith.llm.topk import QUERIES, ROWS, best, matrix, meet, members, packed, valid
 
 #: Bounds of the fit: rows of the sample, rounds of k-means for a codebook.
-SAMPLE, ROUNDS = 4096, 8
+SAMPLE, ROUNDS = 8192, 12
 
 
 def fit(sample: np.ndarray, books: int = 8, words: int = 128, seed: int = 7) -> np.ndarray:
     """Codebooks (books, words, dimension) fitted one after another to what the earlier ones leave."""
     rng, rest, out = np.random.default_rng(seed), sample.copy(), []
     for _ in range(books):
-        centres = rest[rng.integers(0, len(rest), words)].copy()
-        for _ in range(ROUNDS):
-            near = np.argmax(rest @ centres.T - (centres**2).sum(1) / 2, axis=1)
+        near = rng.permutation(len(rest)) % words  # centres start as means: single rows would keep themselves alone
+        for turn in range(ROUNDS):
+            if turn:
+                near = np.argmax(rest @ centres.T - (centres**2).sum(1) / 2, axis=1)
             counts = np.bincount(near, minlength=words)
-            sums = np.zeros_like(centres)
+            sums = np.zeros((words, rest.shape[1]))
             np.add.at(sums, near, rest)
-            used = counts > 0
-            centres[used] = sums[used] / counts[used, None]
-            centres[~used] = rest[rng.integers(0, len(rest), int((~used).sum()))]
+            centres = sums / np.maximum(counts, 1)[:, None]
         near = np.argmax(rest @ centres.T - (centres**2).sum(1) / 2, axis=1)
         rest -= centres[near]
         out.append(centres)
     return np.stack(out)
 
 
-def encode(x: np.ndarray, codebooks: np.ndarray, beam: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (n, books) of the best reconstruction that a beam search finds, and the reconstructions' norms."""
+def encode(x: np.ndarray, codebooks: np.ndarray, beam: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes (n, books) of the best reconstruction that a beam search finds, the reconstructions' norms, and their
+    cosines with the rows (of length one)."""
     n, dim = x.shape
     codes, rest = np.zeros((n, 1, 0), np.uint8), x[:, None, :]
     for book in codebooks:
@@ -61,7 +62,9 @@ def encode(x: np.ndarray, codebooks: np.ndarray, beam: int = 4) -> tuple[np.ndar
         codes = np.concatenate((np.take_along_axis(codes, parent[:, :, None], 1), word[:, :, None].astype(np.uint8)), 2)
     first = np.argmin((rest**2).sum(2), axis=1)
     pick = np.arange(n)
-    return codes[pick, first], np.sqrt(((x - rest[pick, first]) ** 2).sum(1))
+    rebuilt = x - rest[pick, first]
+    norms = np.maximum(np.sqrt((rebuilt**2).sum(1)), 1e-12)
+    return codes[pick, first], norms, (x * rebuilt).sum(1) / norms
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -74,22 +77,22 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def index(rows: DataFrame, codebooks: np.ndarray) -> DataFrame:
-    """Blocks of rows with ``codes`` (uint8) and ``norms`` (float64)."""
+    """Blocks of rows with ``codes`` (uint8), ``norms`` and ``cosines`` (float64)."""
     sent = rows.sparkSession.sparkContext.broadcast(codebooks)
 
     def run(batches):
         for batch in batches:
             coded = [encode(unit(matrix(one["ids"], one["matrix"])[1]), sent.value) for one in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array([c[i].tobytes() for c in coded], pa.binary()) for i in (0, 1))],
-                names=[*batch.schema.names, "codes", "norms"],
+                [*batch.columns, *(pa.array([c[i].tobytes() for c in coded], pa.binary()) for i in range(3))],
+                names=[*batch.schema.names, "codes", "norms", "cosines"],
             )
 
     plain = packed(rows, ROWS, "block")
-    return checkpointed(plain.mapInArrow(run, "block long, dim int, ids binary, matrix binary, codes binary, norms binary"))
+    return checkpointed(plain.mapInArrow(run, "block long, dim int, ids binary, matrix binary, codes binary, norms binary, cosines binary"))
 
 
-def nearest(vectors: DataFrame, queries, k: int = 5, books: int = 8, words: int = 128, head: int = 16, slack: float = 2.5) -> DataFrame:
+def nearest(vectors: DataFrame, queries, k: int = 5, books: int = 8, words: int = 128, head: int = 16, slack: float = 3.5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows found nearest to each query by cosine, in double precision.
 
     ``queries`` is a condition on vec_id. A query's own row (any row with its vec_id) is no candidate; fewer
@@ -115,7 +118,8 @@ def nearest(vectors: DataFrame, queries, k: int = 5, books: int = 8, words: int
         codes = np.frombuffer(one["codes"], np.uint8).reshape(len(ids), -1)
         table = np.einsum("qd,bwd->bqw", unit(q), sent.value)
         scores = sum(table[b][:, codes[:, b]] for b in range(codes.shape[1]))
-        return ids, x, q_ids, q, scores, np.frombuffer(one["norms"], np.float64)
+        norms, aligned = np.frombuffer(one["norms"], np.float64), np.frombuffer(one["cosines"], np.float64)
+        return ids, x, q_ids, q, scores * (aligned / norms), np.sqrt(np.maximum(1 - aligned**2, 1e-6) / dim)
 
     def reranked(q_id, q, some, ids, x, bar):
         some = some[ids[some] != q_id]
@@ -129,22 +133,27 @@ def nearest(vectors: DataFrame, queries, k: int = 5, books: int = 8, words: int
         columns = [np.concatenate(c) for c in zip(*out)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
+    def heads(scores):
+        most = min(scores.shape[1], head + k)
+        top = np.argpartition(scores, scores.shape[1] - most, axis=1)[:, scores.shape[1] - most :]
+        return np.sort(top, axis=1)
+
     def first_round(batches):
         for batch in batches:
             for one in batch.to_pylist():
                 ids, x, q_ids, q, scores, _ = table_scores(one)
-                most = min(len(ids), head + k)
-                top = np.argpartition(scores, len(ids) - most, axis=1)[:, len(ids) - most :]
-                yield batch_of([reranked(i, q[n], np.sort(top[n]), ids, x, -2.0) for n, i in enumerate(q_ids)])
+                top = heads(scores)
+                yield batch_of([reranked(i, q[n], top[n], ids, x, -2.0) for n, i in enumerate(q_ids)])
 
     def second_round(batches):
         for batch in batches:
             for one in batch.to_pylist():
-                ids, x, q_ids, q, scores, norms = table_scores(one)
+                ids, x, q_ids, q, scores, deviation = table_scores(one)
                 bars = dict(zip(one["b_ids"] or [], one["bars"] or []))
                 bar = np.array([bars.get(i, -2.0) for i in q_ids.tolist()])
-                reach = scores + slack * np.sqrt(np.maximum(1 - norms**2, 1e-6) / dim)
-                yield batch_of([reranked(i, q[n], np.flatnonzero(reach[n] >= bar[n]), ids, x, bar[n]) for n, i in enumerate(q_ids)])
+                near = scores + slack * deviation >= bar[:, None]
+                np.put_along_axis(near, heads(scores), True, axis=1)  # the rows that set the bars among them
+                yield batch_of([reranked(i, q[n], np.flatnonzero(near[n]), ids, x, bar[n]) for n, i in enumerate(q_ids)])
 
     met = meet(data, asked)
     first = met.mapInArrow(first_round, found)

@@ -34,7 +34,7 @@ def recall(got, want):
 def test_table_against_brute_force(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     got, want = found(df), brute([tuple(r) for r in df.collect()])
-    assert recall(got, want) >= 0.95
+    assert recall(got, want) >= 0.95 and all(len(got[q]) == 5 for q in want)
     for q in want:
         truth = {i: s for s, i in want[q]}
         assert all(abs(s - truth[i]) < 1e-12 for s, i in got[q] if i in truth)
@@ -45,7 +45,8 @@ def test_large_group_of_copies(spark):
     hot = rng.normal(size=16)
     rows = [(i, (rng.normal(size=16) if i % 3 else hot + 0.01 * rng.normal(size=16)).tolist()) for i in range(3000)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert recall(found(df), brute(rows)) >= 0.9
+    got = found(df)
+    assert recall(got, brute(rows)) >= 0.9 and {len(v) for v in got.values()} == {5}
 
 
 def test_awkward_rows(spark):
@@ -65,8 +66,8 @@ def test_beam_is_no_worse_than_greedy():
     books = ann.fit(x, 4, 32)
     error = {}
     for beam in (1, 8):
-        codes, norms = ann.encode(x, books, beam)
+        codes, norms, aligned = ann.encode(x, books, beam)
         rebuilt = sum(books[b][codes[:, b]] for b in range(4))
-        assert np.allclose(np.linalg.norm(rebuilt, axis=1), norms)
+        assert np.allclose(np.linalg.norm(rebuilt, axis=1), norms) and np.allclose((x * rebuilt).sum(1), norms * aligned)
         error[beam] = ((x - rebuilt) ** 2).sum()
     assert error[8] <= error[1]
