@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Pieces longer than this are encoded without being remembered.
 LONGEST_KEPT = 64
 #: Entries of a worker's memory before it is emptied.
-MOST_KEPT = 800_000
+MOST_KEPT = 400_000
 
 
 class Tokenizer:

@@ -190,8 +190,8 @@ def label(docs: DataFrame) -> DataFrame:
     def run(batches):
         model = loaded(sample.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 400):
+                part = batch.slice(at, 400)
                 languages, scores = model.predict(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())],
