@@ -1,2 +1,284 @@
-QUERIES = {}
-SQL = {}
+"""Queries of the log operators by name, and the same results in DuckDB SQL."""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from chronolith.functions import geo, text
+from chronolith.operators import state, store, timeline, verify
+from chronolith.sources.driver_view import LOG_SQL, log, table
+
+AT = 1705276800000000  # 2024-01-15 00:00 UTC
+HOUR = 3_600_000_000
+QUERIES, SQL = {}, {}
+
+
+def query(sql=None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = f"WITH {LOG_SQL}{sql}" if sql.startswith(",") else f"WITH {LOG_SQL} {sql}" if " log" in sql else sql
+        return f
+
+    return add
+
+
+LAST = "SELECT monitor_id, tile_x, tile_y, arg_max(op, (t, event_id)) AS o, arg_max(asset_hash, (t, event_id)) AS asset_hash FROM log WHERE op <= 2 AND t <= {} GROUP BY ALL"
+
+
+@query(f"SELECT monitor_id, tile_x, tile_y, asset_hash FROM ({LAST.format(AT)}) log WHERE o <> 2")
+def seek_fold(spark, sf):
+    return state.fold(log(spark, sf), AT)
+
+
+@query(f"SELECT monitor_id, tile_x, tile_y, asset_hash FROM ({LAST.format(AT)}) log WHERE o <> 2")
+def seek_delta(spark, sf):
+    base = AT - 240 * HOUR
+    rows = log(spark, sf)
+    return state.fold(rows, AT, state.fold(rows, base), base)
+
+
+@query("SELECT * EXCLUDE (b) FROM (SELECT event_id, t, monitor_id, tile_x, tile_y, asset_hash, lag(asset_hash) OVER (PARTITION BY monitor_id, tile_x, tile_y ORDER BY t, event_id) AS b FROM log WHERE op <= 2) WHERE b IS NULL OR b <> asset_hash")
+def change_detect(spark, sf):
+    return state.changes(log(spark, sf)).select("event_id", "t", "monitor_id", "tile_x", "tile_y", "asset_hash")
+
+
+@query("SELECT * FROM (SELECT day, lag(t) OVER (PARTITION BY day ORDER BY t, event_id) AS start_t, t AS end_t FROM log) WHERE end_t - start_t > 2000000")
+def idle_spans(spark, sf):
+    return timeline.idle_spans(log(spark, sf))
+
+
+@query("SELECT * FROM (SELECT day, lag(t) OVER (PARTITION BY day ORDER BY t, event_id) AS start_t, t AS end_t FROM log WHERE op <= 2) WHERE end_t - start_t > 600000000")
+def idle_visual(spark, sf):
+    return timeline.idle_spans(log(spark, sf), 600_000_000, (0, 1, 2))
+
+
+GAPS = """, g AS (SELECT day, op, lag(t) OVER w AS start_t, t AS end_t, segment, lag(segment) OVER w AS was, max(CAST(op = 3 AS INT)) OVER (PARTITION BY day) AS beats
+  FROM log {} WINDOW w AS (PARTITION BY day ORDER BY t, event_id))
+SELECT day, start_t, end_t, CASE WHEN was <> segment THEN 'restarted' WHEN beats = 1 THEN 'stopped' ELSE 'no entries' END AS reason
+FROM g WHERE (beats = 1 AND end_t - start_t >= 120000000) OR (beats = 0 AND end_t - start_t >= 360000000)"""
+
+
+@query(GAPS.format(""))
+def gaps_reason(spark, sf):
+    return timeline.gaps(log(spark, sf))
+
+
+@query(GAPS.format("WHERE op <> 3"))
+def gaps_fallback(spark, sf):
+    return timeline.gaps(log(spark, sf).filter("op <> 3"))
+
+
+@query(GAPS.format("WHERE op <> 3") + " AND NOT EXISTS (SELECT 1 FROM (SELECT day AS d, min(t) + 43200000000 AS c FROM log GROUP BY day) WHERE d = day AND c > start_t AND c < end_t)")
+def gaps_checkpointed(spark, sf):
+    rows = log(spark, sf)
+    points = rows.groupBy("day").agg((F.min("t") + 12 * HOUR).alias("ts"))
+    return timeline.gaps(rows.filter("op <> 3"), checkpoints=points)
+
+
+@query(""", i AS (SELECT op, t, sum(CASE WHEN t - m <= 600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY op ORDER BY t) AS island
+  FROM (SELECT op, t, lag(t) OVER (PARTITION BY op ORDER BY t) AS m FROM log))
+SELECT op, min(t) AS start_t, max(t) AS end_t, count(*) AS n FROM i GROUP BY op, island""")
+def span_coalesce(spark, sf):
+    rows = log(spark, sf).select("op", F.col("t").alias("a"), F.col("t").alias("b"))
+    return timeline.coalesced(rows, "op", "a", "b", 600_000_000)
+
+
+@query("SELECT day, segment, count(*) AS entries, min(t) AS first_t, max(t) AS last_t, count(DISTINCT window_id) AS distinct_windows_raw, count(DISTINCT CASE WHEN op <= 2 THEN window_id END) AS distinct_windows, count(*) * 27 AS bytes FROM log GROUP BY day, segment")
+def segment_stats(spark, sf):
+    return timeline.segment_stats(log(spark, sf))
+
+
+@query("SELECT day, min(t) AS first_t, max(t) AS last_t, count(*) AS entries, count(DISTINCT window_id) AS windows, count(*) * 27 AS bytes, count(DISTINCT monitor_id) AS monitors, max(t) - min(t) AS span_us FROM log GROUP BY day")
+def day_summary(spark, sf):
+    return timeline.day_summary(log(spark, sf))
+
+
+@query("SELECT window_id, min(t) AS start_t, max(t) AS end_t, count(*) AS n FROM log GROUP BY window_id")
+def focus_spans(spark, sf):
+    return timeline.focus_spans(log(spark, sf))
+
+
+@query("SELECT day, CAST(coalesce(sum(e - s), 0) AS BIGINT) AS total_us FROM (SELECT day, window_id, min(t) AS s, max(t) AS e FROM log GROUP BY day, window_id) GROUP BY day")
+def total_span(spark, sf):
+    spans = log(spark, sf).groupBy("day", "window_id").agg((F.max("t") - F.min("t")).alias("d"))
+    return spans.groupBy("day").agg(F.coalesce(F.sum("d"), F.lit(0)).alias("total_us"))
+
+
+@query("SELECT asset_hash, min(t) AS first_t, count(*) AS refs FROM log WHERE asset_hash <> 0 GROUP BY asset_hash")
+def content_refs(spark, sf):
+    return log(spark, sf).filter("asset_hash <> 0").groupBy("asset_hash").agg(F.min("t").alias("first_t"), F.count("*").alias("refs"))
+
+
+@query(f", c AS (SELECT DISTINCT monitor_id, t // {6 * HOUR} * {6 * HOUR} AS t FROM log WHERE event_id % 3 = 0) SELECT log.event_id, c.t AS ckpt FROM log ASOF LEFT JOIN c ON log.monitor_id = c.monitor_id AND log.t >= c.t")
+def checkpoint_asof(spark, sf):
+    rows = log(spark, sf)
+    ckpt = rows.filter("event_id % 3 = 0").select("monitor_id", (F.floor(F.col("t") / (6 * HOUR)) * (6 * HOUR)).cast("long").alias("t")).distinct()
+    return state.asof(rows.select("event_id", "monitor_id", "t"), ckpt.withColumn("ckpt", F.col("t")), "t", ["monitor_id"], "ckpt").select("event_id", "ckpt")
+
+
+GEOMETRY = "SELECT monitor_id, tile_x // 7 AS grid, min(t) AS first_t, max(t) AS last_t, tile_x // 7 AS row FROM log WHERE event_id % 50 < 10 GROUP BY ALL"
+
+
+@query(f""", g AS ({GEOMETRY}), j AS (SELECT event_id, g.grid, row_number() OVER (PARTITION BY event_id ORDER BY coalesce(t <= last_t, FALSE) DESC,
+  CASE WHEN t <= last_t THEN first_t ELSE last_t END DESC NULLS LAST, CASE WHEN t <= last_t THEN -row ELSE row END DESC NULLS LAST) AS n
+  FROM log LEFT JOIN g ON log.monitor_id = g.monitor_id AND first_t <= t)
+SELECT event_id, grid FROM j WHERE n = 1""")
+def geometry_at(spark, sf):
+    rows = log(spark, sf)
+    grid = F.floor(F.col("tile_x") / 7).cast("long")
+    g = rows.filter("event_id % 50 < 10").withColumn("grid", grid).groupBy("monitor_id", "grid").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t")).withColumn("row", F.col("grid"))
+    return state.geometry_at(rows, g)
+
+
+@query(f"SELECT monitor_id, arg_max(tile_x, (t, event_id)) AS x, arg_max(tile_y, (t, event_id)) AS y, arg_max(asset_hash, (t, event_id)) AS asset_hash FROM log WHERE op = 4 AND t <= {AT} GROUP BY monitor_id")
+def pointer_state(spark, sf):
+    return state.pointer(log(spark, sf), AT)
+
+
+@query(f"SELECT {AT} + i * 900000000 AS instant, (SELECT max(t) FROM log WHERE t <= {AT} + i * 900000000) AS last_t FROM range(96) r(i)")
+def sample_grid(spark, sf):
+    return state.sampled(log(spark, sf), AT, AT + 24 * HOUR, 900_000_000)
+
+
+@query(f"SELECT {AT} + i * {HOUR} AS instant, (SELECT min(t) FROM log WHERE t > {AT} + i * {HOUR}) AS next_t FROM range(200) r(i)")
+def next_focus(spark, sf):
+    return timeline.next_after(log(spark, sf), spark.range(200).select((F.lit(AT) + F.col("id") * HOUR).alias("instant")))
+
+
+@query(f"SELECT day, count(*) AS n FROM log WHERE NOT (t BETWEEN {AT} AND {AT + 72 * HOUR}) GROUP BY day")
+def purge_range(spark, sf):
+    return store.purge(log(spark, sf), AT, AT + 72 * HOUR).groupBy("day").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT window_id, start_t, least(end_t, {AT}) AS end_t, n FROM (SELECT window_id, min(t) AS start_t, max(t) AS end_t, count(*) AS n FROM log GROUP BY window_id) WHERE start_t < {AT}")
+def trim_after(spark, sf):
+    return store.trim(timeline.focus_spans(log(spark, sf)), AT)
+
+
+@query(f", s AS (SELECT window_id, min(t) AS a, max(t) AS b FROM log GROUP BY window_id) SELECT window_id, a AS start_t, least(b, {AT}) AS end_t FROM s WHERE a < least(b, {AT}) UNION ALL SELECT window_id, greatest(a, {AT + HOUR}), b FROM s WHERE greatest(a, {AT + HOUR}) < b")
+def span_subtract(spark, sf):
+    return store.subtract(timeline.focus_spans(log(spark, sf)).drop("n"), AT, AT + HOUR)
+
+
+@query("SELECT md5(text) AS asset, min(doc_id) AS first_id, count(*) AS refs FROM documents GROUP BY 1")
+def content_store(spark, sf):
+    return store.content(table(spark, sf, "documents"))
+
+
+@query("SELECT DISTINCT md5(text) AS asset FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents JOIN labels USING (doc_id)) AND md5(text) NOT IN (SELECT md5(text) FROM benchmark)")
+def asset_gc(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("asset"))
+    labelled = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    return store.garbage(docs.select("asset").distinct(), labelled, table(spark, sf, "benchmark").select(F.md5("text").alias("asset")))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def orphan_docs(spark, sf):
+    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT doc_id, n_chars, total FROM (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id DESC) AS total FROM (SELECT * FROM documents ORDER BY doc_id DESC LIMIT 120)) WHERE total <= 2000000")
+def keep_budget(spark, sf):
+    return store.newest(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 120, 2_000_000)
+
+
+@query("SELECT l_orderkey, l_linenumber, used, CASE WHEN used > 2000 THEN 2 WHEN used > 1000 THEN 1 ELSE 0 END AS level FROM (SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_shipdate ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS used FROM lineitem)")
+def byte_budget(spark, sf):
+    rows = table(spark, sf, "lineitem")
+    return store.budget_level(rows, "l_shipdate", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "l_quantity", 1000).select("l_orderkey", "l_linenumber", "used", "level")
+
+
+@query("SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1998-08-02' - 30")
+def retention(spark, sf):
+    rows = table(spark, sf, "orders").withColumn("day", F.to_date("o_orderdate"))
+    return store.retained(rows, "1998-08-02", 30).select("o_orderkey")
+
+
+@query("SELECT vec_id, label, CAST(vec_id % 7 <> 3 AS BOOLEAN) AS ok FROM embeddings WHERE vec_id % 7 < 3 AND vec_id // 7 * 7 + 3 > vec_id")
+def valid_prefix(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", "label", F.floor(F.col("vec_id") / 7).alias("pack"), F.col("vec_id").alias("n"), (F.col("vec_id") % 7 != 3).alias("ok"))
+    return store.valid_prefix(rows.filter("vec_id % 7 <= 3")).select("vec_id", "label", "ok")
+
+
+def _pairs(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return verify.frame_diff(e.join(after, "vec_id"), "vec_id", "embedding", "b", 0.05)
+
+
+DIFF = """d AS (SELECT a.vec_id, unnest(range(64)) AS i, abs(CAST(unnest(a.embedding) AS DOUBLE) - CAST(unnest(b.embedding) AS DOUBLE)) AS x FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+f AS (SELECT vec_id, CAST(sum(CASE WHEN x > 0.05 THEN 1 ELSE 0 END) AS INT) AS mismatches, max(x) AS max_delta, CAST(min(CASE WHEN x > 0.05 THEN i END) AS INT) AS first_bad, CAST(max(CASE WHEN x > 0.05 THEN i END) AS INT) AS last_bad, CAST(count(*) AS INT) AS elements FROM d GROUP BY vec_id)"""
+
+
+@query(f"WITH {DIFF} SELECT * FROM f")
+def frame_diff(spark, sf):
+    return _pairs(spark, sf)
+
+
+@query(f"WITH {DIFF} SELECT count(*) AS frames, CAST(sum(CASE WHEN mismatches = 0 THEN 1 ELSE 0 END) AS BIGINT) AS exact, round(1 - sum(mismatches) / sum(elements), 9) AS pixel_ratio, round(avg(1 - mismatches / elements), 9) AS mean_ratio, min(1 - mismatches / elements) AS worst, arg_min(vec_id, (mismatches * -1, vec_id)) AS worst_at FROM f")
+def fidelity(spark, sf):
+    f = verify.fidelity(_pairs(spark, sf), "vec_id")
+    return f.withColumns({c: F.round(c, 9) for c in ("pixel_ratio", "mean_ratio")})
+
+
+@query("WITH r AS (SELECT DISTINCT md5(text) AS a FROM documents), s AS (SELECT DISTINCT md5(text) AS a FROM documents JOIN labels USING (doc_id)) SELECT count(*) AS referenced, count(s.a) AS present, count(*) - count(s.a) AS missing, (SELECT string_agg(a, ',' ORDER BY a) FROM (SELECT a FROM r WHERE a NOT IN (SELECT a FROM s) ORDER BY a LIMIT 5)) AS examples FROM r LEFT JOIN s USING (a)")
+def integrity(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("asset"))
+    return verify.integrity(docs, docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi"))
+
+
+@query("SELECT count(*) AS entries, count_if(op <= 2) AS tiles, max(t) AS last_t, arg_max(asset_hash, (t, event_id)) AS last_hash FROM log WHERE monitor_id = 1 AND tile_x = 3 AND tile_y = 2")
+def cell_trace(spark, sf):
+    rows = log(spark, sf).filter("monitor_id = 1 and tile_x = 3 and tile_y = 2")
+    return rows.agg(F.count("*").alias("entries"), F.count_if(F.col("op") <= 2).alias("tiles"), F.max("t").alias("last_t"), F.max_by("asset_hash", F.struct("t", "event_id")).alias("last_hash"))
+
+
+@query("SELECT DISTINCT monitor_id, unnest(range(CAST(floor((tile_x * 30 - 200) / 64.0) AS INT), CAST(floor((tile_x * 30 - 200 + 99) / 64.0) AS INT) + 1)) AS cx, CAST(floor((tile_y * 40 - 100) / 64.0) AS INT) AS cy FROM log WHERE op <= 2")
+def dirty_cells(spark, sf):
+    r = log(spark, sf).filter("op <= 2").select("monitor_id", (F.col("tile_x") * 30 - 200).alias("x"), (F.col("tile_y") * 40 - 100).alias("y"), F.lit(100).alias("w"), F.lit(1).alias("h"))
+    return geo.dirty_cells(r, 64, "monitor_id")
+
+
+@query("SELECT DISTINCT tile_x - 8 AS cx, tile_y AS cy, CASE WHEN tile_x - 8 BETWEEN -4 AND 3 AND tile_y BETWEEN 0 AND 3 THEN tile_y * 8 + tile_x - 4 ELSE -1 END AS idx, ((tile_x - 8) * 4294967296) + tile_y AS packed FROM log")
+def cell_index(spark, sf):
+    cx, cy = F.col("tile_x") - 8, F.col("tile_y")
+    return log(spark, sf).select(cx.alias("cx"), cy.alias("cy"), geo.dense_index(cx, cy, -4, 0, 8, 4).alias("idx"), geo.pack(cx, cy).alias("packed")).distinct()
+
+
+@query("SELECT DISTINCT asset_hash, lpad(lower(to_hex(asset_hash)), 16, '0') AS hex FROM log")
+def hash_hex(spark, sf):
+    return log(spark, sf).select("asset_hash", text.hash_hex(F.col("asset_hash")).alias("hex")).distinct()
+
+
+@query("SELECT event_id, printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) AS clock FROM (SELECT event_id, (t - 1704067200000000) // 1000000 AS s FROM log)")
+def duration_clock(spark, sf):
+    return log(spark, sf).select("event_id", text.clock(F.col("t") - 1704067200000000).alias("clock"))
+
+
+@query("SELECT doc_id, CASE WHEN n < 1024 THEN printf('%d B', n) WHEN n < 1048576 THEN printf('%.1f KB', round(n / 1024, 1)) ELSE printf('%.1f MB', round(n / 1048576, 1)) END AS size FROM (SELECT doc_id, n_chars AS n FROM documents)")
+def bytes_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.bytes_text(F.col("n_chars")).alias("size"))
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(coalesce(source, ''), '^src1.*$', 'i') OR regexp_matches(coalesce(text, ''), 'toke?n = ', 'i')")
+def exclusion(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.filter(text.excluded(F.col("source"), F.col("text"), ["SRC1*.exe"], ["/toke?n = /"])).select("doc_id")
+
+
+@query("SELECT user_id, max(value) - min(value) AS spread, arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)) AS delta FROM events GROUP BY user_id")
+def counter_delta(spark, sf):
+    e, key = table(spark, sf, "events"), F.struct("ts", "event_id")
+    return e.groupBy("user_id").agg((F.max("value") - F.min("value")).alias("spread"), (F.max_by("value", key) - F.min_by("value", key)).alias("delta"))
+
+
+@query("SELECT window_id, first_t, last_t FROM (SELECT window_id, min(t) AS first_t, max(t) AS last_t FROM log GROUP BY window_id ORDER BY max(t) DESC, window_id LIMIT 64) ORDER BY first_t")
+def geometry_top(spark, sf):
+    g = log(spark, sf).groupBy("window_id").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    return g.orderBy(F.desc("last_t"), "window_id").limit(64).orderBy("first_t")
+
+
+@query("SELECT n, least(60000, 5000 * CAST(pow(2, least(4, n - 1)) AS BIGINT)) AS wait_ms, CASE WHEN n % 3 = 0 THEN 100.0 ELSE 100.0 * 1 / (n % 3) END AS pct FROM (SELECT DISTINCT 1 + event_id % 9 AS n FROM events)")
+def backoff(spark, sf):
+    n = F.col("n")
+    return table(spark, sf, "events").select((1 + F.col("event_id") % 9).alias("n")).distinct().select("n", text.backoff_ms(n).alias("wait_ms"), text.percent(F.lit(1), n % 3).alias("pct"))
