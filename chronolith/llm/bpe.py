@@ -19,10 +19,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.llm.common import worker_model
+
 #: Pieces longer than this are encoded without being remembered.
 LONGEST_KEPT = 64
 #: Entries of a worker's memory before it is emptied.
-MOST_KEPT = 400_000
+MOST_KEPT = 200_000
 
 
 class Tokenizer:
@@ -145,16 +147,10 @@ class _Memory(dict):
         return got
 
 
-_LOADED: dict[str, Tokenizer] = {}
-
-
 def loaded(rank_file: bytes, pattern: str) -> Tokenizer:
     """The tokenizer, built once in each Python worker."""
     key = hashlib.sha256(rank_file + pattern.encode()).hexdigest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Tokenizer(rank_file, pattern)
-    return _LOADED[key]
+    return worker_model(("bpe", key), lambda: Tokenizer(rank_file, pattern))
 
 
 def encode_decode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
@@ -169,8 +165,8 @@ def encode_decode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     def run(batches):
         tokenizer = loaded(ranks.value, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
                 ids = [tokenizer.encode(t or "") for t in part.column(1).to_pylist()]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -47,6 +48,19 @@ def chunked(docs: DataFrame, chunks: int) -> DataFrame:
     return rows.repartition(shuffle_partitions(docs.sparkSession), "chunk")
 
 
+_MODEL: dict = {}
+
+
+def worker_model(key, build):
+    """The model under a key, built once in a Python worker; another model's takes the place of the last one's, so
+    that a worker that serves one stage after another holds one at a time."""
+    if key not in _MODEL:
+        _MODEL.clear()
+        gc.collect()
+        _MODEL[key] = build()
+    return _MODEL[key]
+
+
 def pack_sorted(values: np.ndarray) -> bytes:
     """Ascending unsigned integers as byte planes of their differences, which shuffle files compress well."""
     if not len(values):

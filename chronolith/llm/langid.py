@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronolith.llm.common import fold
+from chronolith.llm.common import fold, worker_model
 
 #: Bounds of the fit, for each language: documents sampled, characters of one document, characters of all.
 DOCUMENTS, OF_ONE, CHARACTERS = 60, 1500, 24_000
@@ -140,15 +140,9 @@ class Model:
         return [self.languages[k] if ok else "und" for k, ok in zip(first.tolist(), letters)], np.clip(score, 0, 1)
 
 
-_LOADED: dict[str, Model] = {}
-
-
 def loaded(samples: dict[str, str]) -> Model:
     key = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Model(samples)
-    return _LOADED[key]
+    return worker_model(("langid", key), lambda: Model(samples))
 
 
 def samples(docs: DataFrame) -> dict[str, str]:
