@@ -8,6 +8,10 @@ import xxhash
 from pyspark.sql import functions as F
 
 
+#: What a broken stream may raise.
+BROKEN = (zlib.error, struct.error)
+
+
 def tile_hash_of(width: int, height: int, bgra: bytes) -> int:
     """Signed bit pattern of XXH3-64 over width, height (16 bits each) and pixels; 0 becomes 1."""
     h = xxhash.xxh3_64_intdigest(struct.pack("<HH", width, height) + bgra) or 1
@@ -114,3 +118,16 @@ def blend(src: np.ndarray, dst: np.ndarray, alpha: np.ndarray) -> np.ndarray:
     """(s * a + d * (255 - a) + 127) / 255 in whole numbers."""
     s, d, a = (x.astype(np.int64) for x in (src, dst, alpha))
     return ((s * a + d * (255 - a) + 127) // 255).astype(np.uint8)
+
+
+def png(width: int, height: int, bgra: bytes) -> bytes:
+    """An opaque PNG image (public format, eight bits, RGBA)."""
+    rows = np.frombuffer(bgra, np.uint8).reshape(height, width, 4)[:, :, [2, 1, 0, 3]].copy()
+    rows[:, :, 3] = 255
+    lines = np.concatenate([np.zeros((height, 1), np.uint8), rows.reshape(height, width * 4)], axis=1)
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    head = struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")

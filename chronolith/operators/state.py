@@ -36,35 +36,114 @@ def pointer(log: DataFrame, at: int) -> DataFrame:
     return last.select("monitor_id", F.col("p.tile_x").alias("x"), F.col("p.tile_y").alias("y"), F.col("p.asset_hash").alias("asset_hash"))
 
 
-def asof(left: DataFrame, right: DataFrame, on: str, by: list[str], value: str) -> DataFrame:
-    """left with the latest ``value`` of right at or before its ``on`` and equal ``by``: a union and one window."""
+SLICE = 86_400_000_000  # µs; as-of windows run over slices of a day, so that no key is one task
+
+
+def asof(left: DataFrame, right: DataFrame, on: str, by: list[str], value: str, slice_us: int = SLICE) -> DataFrame:
+    """left with the latest non-null ``value`` of right at or before its ``on`` and equal ``by``; ties take the larger value.
+
+    A union and a window inside each slice of time; a slice's last value is carried to later slices through a table of
+    one row for each key and slice, so a hot key spreads over as many tasks as it has slices.
+    """
     a = left.withColumns({"_v": F.lit(None).cast(right.schema[value].dataType), "_s": F.lit(1), "_row": F.struct(*left.columns)})
     b = right.select(*by, on, F.col(value).alias("_v"), F.lit(0).alias("_s"))
-    both = a.select(*by, on, "_v", "_s", "_row").unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(on, "_s").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).filter("_s = 1").select("_row.*", F.col("_v").alias(value))
+    cut = F.floor(F.col(on) / slice_us).alias("_d")
+    both = a.select(*by, on, "_v", "_s", "_row", cut).unionByName(b.select("*", cut), allowMissingColumns=True)
+    inside = Window.partitionBy(*by, "_d").orderBy(on, "_s", F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn("_v", F.last("_v", ignorenulls=True).over(inside)).filter("_s = 1")
+    slices = both.groupBy(*by, "_d").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(on, "_v"))).alias("_v"))
+    earlier = Window.partitionBy(*by).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slices.select(*by, "_d", F.last("_v", ignorenulls=True).over(earlier).alias("_before"))
+    return rows.join(carried, [*by, "_d"], "left").select("_row.*", F.coalesce("_v", "_before").alias(value))
 
 
-def geometry_at(log: DataFrame, geometry: DataFrame) -> DataFrame:
-    """(event_id, grid): geometry in force at each entry. ``geometry``: monitor_id, grid, first_t, last_t, row.
+def in_force(geometry: DataFrame) -> DataFrame:
+    """Which row of ``geometry`` (monitor_id, first_t, last_t, row and more) holds from from_t until before until_t.
 
     The covering interval with the latest first_t (then the first row), else, among those begun, the one with the
-    latest last_t (then the last row). The dimension has a row for each geometry of a monitor.
+    latest last_t (then the last row). That changes only where an interval begins or has ended, so the rule is settled
+    on the dimension alone; it has a row for each geometry that a monitor ever had.
+    """
+    ends = F.explode(F.array(F.col("first_t"), F.col("last_t") + 1)).alias("from_t")
+    points = geometry.select("monitor_id", ends).distinct()
+    begun = points.join(geometry.select("monitor_id", F.struct(*[c for c in geometry.columns if c != "monitor_id"]).alias("g")), "monitor_id").filter("g.first_t <= from_t")
+    covers = F.col("from_t") <= F.col("g.last_t")
+    rank = F.struct(covers, F.when(covers, F.col("g.first_t")).otherwise(F.col("g.last_t")), F.when(covers, -F.col("g.row")).otherwise(F.col("g.row")))
+    best = begun.groupBy("monitor_id", "from_t").agg(F.max_by("g", rank).alias("g"))
+    until = F.lead("from_t", 1, (1 << 63) - 1).over(Window.partitionBy("monitor_id").orderBy("from_t"))
+    return best.withColumn("until_t", until)
+
+
+def _under(log: DataFrame, stretches: DataFrame) -> DataFrame:
+    """log with the stretch (from_t, g) it falls in; nulls before the first. One match at most, so nothing multiplies."""
+    s = stretches.select(F.col("monitor_id").alias("_m"), "from_t", "until_t", "g")
+    met = (F.col("monitor_id") == F.col("_m")) & (F.col("from_t") <= F.col("t")) & (F.col("t") < F.col("until_t"))
+    return log.join(s, met, "left").drop("_m", "until_t")
+
+
+def geometry_at(log: DataFrame, geometry: DataFrame) -> DataFrame:
+    """(event_id, grid): geometry in force at each entry, null before a monitor's first."""
+    return _under(log, in_force(geometry)).select("event_id", F.col("g.grid").alias("grid"))
+
+
+def replay(log: DataFrame, geometry: DataFrame, at: int, base: DataFrame | None = None) -> DataFrame:
+    """(monitor_id, idx, asset_hash): the fold at ``at`` on grids that change while the log runs.
+
+    ``geometry`` has monitor_id, columns, rows, origin_x, origin_y (cells), first_t, last_t, row. A monitor starts on the
+    grid in force at ``at`` (its newest if none is). Each entry but a pointer's, heartbeats included, puts its monitor on
+    the grid in force then; a change of columns or rows empties it, a move of the origin keeps cells by index. Cells
+    outside the grid and monitors without geometry are left out. ``base`` (monitor_id, columns, rows, idx, asset_hash)
+    gives untouched cells where no change emptied the monitor and the grids agree.
+
+    Changes are found on the stretches that hold an entry, a few rows for each monitor, never by a window over the log.
     """
-    g = geometry.select(F.col("monitor_id").alias("m"), "grid", "first_t", "last_t", "row")
-    met = log.join(g, (F.col("monitor_id") == F.col("m")) & (F.col("first_t") <= F.col("t")), "left")
-    covers = F.coalesce(F.col("t") <= F.col("last_t"), F.lit(False))
-    rank = F.struct(covers, F.when(covers, F.col("first_t")).otherwise(F.col("last_t")), F.when(covers, -F.col("row")).otherwise(F.col("row")))
-    return met.groupBy("event_id").agg(F.max_by("grid", rank).alias("grid"))
+    stretches = in_force(geometry)
+    newest = geometry.groupBy("monitor_id").agg(F.max_by(F.struct(*[c for c in geometry.columns if c != "monitor_id"]), F.struct("last_t", "row")).alias("newest"))
+    now = stretches.filter((F.col("from_t") <= at) & (F.col("until_t") > at)).select("monitor_id", "g")
+    seed = newest.join(now, "monitor_id", "left").select("monitor_id", F.coalesce("g", "newest").alias("seed"))
+    rows = _under(log.filter((F.col("op") != 4) & (F.col("t") <= at)), stretches)
+    grid = lambda g: F.struct(F.col(f"{g}.columns").alias("columns"), F.col(f"{g}.rows").alias("rows"))
+    synced = rows.filter("g is not null").select("monitor_id", "from_t", grid("g").alias("grid")).distinct()
+    held = synced.unionByName(seed.select("monitor_id", F.lit(-(1 << 63)).alias("from_t"), grid("seed").alias("grid")))
+    before = F.lag("grid").over(Window.partitionBy("monitor_id").orderBy("from_t"))
+    emptied = held.withColumn("before", before).filter("before <> grid").groupBy("monitor_id").agg(F.max("from_t").alias("since"))
+    monitors = seed.join(emptied, "monitor_id", "left")
+    entries = rows.filter("op <= 2").join(monitors, "monitor_id").filter("since is null or t >= since").withColumn("g", F.coalesce("g", "seed"))
+    x, y = F.col("tile_x") - F.col("g.origin_x"), F.col("tile_y") - F.col("g.origin_y")
+    inside = x.between(0, F.col("g.columns") - 1) & y.between(0, F.col("g.rows") - 1)
+    cells = entries.filter(inside).withColumn("idx", (y * F.col("g.columns") + x).cast("long"))
+    last = cells.groupBy("monitor_id", "idx").agg(F.max_by(F.struct("op", "asset_hash"), F.struct("t", "event_id")).alias("last"))
+    found = last.select("monitor_id", "idx", F.when(F.col("last.op") != 2, F.col("last.asset_hash")).alias("asset_hash"))
+    if base is not None:
+        fits = base.join(monitors.filter("since is null"), "monitor_id").filter((F.col("columns") == F.col("seed.columns")) & (F.col("rows") == F.col("seed.rows")))
+        old = fits.select("monitor_id", F.col("idx").cast("long").alias("idx"), "asset_hash").join(found.select("monitor_id", "idx"), ["monitor_id", "idx"], "left_anti")
+        found = found.unionByName(old)
+    return found.filter("asset_hash is not null")
+
+
+def deltas(log: DataFrame, step_us: int = 180_000_000) -> DataFrame:
+    """(step, cell, op, asset_hash): last tile operation of each cell in each step of time, the increments of periodic
+    snapshots; a snapshot at a step's end is the fold of the increments up to it."""
+    step = F.floor(F.col("t") / step_us).alias("step")
+    last = log.filter("op <= 2").groupBy(step, *CELL).agg(F.max_by(F.struct("op", "asset_hash"), F.struct("t", "event_id")).alias("last"))
+    return last.select("step", *CELL, "last.op", "last.asset_hash")
 
 
 def sampled(log: DataFrame, start: int, end: int, step: int) -> DataFrame:
-    """(instant, last_t): fixed-step instants and the newest entry at or before each, found through days."""
-    points = log.sparkSession.range(max(1, (end - start) // step)).select((F.lit(start) + F.col("id") * step).alias("instant"))
-    earlier = log.filter(F.col("t") < start).agg(F.max("t")).select(F.col("max(t)").alias("floor_t"))
-    rows = log.filter(F.col("t").between(start, end)).select("t", F.lit(0).alias("asks"))
-    both = rows.unionByName(points.select(F.col("instant").alias("t"), F.lit(1).alias("asks")))
-    # at most one range of a day or so is sampled at a time: the window is over that range alone
-    w = Window.partitionBy(F.lit(0)).orderBy("t", "asks").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("last_t", F.max(F.when(F.col("asks") == 0, F.col("t"))).over(w)).filter("asks = 1")
-    return found.join(F.broadcast(earlier)).select(F.col("t").alias("instant"), F.coalesce("last_t", "floor_t").alias("last_t"))
+    """(instant, last_t): fixed-step instants and the newest entry at or before each."""
+    points = log.sparkSession.range(max(1, (end - start) // step)).select((F.lit(start) + F.col("id") * step).alias("t"), F.lit(0).alias("_k"))
+    rows = log.filter(F.col("t") <= end).select("t", F.lit(0).alias("_k"), F.col("t").alias("last_t"))
+    return asof(points, rows, "t", ["_k"], "last_t").select(F.col("t").alias("instant"), "last_t")
+
+
+def stepped(log: DataFrame, at: int, monitors: list[int] | None = None) -> DataFrame:
+    """One row: newest entry before ``at``, newest at or before it, and next after it."""
+    rows = log if monitors is None else log.filter(F.col("monitor_id").isin(*monitors))
+    t = F.col("t")
+    return rows.agg(F.max(F.when(t < at, t)).alias("previous_t"), F.max(F.when(t <= at, t)).alias("at_t"), F.min(F.when(t > at, t)).alias("next_t"))
+
+
+def played(elapsed_us, speed, anchor: int, start: int, end: int):
+    """Playhead position of a clock: anchor + elapsed * speed within the bounds; speed between 0.05 and 64."""
+    moved = (F.lit(anchor) + elapsed_us * F.greatest(F.lit(0.05), F.least(F.lit(64.0), speed))).cast("long")
+    return F.greatest(F.lit(start), F.least(F.lit(end), moved))

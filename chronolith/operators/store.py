@@ -59,3 +59,38 @@ def budget_level(rows: DataFrame, day: str, order: list[str], size: str, budget:
     """Running bytes of a day and its level: 0 within the budget, 1 above it, 2 (paused) above twice."""
     used = F.sum(size).over(Window.partitionBy(day).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("used", used).withColumn("level", F.when(F.col("used") > 2 * budget, 2).when(F.col("used") > budget, 1).otherwise(0))
+
+
+def old_garbage(assets: DataFrame, now_ms: int, grace_ms: int, *references: DataFrame) -> DataFrame:
+    """Garbage whose file (mtime_ms) has outlived the grace: content may be stored before the entry that names it."""
+    return garbage(assets.filter(F.col("mtime_ms") <= now_ms - grace_ms), *references)
+
+
+def empty_packs(index: DataFrame, removed: DataFrame) -> DataFrame:
+    """(pack) whose assets (pack, asset) are all removed; the newest pack may still be written and stays."""
+    live = index.join(removed.select("asset").distinct().withColumn("_gone", F.lit(1)), "asset", "left")
+    newest = index.agg(F.max("pack").alias("_newest"))
+    dead = live.groupBy("pack").agg(F.count_if(F.col("_gone").isNull()).alias("live")).filter("live = 0")
+    return dead.crossJoin(newest).filter("pack < _newest").select("pack")  # the newest pack is one row
+
+
+def stored(packed: DataFrame, single: DataFrame) -> DataFrame:
+    """Every asset once, with the place it is read from: a file of its own hides the packed copy."""
+    both = packed.withColumn("_p", F.lit(1)).unionByName(single.withColumn("_p", F.lit(0)), allowMissingColumns=True)
+    rest = F.struct(*[c for c in both.columns if c not in ("asset", "_p")])
+    return both.groupBy("asset").agg(F.min_by(rest, "_p").alias("r")).select("asset", "r.*")
+
+
+def store_stats(assets: DataFrame) -> DataFrame:
+    return assets.agg(F.count("*").alias("assets"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
+
+def purge_report(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(day, removed): entries that a purge took from each day it touched."""
+    n = before.groupBy("day").agg(F.count("*").alias("a")).join(after.groupBy("day").agg(F.count("*").alias("b")), "day", "left")
+    return n.select("day", (F.col("a") - F.coalesce("b", F.lit(0))).alias("removed")).filter("removed > 0")
+
+
+def unsigned(h):
+    """Sort key of hashes as unsigned numbers."""
+    return h.bitwiseXOR(F.lit(-(1 << 63)))

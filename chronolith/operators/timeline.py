@@ -32,12 +32,83 @@ def gaps(log: DataFrame, hole_us: int = 120_000_000, checkpoint_s: int = 180, ch
     return rows.drop("beats")
 
 
-def coalesced(rows: DataFrame, key: str, start: str, end: str, tolerance_us: int) -> DataFrame:
-    """(key, start_t, end_t, n): spans of one key joined while the next starts at most tolerance after the last end."""
-    w = Window.partitionBy(key).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col(start) - reach <= tolerance_us, 0).otherwise(1)).over(w)
-    return rows.withColumn("island", island).groupBy(key, "island").agg(F.min(start).alias("start_t"), F.max(end).alias("end_t"), F.count("*").alias("n")).drop("island")
+def coalesced(rows: DataFrame, key: str, start: str, end: str, tolerance_us: int, slice_us: int = 86_400_000_000) -> DataFrame:
+    """(key, start_t, end_t, n): spans of one key joined while the next starts at most tolerance after the last end.
+
+    First inside slices of time, which leaves fewer spans, then over those; a hot key's rows spread over its slices.
+    """
+
+    def joined(spans: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy("start_t", "end_t")
+        reach = F.max("end_t").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        island = F.sum(F.when(F.col("start_t") - reach <= tolerance_us, 0).otherwise(1)).over(w)
+        return spans.withColumn("island", island).groupBy(*by, "island").agg(F.min("start_t").alias("start_t"), F.max("end_t").alias("end_t"), F.sum("n").alias("n")).drop("island")
+
+    spans = rows.select(key, F.col(start).alias("start_t"), F.col(end).alias("end_t"), F.lit(1).cast("long").alias("n"), F.floor(F.col(start) / slice_us).alias("_d"))
+    return joined(joined(spans, [key, "_d"]).drop("_d"), [key])
+
+
+def focus_runs(rows: DataFrame, by: list[str], order: list[str], window: str) -> DataFrame:
+    """(by, run, window, first, last, n): adjacent rows of one window, in order; a change of window starts a run."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    starts = (~F.col(window).eqNullSafe(F.lag(window).over(w)) | (F.row_number().over(w) == 1)).cast("long")
+    runs = rows.withColumn("_new", starts).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*by, "run", window).agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count("*").alias("n"))
+
+
+def upserted(spans: DataFrame, new: DataFrame, tolerance_ms: int = 2000) -> DataFrame:
+    """Stored spans (day, app, title, start_ts, end_ts) after new ones are added, day by day in order of their start.
+
+    A new span extends the day's latest one if application and title agree and it starts at most tolerance after its
+    end; else it is a row of its own. Nulls count as empty. Only the latest stored span of a day can be extended.
+    """
+    key = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("app", "title")]
+    old = spans.select("day", *key, "start_ts", "end_ts", F.row_number().over(Window.partitionBy("day").orderBy(F.desc("end_ts"), F.desc("start_ts"), "app", "title")).alias("_n"))
+    both = old.filter("_n = 1").drop("_n").withColumn("_new", F.lit(0)).unionByName(new.select("day", *key, "start_ts", "end_ts").withColumn("_new", F.lit(1)))
+    w = Window.partitionBy("day").orderBy("_new", "start_ts", "end_ts", "app", "title")
+    last_end = F.lag("end_ts").over(w)
+    same = (F.lag("app").over(w) == F.col("app")) & (F.lag("title").over(w) == F.col("title")) & (F.col("start_ts") - last_end <= tolerance_ms)
+    island = F.sum(F.when(same, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ends = both.withColumn("_s", F.coalesce(same, F.lit(False))).withColumn("_i", island)
+    joined = ends.groupBy("day", "app", "title", "_i").agg(F.min_by("start_ts", F.struct("_new", "start_ts")).alias("start_ts"), F.max("end_ts").alias("end_ts")).drop("_i")
+    return old.filter("_n > 1").drop("_n").unionByName(joined)
+
+
+def sessions(rows: DataFrame) -> DataFrame:
+    """(day, start_ts, end_ts): the day's session from any number of sightings; its start only falls, its end only rises."""
+    return rows.groupBy("day").agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
+
+
+def sightings(rows: DataFrame, key: list[str], keep: int = 64) -> DataFrame:
+    """First and last sighting of each geometry; the ``keep`` seen last, oldest first (a limit of the dimension)."""
+    merged = rows.groupBy(*key).agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    return merged.orderBy(F.desc("last_t"), *key).limit(keep).orderBy("first_t", *key)
+
+
+def gap_at(instants: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(day, instant, start_t, end_t): the first gap of the day that holds each instant, both ends included."""
+    g = gaps.select(F.col("day").alias("_d"), "start_t", "end_t")
+    met = instants.join(g, (F.col("day") == F.col("_d")) & F.col("instant").between(F.col("start_t"), F.col("end_t")), "left")
+    first = met.groupBy("day", "instant").agg(F.min(F.struct("start_t", "end_t")).alias("g"))
+    return first.select("day", "instant", "g.start_t", "g.end_t")
+
+
+def idle_after(spans: DataFrame, at: int) -> DataFrame:
+    """At most one row: the first idle span that ends after ``at``, where a player would skip to."""
+    return spans.filter(F.col("end_t") > at).orderBy("end_t", "start_t").limit(1)
+
+
+def next_focus(spans: DataFrame, at: int, app: str, title: str | None = None) -> DataFrame:
+    """One row: the next start after ``at`` of an application (any case) and, if given, a title (exact)."""
+    rows = spans.filter((F.col("start_t") > at) & (F.lower("app") == app.lower()))
+    return (rows if title is None else rows.filter(F.col("title") == title)).agg(F.min("start_t").alias("next_t"))
+
+
+def heartbeats(log: DataFrame, every_us: int = 15_000_000) -> DataFrame:
+    """(day, t): the heartbeats a recorder writes between entries of a day that lie further apart than ``every_us``."""
+    after = F.lead("t").over(Window.partitionBy("day").orderBy(*ORDER))
+    quiet = log.select("day", "t", after.alias("next_t")).filter(F.col("next_t") - F.col("t") > every_us)
+    return quiet.select("day", F.explode(F.sequence(F.col("t") + every_us, F.col("next_t") - 1, F.lit(every_us))).alias("t"))
 
 
 def segment_stats(log: DataFrame) -> DataFrame:

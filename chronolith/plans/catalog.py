@@ -1,10 +1,9 @@
 """Queries of the log operators by name, and the same results in DuckDB SQL."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronolith.functions import geo, text
-from chronolith.operators import state, store, timeline, verify
+from chronolith.operators import metrics, state, store, timeline, verify
 from chronolith.sources.driver_view import LOG_SQL, log, table
 
 AT = 1705276800000000  # 2024-01-15 00:00 UTC
@@ -282,3 +281,152 @@ def geometry_top(spark, sf):
 def backoff(spark, sf):
     n = F.col("n")
     return table(spark, sf, "events").select((1 + F.col("event_id") % 9).alias("n")).distinct().select("n", text.backoff_ms(n).alias("wait_ms"), text.percent(F.lit(1), n % 3).alias("pct"))
+
+
+BAND = 5 * 24 * HOUR
+
+
+@query(f""", g AS (SELECT monitor_id, t // {BAND} AS row, min(t) AS first_t, max(t) AS last_t, 8 + 4 * (t // {BAND} % 2) AS columns FROM log WHERE event_id % 50 < 10 GROUP BY ALL),
+e AS (SELECT event_id, t, monitor_id, tile_x, tile_y, asset_hash, op FROM log WHERE op <> 4 AND t <= {AT} UNION ALL SELECT DISTINCT -1, {AT}, monitor_id, 0, 0, 0, 9 FROM g),
+j AS (SELECT * FROM (SELECT e.*, columns, row_number() OVER (PARTITION BY e.monitor_id, event_id ORDER BY coalesce(t <= last_t, FALSE) DESC,
+  CASE WHEN t <= last_t THEN first_t ELSE last_t END DESC NULLS LAST, CASE WHEN t <= last_t THEN -row ELSE row END DESC NULLS LAST) AS n
+  FROM e LEFT JOIN g ON e.monitor_id = g.monitor_id AND first_t <= t) WHERE n = 1),
+a AS (SELECT *, last_value(columns IGNORE NULLS) OVER (PARTITION BY monitor_id ORDER BY CASE WHEN op = 9 THEN 0 ELSE t END, event_id ROWS UNBOUNDED PRECEDING) AS c FROM j),
+b AS (SELECT *, CASE WHEN lag(c) OVER (PARTITION BY monitor_id ORDER BY CASE WHEN op = 9 THEN 0 ELSE t END, event_id) <> c THEN 1 ELSE 0 END AS new FROM a),
+d AS (SELECT *, sum(new) OVER (PARTITION BY monitor_id ORDER BY CASE WHEN op = 9 THEN 0 ELSE t END, event_id ROWS UNBOUNDED PRECEDING) AS epoch, sum(new) OVER (PARTITION BY monitor_id) AS epochs FROM b)
+SELECT monitor_id, idx, asset_hash FROM (SELECT monitor_id, CAST(tile_y * c + tile_x AS BIGINT) AS idx, arg_max(op, (t, event_id)) AS o, arg_max(asset_hash, (t, event_id)) AS asset_hash
+  FROM d WHERE op <= 2 AND epoch = epochs AND tile_x < c AND tile_y < 64 GROUP BY ALL) WHERE o <> 2""")
+def geometry_replay(spark, sf):
+    rows = log(spark, sf)
+    g = rows.filter("event_id % 50 < 10").groupBy("monitor_id", F.floor(F.col("t") / BAND).alias("row")).agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    g = g.withColumns({"columns": 8 + 4 * (F.col("row") % 2), "rows": F.lit(64), "origin_x": F.lit(0), "origin_y": F.lit(0)})
+    return state.replay(rows, g, AT)
+
+
+@query("SELECT t // 86400000000 AS step, monitor_id, tile_x, tile_y, arg_max(op, (t, event_id)) AS op, arg_max(asset_hash, (t, event_id)) AS asset_hash FROM log WHERE op <= 2 GROUP BY ALL")
+def snapshot_deltas(spark, sf):
+    return state.deltas(log(spark, sf), 24 * HOUR)
+
+
+@query(f"SELECT max(t) FILTER (t < {AT}) AS previous_t, max(t) FILTER (t <= {AT}) AS at_t, min(t) FILTER (t > {AT}) AS next_t FROM log")
+def step_event(spark, sf):
+    return state.stepped(log(spark, sf), AT)
+
+
+@query(f"SELECT id, greatest({AT}, least({AT + HOUR}, {AT} + CAST(id * 1000000 * CASE WHEN id % 3 = 0 THEN 64.0 ELSE 0.5 END AS BIGINT))) AS position FROM range(2000) r(id)")
+def playhead(spark, sf):
+    speed = F.when(F.col("id") % 3 == 0, 100.0).otherwise(0.5)
+    return spark.range(2000).select("id", state.played(F.col("id") * 1_000_000, speed, AT, AT, AT + HOUR).alias("position"))
+
+
+@query(f"""SELECT day, instant, CAST(min(start_t) AS BIGINT) AS start_t, CAST(arg_min(end_t, start_t) AS BIGINT) AS end_t FROM (SELECT i.day, instant, start_t, end_t
+  FROM (SELECT CAST(make_timestamp({AT} + i * {HOUR}) AS DATE) AS day, {AT} + i * {HOUR} AS instant FROM range(240) r(i)) i
+  LEFT JOIN (SELECT * FROM (SELECT day, lag(t) OVER (PARTITION BY day ORDER BY t, event_id) AS start_t, t AS end_t FROM log) WHERE end_t - start_t >= 1200000000) g
+  ON g.day = i.day AND instant BETWEEN start_t AND end_t) GROUP BY day, instant""")
+def gap_at(spark, sf):
+    instants = spark.range(240).select((F.lit(AT) + F.col("id") * HOUR).alias("instant")).withColumn("day", F.to_date(F.timestamp_micros("instant")))
+    return timeline.gap_at(instants, timeline.gaps(log(spark, sf), 1_200_000_000))
+
+
+@query("SELECT conv_id, run, role, min(turn) AS first, max(turn) AS last, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT *, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))) GROUP BY conv_id, run, role")
+def focus_runs(spark, sf):
+    return timeline.focus_runs(table(spark, sf, "conversations"), ["conv_id"], ["turn"], "role")
+
+
+@query(f"SELECT day, start_t, end_t FROM (SELECT day, lag(t) OVER (PARTITION BY day ORDER BY t, event_id) AS start_t, t AS end_t FROM log) WHERE end_t - start_t > 600000000 AND end_t > {AT} ORDER BY end_t LIMIT 1")
+def skip_idle(spark, sf):
+    return timeline.idle_after(timeline.idle_spans(log(spark, sf), 600_000_000), AT)
+
+
+@query(f"SELECT min(start_t) AS next_t FROM (SELECT day, op, min(t) AS start_t FROM log GROUP BY day, op) WHERE op = 1 AND start_t > {AT}")
+def focus_next(spark, sf):
+    spans = log(spark, sf).groupBy("day", "op").agg(F.min("t").alias("start_t")).withColumn("app", F.concat(F.lit("App"), F.col("op")))
+    return timeline.next_focus(spans, AT, "aPP1")
+
+
+@query("SELECT day, unnest(range(t + 900000000, n, 900000000)) AS t FROM (SELECT day, t, lead(t) OVER (PARTITION BY day ORDER BY t, event_id) AS n FROM log) WHERE n - t > 900000000")
+def heartbeats(spark, sf):
+    return timeline.heartbeats(log(spark, sf), 900_000_000)
+
+
+@query("SELECT day, min(t) // 1000 AS start_ts, max(t) // 1000 AS end_ts FROM log GROUP BY day")
+def session_bounds(spark, sf):
+    rows = log(spark, sf).select("day", F.floor(F.col("t") / 1000).alias("start_ts"), F.floor(F.col("t") / 1000).alias("end_ts"))
+    return timeline.sessions(rows)
+
+
+@query("SELECT monitor_id, tile_x, first_t, last_t FROM (SELECT monitor_id, tile_x, min(t) AS first_t, max(t) AS last_t FROM log GROUP BY ALL ORDER BY last_t DESC, monitor_id, tile_x LIMIT 32)")
+def sightings(spark, sf):
+    return timeline.sightings(log(spark, sf), ["monitor_id", "tile_x"], 32)
+
+
+@query("SELECT pack FROM (SELECT doc_id // 3 AS pack, count(*) FILTER (md5(text) NOT IN (SELECT md5(text) FROM documents JOIN labels USING (doc_id))) AS live FROM documents GROUP BY 1) WHERE live = 0 AND pack < (SELECT max(doc_id // 3) FROM documents)")
+def empty_packs(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.floor(F.col("doc_id") / 3).alias("pack"), F.md5("text").alias("asset"))
+    return store.empty_packs(docs.select("pack", "asset"), docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi"))
+
+
+@query("SELECT count(*) AS assets, coalesce(sum(n), 0)::BIGINT AS bytes FROM (SELECT md5(text) AS a, max(octet_length(encode(text))) AS n FROM documents GROUP BY 1)")
+def store_stats(spark, sf):
+    docs = table(spark, sf, "documents").groupBy(F.md5("text").alias("asset")).agg(F.max(F.octet_length("text")).alias("bytes"))
+    return store.store_stats(docs)
+
+
+@query(f"SELECT day, count(*) AS removed FROM log WHERE t BETWEEN {AT} AND {AT + 30 * HOUR} GROUP BY day")
+def purge_report(spark, sf):
+    rows = log(spark, sf)
+    return store.purge_report(rows, store.purge(rows, AT, AT + 30 * HOUR))
+
+
+@query("SELECT user_id, round(list_reduce(list(value ORDER BY ts, event_id), lambda a, x: a * 0.8 + x * 0.2), 6) AS average FROM events WHERE value IS NOT NULL GROUP BY user_id")
+def moving_average(spark, sf):
+    return metrics.moving_average(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "value").withColumn("average", F.round("average", 6))
+
+
+@query("SELECT user_id, tiles_per_s, dedupe_percent, entries_per_s, bytes_per_hour FROM (SELECT user_id, n / s AS tiles_per_s, 100.0::DOUBLE * v / n AS dedupe_percent, n / s AS entries_per_s, n * 27 / s * 3600 AS bytes_per_hour FROM (SELECT user_id, greatest(1.0::DOUBLE, (max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000.0::DOUBLE) AS s, count(*) AS n, count(*) FILTER (event_type = 'view') AS v FROM events GROUP BY user_id))")
+def run_summary(spark, sf):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    runs = table(spark, sf, "events").groupBy("user_id").agg(((F.max(us) - F.min(us)) / 1_000_000.0).alias("seconds"), F.count("*").alias("tiles_hashed"), F.count_if(F.col("event_type") == "view").alias("tiles_deduped"), F.count("*").alias("log_entries"), (F.count("*") * 27).alias("bytes_written"))
+    return metrics.run_summary(runs).select("user_id", "tiles_per_s", "dedupe_percent", "entries_per_s", "bytes_per_hour")
+
+
+SOAK = """r AS (SELECT user_id, epoch_us(ts) / 1000000.0::DOUBLE AS s, value AS v, event_id % 977 AS h, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+q AS (SELECT *, CASE WHEN n >= 4 THEN 1 ELSE 0 END AS b FROM r), p AS (SELECT *, greatest(b + 1, n // 2) AS m FROM q WHERE n > 1),
+f AS (SELECT user_id, count(*) AS samples, avg(v) FILTER (i >= 1) AS cpu, min(h) FILTER (i >= b AND i < m) AS early_floor, min(h) FILTER (i >= m) AS late_floor, max(h) FILTER (i >= m) AS late_peak,
+  max(v) FILTER (i = b) AS m0, max(v) FILTER (i = n - 1) AS m2, max(s) FILTER (i = b) AS s0, max(s) FILTER (i = m) AS s1, max(s) AS s2 FROM p GROUP BY user_id)"""
+
+
+@query(f"WITH {SOAK} SELECT user_id, samples, round(cpu, 6) AS cpu_average, early_floor, late_floor, late_peak, round(greatest(0, m2 - m0) / greatest(0.01, (s2 - s0) / 3600.0), 6) AS memory_per_hour, round(greatest(0, late_floor - early_floor)::DOUBLE / greatest(0.01, (s2 - s1) / 3600.0), 6) AS handles_per_hour, CASE WHEN samples < 20 THEN 'INVALID' WHEN cpu < 60 AND late_floor <= early_floor THEN 'PASS' ELSE 'FAIL' END AS verdict FROM f")
+def soak_verdict(spark, sf):
+    e = table(spark, sf, "events")
+    samples = e.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000.0).alias("seconds"), F.col("value").alias("cpu"), F.col("value").alias("memory"), (F.col("event_id") % 977).alias("handles"))
+    g = metrics.growth(samples, ["user_id"])
+    judged = metrics.verdict(F.col("samples") >= 20, F.col("cpu_average") < 60, F.col("late_floor") <= F.col("early_floor"))
+    return g.withColumn("verdict", judged).withColumns({c: F.round(c, 6) for c in ("cpu_average", "memory_per_hour", "handles_per_hour")})
+
+
+@query("SELECT event_id, CASE WHEN d > 100 THEN 100.0::DOUBLE * u / (d * 4) ELSE 0.0::DOUBLE END AS cpu_percent FROM (SELECT event_id, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER w AS d, event_id % 1000 - lag(event_id % 1000) OVER w AS u FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id % 1000))")
+def cpu_percent(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("t_ms"), (F.col("event_id") % 1000).alias("cpu_ms"))
+    return metrics.cpu_percent(e, ["user_id"], 4).select("event_id", "cpu_percent")
+
+
+@query("""SELECT frame, CASE WHEN out OR regions = 0 THEN 'full' WHEN regions <= 8 AND covered <= 200000 THEN 'parts' WHEN (r - l) * (b - t) <= 200000 THEN 'box' ELSE 'full' END AS plan, regions, covered::BIGINT AS covered, l AS left, t AS top, r AS right, b AS bottom
+FROM (SELECT frame, bool_or(NOT ok) AS out, count(*) FILTER (ok) AS regions, coalesce(sum((r - l) * (b - t)) FILTER (ok), 0) AS covered, CAST(min(l) FILTER (ok) AS INT) AS l, CAST(min(t) FILTER (ok) AS INT) AS t, CAST(max(r) FILTER (ok) AS INT) AS r, CAST(max(b) FILTER (ok) AS INT) AS b
+  FROM (SELECT frame, x + 90 <= 800 AND y + 30 <= 500 AS ok, greatest(0, x // 64 * 64) AS l, greatest(0, y // 64 * 64) AS t, least(800, ((x + 89) // 64 + 1) * 64) AS r, least(500, ((y + 29) // 64 + 1) * 64) AS b
+    FROM (SELECT event_id // 4 AS frame, tile_x * 48 AS x, tile_y * 70 AS y FROM log WHERE op <= 2)) GROUP BY frame)""")
+def readback_plan(spark, sf):
+    rects = log(spark, sf).filter("op <= 2").select(F.floor(F.col("event_id") / 4).alias("frame"), (F.col("tile_x") * 48).alias("x"), (F.col("tile_y") * 70).alias("y"), F.lit(90).alias("w"), F.lit(30).alias("h"))
+    return geo.readback(rects, "frame", 800, 500, 0, 0, 64)
+
+
+@query("SELECT monitor_id, min(tile_x) * 64 AS x, min(tile_y) * 64 AS y, (max(tile_x) - min(tile_x)) * 64 + 64 AS w, (max(tile_y) - min(tile_y)) * 64 + 64 AS h FROM log GROUP BY monitor_id")
+def desktop_box(spark, sf):
+    rects = log(spark, sf).select("monitor_id", (F.col("tile_x") * 64).alias("x"), (F.col("tile_y") * 64).alias("y"), F.lit(64).alias("w"), F.lit(64).alias("h"))
+    return geo.bounding_box(rects, "monitor_id")
+
+
+@query("SELECT n, greatest(5.0::DOUBLE, least(2000.0::DOUBLE, 1000.0 * n / (0.01 * 8 * 1000) * (1 + 0.5 * (n % 5)))) AS pace, least(200, 15 * CAST(pow(2, least(n, 6)) AS BIGINT)) AS wait FROM range(60) r(n)")
+def pacing(spark, sf):
+    n = F.col("n")
+    return spark.range(60).withColumnRenamed("id", "n").select("n", metrics.pace_ms(n, 8, n % 5, 5.0, 2000.0).alias("pace"), metrics.timeout_ms(n, 200).alias("wait"))
