@@ -57,6 +57,18 @@ def asof(left: DataFrame, right: DataFrame, on: str, by: list[str], value: str,
     return rows.join(carried, [*by, "_d"], "left").select("_row.*", F.coalesce("_v", "_before").alias(value))
 
 
+def folds(log: DataFrame, points: DataFrame) -> DataFrame:
+    """(monitor_id, at, tile_x, tile_y, asset_hash): the fold at many points (monitor_id, at), such as a film's frames.
+
+    An as-of search for each cell of each point, so entries are read once whatever the number of points; the result has
+    a row for each filled cell of each frame.
+    """
+    tiles = log.filter("op <= 2").select(*CELL, "t", F.struct("event_id", F.when(F.col("op") != 2, F.col("asset_hash")).alias("asset_hash")).alias("last"))
+    asked = points.select("monitor_id", F.col("at").alias("t")).distinct().join(tiles.select(*CELL).distinct(), "monitor_id")
+    found = asof(asked, tiles, "t", list(CELL), "last").filter("last.asset_hash is not null")
+    return found.select("monitor_id", F.col("t").alias("at"), "tile_x", "tile_y", F.col("last.asset_hash").alias("asset_hash"))
+
+
 def in_force(geometry: DataFrame) -> DataFrame:
     """Which row of ``geometry`` (monitor_id, first_t, last_t, row and more) holds from from_t until before until_t.
 

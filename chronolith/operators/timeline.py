@@ -5,6 +5,11 @@ from pyspark.sql import functions as F
 
 ORDER = ("t", "event_id")
 
+# The reasons of a gap.
+RESTARTED = "recording restarted"
+STOPPED = "recorder was not watching"
+SILENT = "no activity for a long stretch"
+
 
 def idle_spans(log: DataFrame, gap_us: int = 2_000_000, ops: tuple[int, ...] | None = None) -> DataFrame:
     """(day, start_t, end_t): entries of a day more than gap_us apart; ops restricts the entries that count."""
@@ -16,20 +21,21 @@ def idle_spans(log: DataFrame, gap_us: int = 2_000_000, ops: tuple[int, ...] | N
 def gaps(log: DataFrame, hole_us: int = 120_000_000, checkpoint_s: int = 180, checkpoints: DataFrame | None = None) -> DataFrame:
     """(day, start_t, end_t, reason): stretches of a day that were not recorded.
 
-    A hole of at least hole_us counts on days with a heartbeat; on others it must last max(5 min, 2 checkpoints) and
-    hold no checkpoint (day, ts in µs) strictly inside. A change of segment between two entries is a restart.
+    A hole of at least hole_us counts on days with a heartbeat, or where the segment changes (a restart); any other must
+    last max(5 min, 2 checkpoints) and hold no checkpoint (day, ts in µs) strictly inside.
     """
     w = Window.partitionBy("day").orderBy(*ORDER)
     rows = log.filter("t > 0").withColumns({"start_t": F.lag("t").over(w), "was": F.lag("segment").over(w), "beats": F.max((F.col("op") == 3).cast("int")).over(Window.partitionBy("day"))})
     least = max(300, 2 * checkpoint_s) * 1_000_000
     wide = F.col("t") - F.col("start_t")
-    reason = F.when(F.col("was") != F.col("segment"), "restarted").when(F.col("beats") == 1, "stopped").otherwise("no entries")
-    rows = rows.filter((wide >= hole_us) & ((F.col("beats") == 1) | (wide >= least))).select("day", "start_t", F.col("t").alias("end_t"), reason.alias("reason"), "beats")
+    sure = F.coalesce((F.col("was") != F.col("segment")) | (F.col("beats") == 1), F.lit(False))
+    reason = F.when(F.col("was") != F.col("segment"), RESTARTED).when(F.col("beats") == 1, STOPPED).otherwise(SILENT)
+    rows = rows.filter((wide >= hole_us) & (sure | (wide >= least))).select("day", "start_t", F.col("t").alias("end_t"), reason.alias("reason"), sure.alias("sure"))
     if checkpoints is not None:
         c = checkpoints.select(F.col("day").alias("c_day"), F.col("ts").alias("c_ts"))
-        inside = (F.col("day") == c.c_day) & (F.col("beats") == 0) & (c.c_ts > F.col("start_t")) & (c.c_ts < F.col("end_t"))
+        inside = (F.col("day") == c.c_day) & ~F.col("sure") & (c.c_ts > F.col("start_t")) & (c.c_ts < F.col("end_t"))
         rows = rows.join(c, inside, "left_anti")
-    return rows.drop("beats")
+    return rows.drop("sure")
 
 
 def coalesced(rows: DataFrame, key: str, start: str, end: str, tolerance_us: int, slice_us: int = 86_400_000_000) -> DataFrame:

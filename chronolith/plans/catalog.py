@@ -53,21 +53,21 @@ def idle_visual(spark, sf):
 
 GAPS = """, g AS (SELECT day, op, lag(t) OVER w AS start_t, t AS end_t, segment, lag(segment) OVER w AS was, max(CAST(op = 3 AS INT)) OVER (PARTITION BY day) AS beats
   FROM log {} WINDOW w AS (PARTITION BY day ORDER BY t, event_id))
-SELECT day, start_t, end_t, CASE WHEN was <> segment THEN 'restarted' WHEN beats = 1 THEN 'stopped' ELSE 'no entries' END AS reason
-FROM g WHERE (beats = 1 AND end_t - start_t >= 120000000) OR (beats = 0 AND end_t - start_t >= 360000000)"""
+SELECT day, start_t, end_t, CASE WHEN was <> segment THEN 'recording restarted' WHEN beats = 1 THEN 'recorder was not watching' ELSE 'no activity for a long stretch' END AS reason
+FROM g WHERE end_t - start_t >= 120000000 AND (was <> segment OR beats = 1 OR (end_t - start_t >= 360000000{}))"""
 
 
-@query(GAPS.format(""))
+@query(GAPS.format("", ""))
 def gaps_reason(spark, sf):
     return timeline.gaps(log(spark, sf))
 
 
-@query(GAPS.format("WHERE op <> 3"))
+@query(GAPS.format("WHERE op <> 3", ""))
 def gaps_fallback(spark, sf):
     return timeline.gaps(log(spark, sf).filter("op <> 3"))
 
 
-@query(GAPS.format("WHERE op <> 3") + " AND NOT EXISTS (SELECT 1 FROM (SELECT day AS d, min(t) + 43200000000 AS c FROM log GROUP BY day) WHERE d = day AND c > start_t AND c < end_t)")
+@query(GAPS.format("WHERE op <> 3", " AND NOT EXISTS (SELECT 1 FROM (SELECT day AS d, min(t) + 43200000000 AS c FROM log GROUP BY day) WHERE d = day AND c > start_t AND c < end_t)"))
 def gaps_checkpointed(spark, sf):
     rows = log(spark, sf)
     points = rows.groupBy("day").agg((F.min("t") + 12 * HOUR).alias("ts"))
@@ -430,3 +430,24 @@ def desktop_box(spark, sf):
 def pacing(spark, sf):
     n = F.col("n")
     return spark.range(60).withColumnRenamed("id", "n").select("n", metrics.pace_ms(n, 8, n % 5, 5.0, 2000.0).alias("pace"), metrics.timeout_ms(n, 200).alias("wait"))
+
+
+@query(f""", p AS (SELECT monitor_id, {AT} + i * {6 * HOUR} AS "at" FROM range(4) r(i), (SELECT DISTINCT monitor_id FROM log))
+SELECT monitor_id, "at", tile_x, tile_y, asset_hash FROM (SELECT p.monitor_id, "at", tile_x, tile_y, arg_max(op, (t, event_id)) AS o, arg_max(asset_hash, (t, event_id)) AS asset_hash
+  FROM p JOIN log ON log.monitor_id = p.monitor_id AND t <= "at" AND op <= 2 GROUP BY ALL) WHERE o <> 2""")
+def states_at(spark, sf):
+    rows = log(spark, sf)
+    at = F.explode(F.sequence(F.lit(AT), F.lit(AT + 18 * HOUR), F.lit(6 * HOUR))).alias("at")
+    return state.folds(rows, rows.select("monitor_id").distinct().select("monitor_id", at))
+
+
+@query("SELECT event_id, CASE WHEN ms < 1000 THEN printf('%dms', CAST(ms AS BIGINT)) WHEN s < 10 THEN printf('%.1fs', round(s, 1)) WHEN s < 60 THEN printf('%.0fs', round(s)) WHEN s >= 3600 THEN printf('%dh %02dm', n // 3600, n % 3600 // 60) ELSE printf('%dm %02ds', n // 60, n % 60) END AS took, CASE WHEN n >= 3600 THEN printf('%d:%02d:%02d', n // 3600, n % 3600 // 60, n % 60) ELSE printf('%d:%02d', n // 60, n % 60) END AS clock FROM (SELECT event_id, us / 1000.0::DOUBLE AS ms, us / 1000000.0::DOUBLE AS s, us // 1000000 AS n FROM (SELECT event_id, event_id * event_id * 1000 AS us FROM events WHERE event_id % 7 <> 0))")
+def duration_text(spark, sf):
+    us = F.col("event_id") * F.col("event_id") * 1000
+    return table(spark, sf, "events").filter("event_id % 7 <> 0").select("event_id", text.duration(us).alias("took"), text.duration_clock(us).alias("clock"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'excluded' WHEN event_id % 13 = 0 THEN 'protected' WHEN event_type = 'click' THEN 'unchanged' ELSE 'recorded' END AS disposition FROM events")
+def frame_gate(spark, sf):
+    i = F.col("event_id")
+    return table(spark, sf, "events").select("event_id", text.disposition(i % 11 == 0, i % 13 == 0, F.when(F.col("event_type") == "click", 0).otherwise(2)).alias("disposition"))

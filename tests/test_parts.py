@@ -39,13 +39,16 @@ def test_five_event_day_has_one_idle_span(spark):
 def test_gap_rules(spark):
     beat = lambda s: [entry(i, 1_000_000 * t, op=3) for i, t in enumerate(s)]
     run = lambda rows, **k: [(r.start_t // 1_000_000, r.end_t // 1_000_000, r.reason) for r in timeline.gaps(spark.createDataFrame(rows, LOG), **k).collect()]
-    assert run(beat([15, 30, 130, 250])) == [(130, 250, "stopped")]
+    assert run(beat([15, 30, 130, 250])) == [(130, 250, timeline.STOPPED)]
     plain = [entry(i, 1_000_000 * t) for i, t in enumerate([1, 241, 661])]
-    assert run(plain) == [(241, 661, "no entries")]
+    assert run(plain) == [(241, 661, timeline.SILENT)]
     inside = spark.createDataFrame([("d", 300_000_000)], "day string, ts long")
     assert run(plain, checkpoints=inside) == []
-    assert run(plain, checkpoints=spark.createDataFrame([("d", 241_000_000)], "day string, ts long")) == [(241, 661, "no entries")]
-    assert run([entry(0, 1_000_000), entry(1, 500_000_000, segment=1)])[0][2] == "restarted"
+    assert run(plain, checkpoints=spark.createDataFrame([("d", 241_000_000)], "day string, ts long")) == [(241, 661, timeline.SILENT)]
+    assert run([entry(0, 1_000_000), entry(1, 500_000_000, segment=1)])[0][2] == timeline.RESTARTED
+    # a restart is proof: neither the longer threshold nor a checkpoint inside hides it
+    again = [entry(0, 1_000_000), entry(1, 141_000_000, segment=1)]
+    assert run(again, checkpoints=spark.createDataFrame([("d", 60_000_000)], "day string, ts long")) == [(1, 141, timeline.RESTARTED)]
 
 
 def test_fold_with_base_equals_fold_of_all(spark):
@@ -87,6 +90,14 @@ def test_grid_and_text(spark):
     assert tuple(r) == (-1, -30, True, True, 3_723_500_000, 90_000_005, None)
 
 
+def test_display_texts(spark):
+    df = spark.createDataFrame([(None, None, None), (-1, "  ", False), (1_234_567, " a ", True)], "n long, s string, b boolean")
+    rows = df.select(text.count(F.col("n")), text.duration(F.col("n")), text.shown(F.col("s")), text.yes_no(F.col("b"))).collect()
+    assert [tuple(r) for r in rows] == [("—", "—", "—", "—"), ("-1", "—", "—", "no"), ("1,234,567", "1.2s", "a", "yes")]
+    more = spark.range(1).select(text.speed(F.lit(2.0)), text.speed(F.lit(1.50)), text.speed(F.lit(0.05)), text.size(F.lit(1536)), text.size(F.lit(20 << 20)), text.size(F.lit(3 << 30)), text.day_long(F.lit("2024-01-05")), text.day_long(F.lit("x")), text.progress(F.lit(5), F.lit(0), F.lit(0)), text.progress(F.lit(9), F.lit(0), F.lit(6)))
+    assert tuple(more.first()) == ("2x", "1.5x", "0.05x", "1.5 KB", "20 MB", "3.00 GB", "Fri 5 Jan 2024", "x", 0.0, 1.0)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rnd = random.Random(2)
     rows = [entry(i, i, rnd.randrange(3), 0, rnd.randrange(1, 4), rnd.choice([0, 0, 1, 2, 3])) for i in range(120)]
