@@ -86,9 +86,15 @@ def in_force(geometry: DataFrame) -> DataFrame:
     return best.withColumn("until_t", until)
 
 
+def small(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """rows, marked to be broadcast if there are at most ``most`` of them (one count over a limit tells); beyond that the
+    join is left to shuffle, where adaptive execution splits a hot monitor."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def _under(log: DataFrame, stretches: DataFrame) -> DataFrame:
     """log with the stretch (from_t, g) it falls in; nulls before the first. One match at most, so nothing multiplies."""
-    s = stretches.select(F.col("monitor_id").alias("_m"), "from_t", "until_t", "g")
+    s = small(stretches.select(F.col("monitor_id").alias("_m"), "from_t", "until_t", "g"))
     met = (F.col("monitor_id") == F.col("_m")) & (F.col("from_t") <= F.col("t")) & (F.col("t") < F.col("until_t"))
     return log.join(s, met, "left").drop("_m", "until_t")
 
@@ -120,7 +126,7 @@ def replay(log: DataFrame, geometry: DataFrame, at: int, base: DataFrame | None
     before = F.lag("grid").over(Window.partitionBy("monitor_id").orderBy("from_t"))
     emptied = held.withColumn("before", before).filter("before <> grid").groupBy("monitor_id").agg(F.max("from_t").alias("since"))
     monitors = seed.join(emptied, "monitor_id", "left")
-    entries = rows.filter("op <= 2").join(monitors, "monitor_id").filter("since is null or t >= since").withColumn("g", F.coalesce("g", "seed"))
+    entries = rows.filter("op <= 2").join(small(monitors), "monitor_id").filter("since is null or t >= since").withColumn("g", F.coalesce("g", "seed"))
     x, y = F.col("tile_x") - F.col("g.origin_x"), F.col("tile_y") - F.col("g.origin_y")
     inside = x.between(0, F.col("g.columns") - 1) & y.between(0, F.col("g.rows") - 1)
     cells = entries.filter(inside).withColumn("idx", (y * F.col("g.columns") + x).cast("long"))
