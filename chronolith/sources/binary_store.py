@@ -1,4 +1,4 @@
-"""Binary snapshots, manifests, packs and frame dumps as DataFrames; numbers are little-endian, hashes 64-bit patterns.
+"""Snapshots, manifests, packs, frame dumps and geometry files as DataFrames; numbers are little-endian, hashes 64-bit patterns.
 
 Each file is parsed in the task that reads it. The magics that files begin with are parameters.
 """
@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolith.functions import geo
 from chronolith.operators.store import valid_prefix
 
 TILE = np.dtype([("idx", "<u4"), ("asset_hash", "<i8")])
@@ -124,3 +125,22 @@ def read_frames(spark: SparkSession, path: str, magic: bytes, glob: str = "*.raw
         yield name, int(name.rsplit("/", 1)[1].split("-")[0]), monitor, x, y, width, height, data[28 : 28 + size]
 
     return _parsed(_files(spark, path, glob), parse, FRAME)
+
+
+def read_meta(spark: SparkSession, path: str, glob: str = "meta.json") -> DataFrame:
+    """Monitors of all geometry files: id, place, size and the milliseconds first and last seen, in the file's order.
+
+    Fields are found in any case; a file that isn't such JSON has no monitors.
+    """
+    monitor = "struct<id:int, x:int, y:int, width:int, height:int, tileSize:int, firstSeenUnixMs:bigint, lastSeenUnixMs:bigint>"
+    files = spark.read.schema(f"monitors array<{monitor}>").option("multiLine", "true").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").json(path)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.posexplode("monitors").alias("row", "m")).select("path", "row", "m.*")
+
+
+def geometry(meta: DataFrame) -> DataFrame:
+    """The dimension that a replay needs: grids in cells, and times in µs that hold for whole milliseconds."""
+    ox, oy, columns, rows = geo.grid(*(F.col(c) for c in ("x", "y", "width", "height")), F.col("tileSize"))
+    return meta.select(
+        F.col("id").cast("long").alias("monitor_id"), columns.cast("long").alias("columns"), rows.cast("long").alias("rows"), ox.cast("long").alias("origin_x"), oy.cast("long").alias("origin_y"),
+        (F.col("firstSeenUnixMs") * 1000).alias("first_t"), (F.col("lastSeenUnixMs") * 1000 + 999).alias("last_t"), F.col("row").cast("long").alias("row"),
+    )

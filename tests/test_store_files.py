@@ -1,3 +1,4 @@
+import json
 import random
 import struct
 import zlib
@@ -116,6 +117,16 @@ def test_snapshots_and_manifests(spark, tmp_path):
     assert sorted(r.asset_hash for r in binary_store.read_manifest(spark, str(tmp_path), b"MANIF1").collect()) == [-4, 3, 3]
 
 
+def test_geometry_files(spark, tmp_path):
+    monitor = {"id": 1, "deviceName": "d", "x": -1920, "y": 0, "width": 1366, "height": 768, "tileSize": 64, "firstSeenUnixMs": 5, "lastSeenUnixMs": 9}
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a" / "meta.json").write_text(json.dumps({"version": 1, "monitors": [monitor, {**monitor, "width": 1024}]}, indent=2))
+    (tmp_path / "b" / "meta.json").write_text("{ no json")
+    found = binary_store.geometry(binary_store.read_meta(spark, str(tmp_path))).orderBy("row").collect()
+    assert [tuple(r) for r in found] == [(1, 22, 12, -30, 0, 5000, 9999, 0), (1, 16, 12, -30, 0, 5000, 9999, 1)]
+
+
 def test_packs_are_read_to_their_last_good_record(spark, tmp_path):
     tile = np.arange(4 * 4 * 4, dtype=np.uint8).tobytes()
     payloads = [codec.encode(c, 4, 4, tile) for c in (1, 3)]
