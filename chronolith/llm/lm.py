@@ -2,8 +2,8 @@
 
 The model is a GRU over words with a class-factored softmax: log P(word) = log P(class) + log P(word | class), classes
 being bands of equal mass by frequency. Words outside its vocabulary share one unknown word, divided further by their
-counts. Training is truncated backpropagation: windows of a segment of every training document run side by side, the
-state is carried from window to window, gradients stop at the border. Every partition trains on its own documents from
+counts. Training is truncated backpropagation: windows of all training documents, whole, run side by side, the state is
+carried from window to window, gradients stop at the border. Every partition trains on its own documents from
 the common start, and the parameters are averaged, weighted by tokens, after each round.
 
 Scoring carries the state over the windows of a document, so the log-likelihood is that of the whole document. Word
@@ -28,8 +28,8 @@ from chronolith.llm.common import checkpointed, chunked, fold, shuffle_partition
 #: Sizes of the model (fixed, whatever the input): words with the unknown one and the end, units of the state.
 WORDS, UNITS = 2048, 16
 UNKNOWN, END = 0, 1
-#: Training: tokens of a document's segment, of a window; documents side by side; rounds of averaging.
-SEGMENT, WINDOW, LANES, ROUNDS = 32, 16, 256, 2
+#: Training: tokens of a window; documents side by side; rounds of averaging.
+WINDOW, LANES, ROUNDS = 16, 256, 2
 
 
 def classes(counts: np.ndarray) -> np.ndarray:
@@ -102,29 +102,46 @@ def outputs(p, borders, h, words, grads=None):
     return (out, dh) if grads is not None else out
 
 
-def window_gradients(p, borders, inputs, words, h):
-    """Loss, gradients and last state of one window: inputs and words are (time, lanes)."""
-    states, kept = [h], []
-    for ids in inputs:
-        h, own = step(p, ids, states[-1])
+def window_gradients(p, borders, inputs, words, h, fresh=None, valid=None):
+    """Loss, gradients and last state of one window: inputs and words are (time, lanes).
+
+    A document starts, from the zero state, where fresh is set; places that are not valid hold no token.
+    """
+    states, befores, kept = [], [], []
+    for t, ids in enumerate(inputs):
+        if fresh is not None and fresh[t].any():
+            h = np.where(fresh[t][:, None], 0, h).astype(h.dtype)
+        befores.append(h)
+        h, own = step(p, ids, h)
         states.append(h), kept.append(own)
     grads = {k: np.zeros_like(v) for k, v in p.items()}
-    flat = np.concatenate(states[1:])
-    logp, dflat = outputs(p, borders, flat, words.ravel(), grads)
+    flat, labels = np.concatenate(states), words.ravel()
+    if valid is None or valid.all():
+        logp, dflat = outputs(p, borders, flat, labels, grads)
+    else:
+        at, dflat = np.flatnonzero(valid.ravel()), np.zeros_like(flat)
+        logp, dflat[at] = outputs(p, borders, flat[at], labels[at], grads)
     n, lanes, dh = h.shape[1], h.shape[0], np.zeros_like(h)
+    moves = np.empty((len(inputs), lanes, 3 * n), h.dtype)
     for t in range(len(inputs) - 1, -1, -1):
         z, r, new, bn = kept[t]
-        before = states[t]
+        before = befores[t]
         dh = dh + dflat[t * lanes : (t + 1) * lanes]
         dz = dh * (before - new) * z * (1 - z)
         dn = dh * (1 - z) * (1 - new * new)
         dr = dn * bn * r * (1 - r)
-        da = np.concatenate((dz, dr, dn), 1)
+        da = np.concatenate((dz, dr, dn), 1, out=moves[t])
         db = np.concatenate((dz, dr, dn * r), 1)
-        np.add.at(grads["x"], inputs[t], da)
         grads["b"] += da.sum(0)
         grads["u"] += before.T @ db
         dh = dh * z + db @ p["u"].T
+        if fresh is not None and fresh[t].any():
+            dh[fresh[t]] = 0
+    ids = inputs.ravel()
+    order = np.argsort(ids.astype(np.int16 if len(p["x"]) < 1 << 15 else np.int32), kind="stable")
+    own = ids[order]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    grads["x"][own[first]] = np.add.reduceat(moves.reshape(-1, 3 * n)[order], first)
     return -float(logp.sum()), grads, states[-1]
 
 
@@ -141,15 +158,61 @@ class Adam:
             p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.98**self.t)) + 1e-6)
 
 
-def train(p, borders, segments: np.ndarray, optimiser: Adam):
-    """One pass over segments (documents, SEGMENT + 1): the first column is the token before the segment."""
-    for at in range(0, len(segments), LANES):
-        part = segments[at : at + LANES].T
-        h = np.zeros((part.shape[1], p["u"].shape[0]), np.float32)
-        for t in range(0, len(part) - 1, WINDOW):
-            words = part[t + 1 : t + 1 + WINDOW]
-            _, grads, h = window_gradients(p, borders, part[t : t + WINDOW][: len(words)], words, h)
-            optimiser.apply(p, grads, 1 / words.size)
+def windows(documents, lanes: int = LANES):
+    """(inputs, words, fresh, valid, kept) of each window, (time, lanes): every token of every document, once, in order.
+
+    A document takes a lane until its last token and the next one goes on in that lane. kept are the lanes of the last
+    window that still have tokens; they become fewer only when no document is left.
+    """
+    documents = iter(documents)
+    held: list = [None] * lanes
+    at = [0] * lanes
+    while True:
+        shape = (WINDOW, len(held))
+        inputs, words = np.full(shape, END, np.int32), np.full(shape, END, np.int32)
+        fresh, valid = np.zeros(shape, bool), np.zeros(shape, bool)
+        for k in range(len(held)):
+            t = 0
+            while t < WINDOW:
+                if held[k] is None:
+                    held[k], at[k] = next(documents, None), 0
+                    if held[k] is None:
+                        break
+                    fresh[t, k] = True
+                d, i = held[k], at[k]
+                n = min(WINDOW - t, len(d) - i)
+                words[t : t + n, k] = d[i : i + n]
+                inputs[t + (i == 0) : t + n, k] = d[i - (i > 0) : i + n - 1]
+                valid[t : t + n, k] = True
+                t, at[k] = t + n, i + n
+                if at[k] == len(d):
+                    held[k] = None
+        kept = np.flatnonzero(valid[0])
+        if not len(kept):
+            return
+        if len(kept) < len(held):
+            held, at = [held[k] for k in kept], [at[k] for k in kept]
+            inputs, words, fresh, valid = inputs[:, kept], words[:, kept], fresh[:, kept], valid[:, kept]
+        yield inputs, words, fresh, valid, kept
+
+
+def train(p, borders, documents, optimiser: Adam) -> int:
+    """One pass over whole documents (ids that end in END); returns the number of tokens.
+
+    Windows of few lanes, at the end, add up to a quarter of a full one before they move the parameters.
+    """
+    h, held, n, done = np.zeros((LANES, p["u"].shape[0]), np.float32), None, 0, 0
+    for inputs, words, fresh, valid, kept in windows(documents):
+        _, grads, h = window_gradients(p, borders, inputs, words, h[kept], fresh, valid)
+        held = grads if held is None else {k: held[k] + g for k, g in grads.items()}
+        own = int(valid.sum())
+        n, done = n + own, done + own
+        if n >= LANES * WINDOW // 4:
+            optimiser.apply(p, held, 1 / n)
+            held, n = None, 0
+    if n:
+        optimiser.apply(p, held, 1 / n)
+    return done
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -289,7 +352,7 @@ def vocabulary(counts: DataFrame, size: int) -> tuple[list[tuple[bytes, int]], i
 
 
 def fit(docs: DataFrame, known: list[tuple[bytes, int]], n_tokens: int, n_ends: int) -> tuple[dict, np.ndarray]:
-    """Parameters and class borders, trained on a segment of every training document, at a place drawn by its id."""
+    """Parameters and class borders, trained on every training document, whole."""
     common = np.array([n for _, n in known], np.float64)
     counts = np.concatenate(([max(1.0, n_tokens - common.sum()), max(1.0, n_ends)], common))
     borders = classes(counts)
@@ -299,27 +362,23 @@ def fit(docs: DataFrame, known: list[tuple[bytes, int]], n_tokens: int, n_ends:
     params["cb"] = np.log(np.add.reduceat(counts, borders[:-1]) / counts.sum()).astype(np.float32)
     params["wb"] = np.log(counts / np.add.reduceat(counts, borders[:-1])[np.searchsorted(borders, np.arange(len(counts)), "right") - 1]).astype(np.float32)
     vocab = sc.broadcast(ids)
-    rows = docs.filter(F.coalesce(fold(), F.lit(-1)) != 1).select(F.col("text").cast("binary").alias("text"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)).alias("place"))
+    rows = docs.filter(F.coalesce(fold(), F.lit(-1)) != 1).select(F.col("text").cast("binary").alias("text"))
     shapes = {k: v.shape for k, v in params.items()}
     for _ in range(ROUNDS):
         sent = sc.broadcast(params)
 
         def run(batches, sent=sent):
             p = {k: v.copy() for k, v in sent.value.items()}
-            optimiser, done, waiting, look = Adam(p), 0, [], vocab.value
-            for batch in batches:
-                for text, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    own = [None, *tokens(text), None]
-                    if len(own) <= SEGMENT:  # short documents go on from their end, as the next document would
-                        own = own * (SEGMENT // len(own) + 2)
-                    at = place % (len(own) - SEGMENT)
-                    waiting.append([END if w is None else look.get(w, UNKNOWN) for w in own[at : at + SEGMENT + 1]])
-                if len(waiting) >= 4 * LANES:
-                    train(p, borders, np.array(waiting, np.int32), optimiser)
-                    done, waiting = done + len(waiting), []
-            if waiting:
-                train(p, borders, np.array(waiting, np.int32), optimiser)
-                done += len(waiting)
+            look = vocab.value
+
+            def documents():
+                for batch in batches:
+                    for text in batch.column(0):
+                        own = tokens(text.as_py())
+                        ids = np.fromiter(map(look.get, own, repeat(UNKNOWN)), np.int32, len(own))
+                        yield np.append(ids, np.int32(END))
+
+            done = train(p, borders, documents(), Adam(p))
             if done:
                 names = sorted(p)
                 yield pa.RecordBatch.from_arrays(

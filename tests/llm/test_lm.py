@@ -73,3 +73,45 @@ def test_probabilities_add_up_and_state_is_carried():
             before = np.array([w])
             own += lm.outputs(p, borders, h, before)[0]
         assert abs(own - total) < 1e-4 * max(1, abs(own))
+
+
+def test_gradients_over_several_documents_of_a_lane():
+    p, borders = setup()
+    rng = np.random.default_rng(3)
+    documents = [np.array([*rng.integers(2, 40, n), lm.END]) for n in (2, 5, 0, 5, 3, 1)]
+    inputs, words, fresh, valid, _ = next(lm.windows(documents, 2))
+    assert valid.sum() == sum(map(len, documents)) and not valid.all() and fresh.sum() == 6
+    loss, grads, _ = lm.window_gradients(p, borders, inputs, words, np.ones((2, 5)), fresh, valid)
+    assert abs(loss + lm.log_likelihoods(p, borders, documents).sum()) < 1e-4
+    for name, value in p.items():
+        for at in rng.integers(0, value.size, 6):
+            old, sides = value.flat[at], []
+            for d in (1e-5, -1e-5):
+                value.flat[at] = old + d
+                sides.append(lm.window_gradients(p, borders, inputs, words, np.ones((2, 5)), fresh, valid)[0])
+            value.flat[at] = old
+            assert abs((sides[0] - sides[1]) / 2e-5 - grads[name].flat[at]) < 1e-4
+
+
+def test_windows_hold_every_token_once():
+    documents = [np.array([*np.random.default_rng(i).integers(2, 40, i * 7 % 90), lm.END]) for i in range(40)]
+    got, lane = [[] for _ in range(5)], np.arange(5)
+    for inputs, words, fresh, valid, kept in lm.windows(documents, 5):
+        lane = lane[kept]
+        for k, n in enumerate(lane):
+            got[n] += words[valid[:, k], k].tolist()
+    whole = [tuple(d) for g in got for d in np.split(np.array(g), np.flatnonzero(np.array(g) == lm.END) + 1) if len(d)]
+    assert sorted(whole) == sorted(tuple(d) for d in documents)
+
+
+def test_every_part_of_a_document_trains(spark):
+    words = [f"w{i % 50}" for i in range(600)]
+
+    def learnt(words):
+        df = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string").selectExpr("cast(null as long) doc_id", "text")
+        params, _ = lm.fit(df, [(f"w{i}".encode(), 12) for i in range(50)], 600, 1)
+        return params["u"]
+
+    before = learnt(words)
+    for at in range(0, 600, 200):  # the same counts in another order, in one third at a time
+        assert not np.array_equal(learnt(words[:at] + words[at : at + 200][::-1] + words[at + 200 :]), before)
