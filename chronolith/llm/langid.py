@@ -6,7 +6,8 @@ phrases. The language with the smallest phrases * log2(sample length) / text len
 in bits a character, wins.
 
 The automata become dense tables of transitions in which a miss leads to the state after the character alone and
-carries the count of one phrase, so that NumPy parses thousands of segments of a batch side by side. Texts are parsed
+carries the count of one phrase (characters beyond a language's ALPHABET - 1 commonest have sparse transitions, so that
+every character of a sample can match), so that NumPy parses thousands of segments of a batch side by side. Texts are parsed
 whole, in segments of SEGMENT characters (a phrase ends at the end of a segment, for every language alike).
 """
 
@@ -30,8 +31,12 @@ SEGMENT, ALPHABET = 512, 96
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def automaton(codes: list[int], size: int) -> np.ndarray:
-    """Flat table of a suffix automaton: at [state * size + code] twice the next state's offset, plus one for a miss."""
+def automaton(codes: list[int], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix automaton of codes: a flat table for codes under ``size``, and transitions by the other, rarer ones.
+
+    The table has at [state * size + code] twice the next state's offset, plus one for a miss. Rarer codes have sorted
+    keys (state * size * all codes + code), the value for each, and for each code the value where no key is found.
+    """
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -70,14 +75,20 @@ def automaton(codes: list[int], size: int) -> np.ndarray:
                     step[p][c] = twin
                     p = link[p]
         last = now
-    restart = np.ones(size, np.int32)
+    span = max(size, max(codes, default=0) + 1)
+    restart = np.ones(span, np.int32)
     for c, s in step[0].items():
         restart[c] = 2 * s * size + 1
-    table = np.tile(restart, (len(step), 1))
+    table = np.tile(restart[:size], (len(step), 1))
+    rare = []
     for s, moves in enumerate(step):
         for c, to in moves.items():
-            table[s, c] = 2 * to * size
-    return table.ravel()
+            if c < size:
+                table[s, c] = 2 * to * size
+            else:
+                rare.append((s * size * span + c, 2 * to * size))
+    keys, values = np.array(sorted(rare), np.int64).reshape(-1, 2).T
+    return table.ravel(), np.ascontiguousarray(keys), values.astype(np.int32), restart
 
 
 class Model:
@@ -86,17 +97,21 @@ class Model:
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
         counts = Counter(c for lang in self.languages for c in samples[lang].lower())
-        common = sorted(counts, key=lambda c: (-counts[c], c))[: ALPHABET - 1]
-        self.codes = np.zeros(1 << 16, np.uint8)
-        for n, c in enumerate(common):
-            if ord(c) < 1 << 16:
-                self.codes[ord(c)] = n + 1
-        self.tables = [automaton(self.code(samples[lang].lower()).tolist(), ALPHABET) for lang in self.languages]
+        known = sorted(counts)
+        self.codes = np.zeros(0x110000, np.int32)  # of all languages; 0 for a character in no sample
+        self.codes[[ord(c) for c in known]] = np.arange(1, len(known) + 1)
+        self.own, self.automata = [], []  # each language numbers all characters of its sample, the commonest first
+        for lang in self.languages:
+            codes = self.code(samples[lang].lower())
+            often = Counter(codes.tolist())
+            own = np.zeros(len(known) + 1, np.int32)
+            own[sorted(often, key=lambda c: (-often[c], c))] = np.arange(1, len(often) + 1)
+            self.own.append(own)
+            self.automata.append(automaton(own[codes].tolist(), ALPHABET))
         self.bits = np.array([np.log2(max(2, len(samples[lang]))) for lang in self.languages])
 
     def code(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        return self.codes[np.minimum(points, (1 << 16) - 1)]
+        return self.codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of each text by each language's automaton; an array (texts, languages)."""
@@ -115,12 +130,20 @@ class Model:
             grid[: sizes[k], k] = pieces[k][1]
         live = np.searchsorted(-sizes, -np.arange(SEGMENT), "left")
         owner = np.array([n for n, _ in pieces])
-        for n, table in enumerate(self.tables):
+        for n, (table, keys, values, restart) in enumerate(self.automata):
             state, count = np.zeros(len(pieces), np.int32), np.ones(len(pieces), np.int32)
-            for row, m in zip(grid, live.tolist()):
+            for row, m in zip(self.own[n][grid], live.tolist()):
                 if not m:
                     break
-                got = table[state[:m] + row[:m]]
+                row = row[:m]
+                if len(keys):
+                    at = np.flatnonzero(row >= ALPHABET)
+                    rare, row[at] = row[at], 0
+                got = table[state[:m] + row]
+                if len(keys) and len(at):
+                    key = state[at].astype(np.int64) * len(restart) + rare
+                    place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    got[at] = np.where(keys[place] == key, values[place], restart[rare])
                 count[:m] += got & 1
                 state[:m] = got >> 1
             out[:, n] = np.bincount(owner, count, len(texts))

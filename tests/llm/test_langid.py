@@ -56,3 +56,24 @@ def test_awkward_rows(spark):
     assert langid.identify(df.limit(0)).collect() == []
     nothing = df.withColumn("lang", df.lang.substr(100, 1)).selectExpr("doc_id", "text", "cast(null as string) as lang")
     assert {r.lang_pred for r in langid.identify(nothing).collect()} == {"und"}
+
+
+def test_several_scripts_against_plain_search():
+    import random
+
+    rnd = random.Random(2)
+    scripts = {"ar": (0x620, 40), "el": (0x3B1, 24), "en": (0x61, 26), "ja": (0x3041, 80), "ru": (0x430, 32), "xx": (0x20000, 300), "zh": (0x4E00, 2500)}
+    text = lambda at, n, k: "".join(chr(at + int(n * rnd.random() ** 2)) + " " * (rnd.random() < 0.1) for _ in range(k))
+    samples = {lang: text(*of, 3000).lower() for lang, of in scripts.items()}
+    model = langid.Model(samples)
+    texts, want = [], []
+    for lang, of in scripts.items():
+        for k in (4, 30, 200):
+            at = rnd.randrange(2000)
+            texts += [samples[lang][at : at + k], text(*of, k)]
+            want += [lang] * 2
+    texts.append("".join(t[:15] for t in texts))
+    got = model.phrases(texts)
+    for n, t in enumerate(texts):
+        assert got[n].tolist() == [longest_matches(t.lower(), samples[x]) for x in model.languages]
+    assert model.predict(texts[:-1])[0] == want
