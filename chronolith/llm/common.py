@@ -6,6 +6,7 @@ import gc
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,14 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the session's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. A session without one gets a temporary folder if it is local; on a
+    cluster, where executors would not see it, that is an error."""
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if at:
+        return at.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir().rstrip("/")
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where none is configured.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -37,17 +46,33 @@ def fold(doc_id_column: str = "doc_id", folds: int = 5):
     return F.crc32(F.col(doc_id_column).cast("string").cast("binary")) % folds
 
 
+def text_bytes(docs: DataFrame) -> int:
+    """UTF-8 bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+
+
+def chunks_for(size: int, chunk: int) -> int:
+    """How many chunks hold texts of ``size`` bytes: each about ``chunk`` bytes, smaller ones (down to a MB) where that
+    would be under 64 chunks. It depends on the data alone."""
+    return max(1, -(-size // chunk), min(64, size >> 20))
+
+
 def chunked(docs: DataFrame, chunks: int) -> DataFrame:
-    """(doc_id, text, chunk): whole documents dealt out evenly, all rows of a chunk in one partition.
+    """(doc_id, text, h, chunk): whole documents dealt out evenly, all rows of a chunk in one partition.
 
     The chunk depends on the row alone, so that a later stage, or a task run again after a lost executor,
     finds every document in the same chunk. Null ids and null texts hash like any other value.
     """
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("h", F.xxhash64("doc_id", "text"))
+    rows = rows.withColumn("chunk", F.pmod("h", F.lit(chunks)).cast("int"))
     return rows.repartition(shuffle_partitions(docs.sparkSession), "chunk")
 
 
+def ordered(part: pa.Table) -> pa.Table:
+    """The rows of a chunk in an order that depends on them alone."""
+    return part.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+
+
 _MODEL: dict = {}
 
 

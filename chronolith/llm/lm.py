@@ -3,8 +3,12 @@
 The model is a GRU over words with a class-factored softmax: log P(word) = log P(class) + log P(word | class), classes
 being bands of equal mass by frequency. Words outside its vocabulary share one unknown word, divided further by their
 counts. Training is truncated backpropagation: windows of all training documents, whole, run side by side, the state is
-carried from window to window, gradients stop at the border. Every partition trains on its own documents from
-the common start, and the parameters are averaged, weighted by tokens, after each round.
+carried from window to window, gradients stop at the border.
+
+Documents are dealt by a hash of their content into chunks of about CHUNK bytes, whose number follows the input's size,
+and stand in each chunk in an order of their own, so the model does not depend on how the input is split. The chunks of
+a round train from its common start, one epoch over all tokens in ROUNDS rounds, and their parameters are averaged,
+weighted by tokens, up a tree of bounded fan-in.
 
 Scoring carries the state over the windows of a document, so the log-likelihood is that of the whole document. Word
 counts come from all training documents: partitions send their counts to buckets of words, and each chunk of documents
@@ -13,6 +17,7 @@ asks the buckets for the counts of the words that it holds.
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections import Counter
@@ -23,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import checkpointed, chunked, fold, shuffle_partitions
+from chronolith.llm.common import checkpointed, chunked, chunks_for, fold, ordered, text_bytes
 
 #: Sizes of the model (fixed, whatever the input): words with the unknown one and the end, units of the state.
-WORDS, UNITS = 2048, 16
+WORDS, UNITS = 2048, 24
 UNKNOWN, END = 0, 1
-#: Training: tokens of a window; documents side by side; rounds of averaging.
-WINDOW, LANES, ROUNDS = 16, 256, 2
+#: Training: tokens of a window; documents side by side; rounds of averaging; blobs added up at once.
+WINDOW, LANES, ROUNDS, FAN = 32, 128, 2, 16
+#: Bytes of text of a chunk, and of the text behind a bucket of words.
+CHUNK, BUCKET = 16 << 20, 64 << 20
 
 
 def classes(counts: np.ndarray) -> np.ndarray:
@@ -44,104 +51,132 @@ def start(words: int, borders: np.ndarray, units: int = UNITS, seed: int = 5) ->
     draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
     zeros = lambda *shape: np.zeros(shape, np.float32)
     n = len(borders) - 1
-    return {"x": draw(words, 3 * units), "u": draw(units, 3 * units), "b": zeros(3 * units), "c": draw(units, n), "cb": zeros(n), "w": draw(words, units), "wb": zeros(words)}
-
-
-def sigmoid(x):
-    return 1 / (1 + np.exp(-x))
-
-
-def step(p, ids, h):
-    """One GRU step: the next state and what backpropagation needs."""
-    n = h.shape[1]
-    a, b = p["x"][ids] + p["b"], h @ p["u"]
-    zr = sigmoid(a[:, : 2 * n] + b[:, : 2 * n])
-    z, r = zr[:, :n], zr[:, n:]
-    new = np.tanh(a[:, 2 * n :] + r * b[:, 2 * n :])
-    return new + z * (h - new), (z, r, new, b[:, 2 * n :])
+    return {"x": draw(words, 3 * units), "u": draw(3 * units, units), "b": zeros(3 * units), "c": draw(n, units), "cb": zeros(n), "w": draw(words, units), "wb": zeros(words)}
+
+
+def step(u, a, h):
+    """One GRU step of states h (units, lanes) on inputs a (3 units, lanes): the next states, both gates, the proposal
+    and the state's part of it."""
+    n, g = len(h), u @ h
+    gates = a[: 2 * n] + g[: 2 * n]
+    np.negative(gates, out=gates), np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    z, r = gates[:n], gates[n:]
+    new = r * g[2 * n :]
+    new += a[2 * n :]
+    np.tanh(new, out=new)
+    out = h - new
+    out *= z
+    out += new
+    return out, z, r, new, g[2 * n :]
 
 
 def chosen(x, at, differentiate):
-    """Log softmax of x at one column of each row, and with differentiate the gradient of its negative."""
-    rows = np.arange(len(x))
-    x = x - x.max(1, keepdims=True)
-    picked = x[rows, at]
+    """Log softmax of each column of x at one row; with differentiate, x becomes the gradient of its negative."""
+    columns = np.arange(x.shape[1])
+    x -= x.max(0)
+    picked = x[at, columns]
     np.exp(x, out=x)
-    total = x.sum(1)
-    out = picked - np.log(total)
-    if not differentiate:
-        return out, None
-    x /= total[:, None]
-    x[rows, at] -= 1
-    return out, x
+    total = x.sum(0)
+    if differentiate:
+        x /= total
+        x[at, columns] -= 1
+    return picked - np.log(total)
 
 
 def outputs(p, borders, h, words, grads=None):
-    """Natural log probability of each word after each state; with grads, also adds the loss's gradients and
-    returns that of the states."""
+    """Natural log probability of each word after each state, h (tokens, units); with grads, also adds the loss's
+    gradients and returns that of the states."""
     cls = np.repeat(np.arange(len(borders) - 1, dtype=np.int16), np.diff(borders))[words]
-    out, d = chosen(h @ p["c"] + p["cb"], cls, grads is not None)
+    d = p["c"] @ h.T
+    d += p["cb"][:, None]
+    out = chosen(d, cls, grads is not None)
     if grads is not None:
-        grads["c"] += h.T @ d
-        grads["cb"] += d.sum(0)
-        dh = d @ p["c"].T
+        grads["c"] += d @ h
+        grads["cb"] += d.sum(1)
+        dh = d.T @ p["c"]
     order = np.argsort(cls, kind="stable")
-    sorted_h, sorted_words = h[order], words[order]
+    own_h, own_words, logs = h[order], words[order], out[order]
+    own_dh = np.zeros_like(own_h)
     cuts = np.searchsorted(cls[order], np.arange(len(borders)))
-    for k in np.flatnonzero(np.diff(cuts)).tolist():
-        own, a, b = order[cuts[k] : cuts[k + 1]], borders[k], borders[k + 1]
-        if b - a == 1:
-            continue
-        states = sorted_h[cuts[k] : cuts[k + 1]]
-        logp, d = chosen(states @ p["w"][a:b].T + p["wb"][a:b], sorted_words[cuts[k] : cuts[k + 1]] - a, grads is not None)
-        out[own] += logp
+    for k in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(borders) > 1)).tolist():
+        i, j, a, b = cuts[k], cuts[k + 1], borders[k], borders[k + 1]
+        d = p["w"][a:b] @ own_h[i:j].T
+        d += p["wb"][a:b, None]
+        logs[i:j] += chosen(d, own_words[i:j] - a, grads is not None)
         if grads is not None:
-            grads["w"][a:b] += d.T @ states
-            grads["wb"][a:b] += d.sum(0)
-            dh[own] += d @ p["w"][a:b]
-    return (out, dh) if grads is not None else out
+            grads["w"][a:b] += d @ own_h[i:j]
+            grads["wb"][a:b] += d.sum(1)
+            np.dot(d.T, p["w"][a:b], out=own_dh[i:j])
+    out[order] = logs
+    if grads is None:
+        return out
+    dh[order] += own_dh
+    return out, dh
 
 
-def window_gradients(p, borders, inputs, words, h, fresh=None, valid=None):
-    """Loss, gradients and last state of one window: inputs and words are (time, lanes).
+def flat(states):
+    """(time, units, lanes) as (time * lanes, units)."""
+    return np.ascontiguousarray(states.transpose(0, 2, 1)).reshape(-1, states.shape[1])
 
-    A document starts, from the zero state, where fresh is set; places that are not valid hold no token.
+
+def forward(p, inputs, h):
+    """States (time, units, lanes) after each input of a window (time, lanes), those before, and what each step kept.
+
+    A document starts, from the zero state, behind every END.
+    """
+    steps, lanes = inputs.shape
+    a = p["x"][inputs.ravel()] + p["b"]
+    a = np.ascontiguousarray(a.reshape(steps, lanes, -1).transpose(0, 2, 1))
+    states, befores, kept = np.empty((steps, *h.shape), h.dtype), np.empty((steps, *h.shape), h.dtype), []
+    for t, fresh in enumerate(inputs == END):
+        befores[t] = h
+        if fresh.any():
+            befores[t][:, fresh] = 0
+        states[t], *own = step(p["u"], a[t], befores[t])
+        h = states[t]
+        kept.append(own)
+    return states, befores, kept
+
+
+def window_gradients(p, borders, inputs, words, h, valid=None):
+    """Loss, gradients and last states of one window: inputs and words are (time, lanes), states (units, lanes).
+
+    Places that are not valid hold no token.
     """
-    states, befores, kept = [], [], []
-    for t, ids in enumerate(inputs):
-        if fresh is not None and fresh[t].any():
-            h = np.where(fresh[t][:, None], 0, h).astype(h.dtype)
-        befores.append(h)
-        h, own = step(p, ids, h)
-        states.append(h), kept.append(own)
+    (steps, lanes), n = inputs.shape, len(h)
+    states, befores, kept = forward(p, inputs, h)
     grads = {k: np.zeros_like(v) for k, v in p.items()}
-    flat, labels = np.concatenate(states), words.ravel()
-    if valid is None or valid.all():
-        logp, dflat = outputs(p, borders, flat, labels, grads)
-    else:
-        at, dflat = np.flatnonzero(valid.ravel()), np.zeros_like(flat)
-        logp, dflat[at] = outputs(p, borders, flat[at], labels[at], grads)
-    n, lanes, dh = h.shape[1], h.shape[0], np.zeros_like(h)
-    moves = np.empty((len(inputs), lanes, 3 * n), h.dtype)
-    for t in range(len(inputs) - 1, -1, -1):
-        z, r, new, bn = kept[t]
-        before = befores[t]
-        dh = dh + dflat[t * lanes : (t + 1) * lanes]
-        dz = dh * (before - new) * z * (1 - z)
-        dn = dh * (1 - z) * (1 - new * new)
-        dr = dn * bn * r * (1 - r)
-        da = np.concatenate((dz, dr, dn), 1, out=moves[t])
-        db = np.concatenate((dz, dr, dn * r), 1)
-        grads["b"] += da.sum(0)
-        grads["u"] += before.T @ db
-        dh = dh * z + db @ p["u"].T
-        if fresh is not None and fresh[t].any():
-            dh[fresh[t]] = 0
+    at = slice(None) if valid is None else np.flatnonzero(valid.ravel())
+    after = flat(states)
+    back = np.zeros_like(after)
+    logp, back[at] = outputs(p, borders, after[at], words.ravel()[at], grads)
+    back = np.ascontiguousarray(back.reshape(steps, lanes, n).transpose(0, 2, 1))
+    da, db, dh = np.empty((steps, 3 * n, lanes), h.dtype), np.empty((steps, 3 * n, lanes), h.dtype), np.zeros_like(h)
+    down = np.ascontiguousarray(p["u"].T)
+    for t in range(steps - 1, -1, -1):
+        z, r, new, g = kept[t]
+        dz, dr, dn = da[t, :n], da[t, n : 2 * n], da[t, 2 * n :]
+        dh += back[t]
+        through = dh * z
+        rest = dh - through
+        dn[:] = rest * (1 - new * new)
+        dz[:] = rest * z * (befores[t] - new)
+        dr[:] = dn * g * r * (1 - r)
+        db[t, : 2 * n] = da[t, : 2 * n]
+        np.multiply(dn, r, out=db[t, 2 * n :])
+        dh = down @ db[t] + through
+        fresh = inputs[t] == END
+        if fresh.any():
+            dh[:, fresh] = 0
+    grads["b"] += da.sum((0, 2))
+    grads["u"] += np.matmul(db, befores.transpose(0, 2, 1)).sum(0)
     ids = inputs.ravel()
     order = np.argsort(ids.astype(np.int16 if len(p["x"]) < 1 << 15 else np.int32), kind="stable")
     own = ids[order]
     first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    grads["x"][own[first]] = np.add.reduceat(moves.reshape(-1, 3 * n)[order], first)
+    grads["x"][own[first]] = np.add.reduceat(flat(da)[order], first)
     return -float(logp.sum()), grads, states[-1]
 
 
@@ -151,62 +186,58 @@ class Adam:
 
     def apply(self, p, grads, scale):
         self.t += 1
+        rate = self.rate * math.sqrt(1 - 0.98**self.t) / (1 - 0.9**self.t)
         for k, g in grads.items():
             g = np.clip(g * scale, -5, 5)
             self.m[k] += 0.1 * (g - self.m[k])
             self.v[k] += 0.02 * (g * g - self.v[k])
-            p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.98**self.t)) + 1e-6)
-
-
-def windows(documents, lanes: int = LANES):
-    """(inputs, words, fresh, valid, kept) of each window, (time, lanes): every token of every document, once, in order.
-
-    A document takes a lane until its last token and the next one goes on in that lane. kept are the lanes of the last
-    window that still have tokens; they become fewer only when no document is left.
-    """
-    documents = iter(documents)
-    held: list = [None] * lanes
-    at = [0] * lanes
-    while True:
-        shape = (WINDOW, len(held))
-        inputs, words = np.full(shape, END, np.int32), np.full(shape, END, np.int32)
-        fresh, valid = np.zeros(shape, bool), np.zeros(shape, bool)
-        for k in range(len(held)):
-            t = 0
-            while t < WINDOW:
-                if held[k] is None:
-                    held[k], at[k] = next(documents, None), 0
-                    if held[k] is None:
-                        break
-                    fresh[t, k] = True
-                d, i = held[k], at[k]
-                n = min(WINDOW - t, len(d) - i)
-                words[t : t + n, k] = d[i : i + n]
-                inputs[t + (i == 0) : t + n, k] = d[i - (i > 0) : i + n - 1]
-                valid[t : t + n, k] = True
-                t, at[k] = t + n, i + n
-                if at[k] == len(d):
-                    held[k] = None
-        kept = np.flatnonzero(valid[0])
-        if not len(kept):
+            p[k] -= rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-6)
+
+
+def dealt(documents: list[np.ndarray], lanes: int = LANES) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """Whole documents (ids that end in END) laid end to end in lanes, each in the shortest lane when its turn comes:
+    the ids (time, lanes), the lanes' lengths, which fall, and the numbers of each lane's documents."""
+    lanes = max(1, min(lanes, len(documents)))
+    heap, own = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
+    for i, d in enumerate(documents):
+        size, k = heap[0]
+        own[k].append(i)
+        heapq.heapreplace(heap, (size + len(d), k))
+    own.sort(key=lambda o: -sum(len(documents[i]) for i in o))
+    sizes = np.array([sum(len(documents[i]) for i in o) for o in own], np.int64)
+    words = np.full((lanes, sizes[0]), END, np.int32)
+    for k, o in enumerate(own):
+        if o:
+            words[k, : sizes[k]] = np.concatenate([documents[i] for i in o])
+    return np.ascontiguousarray(words.T), sizes, own
+
+
+def windows(words: np.ndarray, sizes: np.ndarray, steps: int = WINDOW):
+    """(first time, inputs, words, valid) of each window over the lanes that still have tokens; every token comes once.
+    The input of a token is the one before it, END at the start; valid is None where all places hold tokens."""
+    for a in range(0, len(words), steps):
+        b, m = min(len(words), a + steps), int((sizes > a).sum())
+        if not m:
             return
-        if len(kept) < len(held):
-            held, at = [held[k] for k in kept], [at[k] for k in kept]
-            inputs, words, fresh, valid = inputs[:, kept], words[:, kept], fresh[:, kept], valid[:, kept]
-        yield inputs, words, fresh, valid, kept
+        before = words[a - 1 : a, :m] if a else np.full((1, m), END, np.int32)
+        valid = None if sizes[m - 1] >= b else np.arange(a, b)[:, None] < sizes[:m]
+        yield a, np.concatenate((before, words[a : b - 1, :m])), words[a:b, :m], valid
 
 
-def train(p, borders, documents, optimiser: Adam) -> int:
-    """One pass over whole documents (ids that end in END); returns the number of tokens.
+def train(p, borders, documents: list[np.ndarray], optimiser: Adam) -> int:
+    """One pass over whole documents (ids that end in END), the longest first; returns the number of tokens.
 
     Windows of few lanes, at the end, add up to a quarter of a full one before they move the parameters.
     """
-    h, held, n, done = np.zeros((LANES, p["u"].shape[0]), np.float32), None, 0, 0
-    for inputs, words, fresh, valid, kept in windows(documents):
-        _, grads, h = window_gradients(p, borders, inputs, words, h[kept], fresh, valid)
+    if not documents:
+        return 0
+    words, sizes, _ = dealt(sorted(documents, key=lambda d: -(len(d) // 512)))
+    h, held, n, done = np.zeros((p["u"].shape[1], words.shape[1]), np.float32), None, 0, 0
+    for _, inputs, own, valid in windows(words, sizes):
+        _, grads, h = window_gradients(p, borders, inputs, own, h[:, : own.shape[1]], valid)
         held = grads if held is None else {k: held[k] + g for k, g in grads.items()}
-        own = int(valid.sum())
-        n, done = n + own, done + own
+        some = own.size if valid is None else int(valid.sum())
+        n, done = n + some, done + some
         if n >= LANES * WINDOW // 4:
             optimiser.apply(p, held, 1 / n)
             held, n = None, 0
@@ -221,48 +252,21 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 def log_likelihoods(p, borders, documents: list[np.ndarray], lanes: int = LANES) -> np.ndarray:
-    """Natural log-likelihood of each document (ids that end in END), the state carried from its first token to its last.
-
-    Documents take free lanes as they come, longest first; outputs are worked out a window of states at a time.
-    """
+    """Natural log-likelihood of each document (ids that end in END), the state carried from its first token to its last."""
     total = np.zeros(len(documents))
-    queue = sorted(range(len(documents)), key=lambda i: -len(documents[i]))[::-1]
-    lanes = min(lanes, len(queue))
-    h = np.zeros((lanes, p["u"].shape[0]), np.float32)
-    own = np.array([queue.pop() for _ in range(lanes)], np.int64)
-    flat = np.concatenate(documents) if documents else np.zeros(0, np.int32)
-    ends = np.cumsum([len(d) for d in documents])
-    begins = ends - [len(d) for d in documents] if documents else ends
-    at, last = (begins[own], ends[own]) if lanes else (own, own)
-    ids = np.full(lanes, END, np.int32)
-    states, words, owners = [], [], []
-
-    def settle():
-        if states:
-            logp = outputs(p, borders, np.concatenate(states), np.concatenate(words))
-            total[:] += np.bincount(np.concatenate(owners), logp, len(total))
-            states.clear(), words.clear(), owners.clear()
-
-    while len(own):
-        h, _ = step(p, ids, h)
-        ids = flat[at]
-        states.append(h), words.append(ids), owners.append(own)
-        at = at + 1
-        if len(states) == 128:
-            settle()
-        done = np.flatnonzero(at == last)
-        if len(done):
-            h, own, at, last, ids = h.copy(), own.copy(), at.copy(), last.copy(), ids.copy()
-            fresh = done[: len(queue)]
-            for k in fresh.tolist():
-                own[k] = queue.pop()
-            at[fresh], last[fresh], h[fresh], ids[fresh] = begins[own[fresh]], ends[own[fresh]], 0, END
-            gone = done[len(fresh) :]
-            if len(gone):
-                stay = np.ones(len(own), bool)
-                stay[gone] = False
-                h, own, at, last, ids = h[stay], own[stay], at[stay], last[stay], ids[stay]
-    settle()
+    if not documents:
+        return total
+    turn = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
+    words, sizes, own = dealt([documents[i] for i in turn], lanes)
+    h, logs = np.zeros((p["u"].shape[1], words.shape[1]), np.float32), np.zeros(words.shape)
+    for a, inputs, some, _ in windows(words, sizes):
+        states, _, _ = forward(p, inputs, h[:, : some.shape[1]])
+        logs[a : a + len(some), : some.shape[1]] = outputs(p, borders, flat(states), some.ravel()).reshape(some.shape)
+        h = states[-1]
+    for k, o in enumerate(own):
+        mine = [turn[i] for i in o]
+        first = np.cumsum([0, *(len(documents[i]) for i in mine)])[:-1]
+        total[mine] = np.add.reduceat(logs[: sizes[k], k], first)
     return total
 
 
@@ -351,51 +355,53 @@ def vocabulary(counts: DataFrame, size: int) -> tuple[list[tuple[bytes, int]], i
     return [(bytes(r.word), r.n) for r in top], sum(r["all"] for r in rows), sum(r.n for r in rows)
 
 
-def fit(docs: DataFrame, known: list[tuple[bytes, int]], n_tokens: int, n_ends: int) -> tuple[dict, np.ndarray]:
-    """Parameters and class borders, trained on every training document, whole."""
+def averaged(trained: DataFrame, blobs: int) -> np.ndarray | None:
+    """The mean of the parameters in (chunk, weight, sum), added up in the order of chunks, FAN blobs at a time."""
+
+    def add(part: pa.Table) -> pa.Table:
+        part = part.sort_by("chunk")
+        total = sum(np.frombuffer(x, np.float64) for x in part["sum"].to_pylist())
+        return pa.table({"chunk": part["up"].slice(0, 1), "weight": pa.array([math.fsum(part["weight"].to_pylist())]), "sum": pa.array([total.tobytes()], pa.binary())})
+
+    while blobs > 1:
+        trained = trained.withColumn("up", (F.col("chunk") / FAN).cast("int")).groupBy("up").applyInArrow(add, "chunk int, weight double, sum binary")
+        blobs = -(-blobs // FAN)
+    got = trained.collect()
+    return np.frombuffer(got[0].sum, np.float64) / got[0].weight if got else None
+
+
+def fit(docs: DataFrame, known: list[tuple[bytes, int]], n_tokens: int, n_ends: int, chunks: int) -> tuple[dict, np.ndarray]:
+    """Parameters and class borders, trained once on every token of every training document."""
     common = np.array([n for _, n in known], np.float64)
     counts = np.concatenate(([max(1.0, n_tokens - common.sum()), max(1.0, n_ends)], common))
     borders = classes(counts)
-    ids = {w: i + 2 for i, (w, _) in enumerate(known)}
     sc = docs.sparkSession.sparkContext
     params = start(len(counts), borders)
     params["cb"] = np.log(np.add.reduceat(counts, borders[:-1]) / counts.sum()).astype(np.float32)
     params["wb"] = np.log(counts / np.add.reduceat(counts, borders[:-1])[np.searchsorted(borders, np.arange(len(counts)), "right") - 1]).astype(np.float32)
-    vocab = sc.broadcast(ids)
-    rows = docs.filter(F.coalesce(fold(), F.lit(-1)) != 1).select(F.col("text").cast("binary").alias("text"))
-    shapes = {k: v.shape for k, v in params.items()}
-    for _ in range(ROUNDS):
-        sent = sc.broadcast(params)
-
-        def run(batches, sent=sent):
-            p = {k: v.copy() for k, v in sent.value.items()}
-            look = vocab.value
-
-            def documents():
-                for batch in batches:
-                    for text in batch.column(0):
-                        own = tokens(text.as_py())
-                        ids = np.fromiter(map(look.get, own, repeat(UNKNOWN)), np.int32, len(own))
-                        yield np.append(ids, np.int32(END))
-
-            done = train(p, borders, documents(), Adam(p))
-            if done:
-                names = sorted(p)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names), pa.array([float(done)] * len(names)), pa.array([(p[k].astype(np.float64) * done).tobytes() for k in names], pa.binary())],
-                    names=["name", "weight", "sum"],
-                )
-
-        def add(part: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x, np.float64) for x in part["sum"].to_pylist())
-            return pa.table({"name": part["name"].slice(0, 1), "weight": pa.array([sum(part["weight"].to_pylist())]), "sum": pa.array([total.tobytes()], pa.binary())})
-
-        kind = "name string, weight double, sum binary"
-        trained = rows.mapInArrow(run, kind).withColumn("salt", (F.rand(1) * 16).cast("int"))
-        halves = trained.groupBy("name", "salt").applyInArrow(add, kind)
-        got = halves.groupBy("name").applyInArrow(add, kind).collect()
-        if got:
-            params = {r.name: (np.frombuffer(r.sum, np.float64) / r.weight).astype(np.float32).reshape(shapes[r.name]) for r in got}
+    vocab = sc.broadcast({w: i + 2 for i, (w, _) in enumerate(known)})
+    rows = chunked(docs.filter(F.coalesce(fold(), F.lit(-1)) != 1), chunks)
+
+    def trainer(sent):
+        def run(part: pa.Table) -> pa.Table:
+            p, look = {k: v.copy() for k, v in sent.value.items()}, vocab.value
+            documents = []
+            for text in ordered(part)["text"]:
+                own = tokens(text.as_py())
+                documents.append(np.append(np.fromiter(map(look.get, own, repeat(UNKNOWN)), np.int32, len(own)), np.int32(END)))
+            done = train(p, borders, documents, Adam(p))
+            whole = np.concatenate([p[k].ravel() for k in sorted(p)]).astype(np.float64) * done
+            return pa.table({"chunk": part["chunk"].slice(0, 1), "weight": pa.array([float(done)]), "sum": pa.array([whole.tobytes()], pa.binary())})
+
+        return run
+
+    for turn in range(ROUNDS):
+        own = rows.filter(F.col("chunk") % ROUNDS == turn).groupBy("chunk")
+        trained = own.applyInArrow(trainer(sc.broadcast(params)), "chunk int, weight double, sum binary")
+        mean = averaged(trained, chunks)
+        if mean is not None:
+            parts = np.split(mean, np.cumsum([params[k].size for k in sorted(params)])[:-1])
+            params = {k: x.astype(np.float32).reshape(params[k].shape) for k, x in zip(sorted(params), parts)}
     return params, borders
 
 
@@ -405,19 +411,20 @@ def score(docs: DataFrame, words: int = WORDS) -> DataFrame:
     Tokens are the words of the whole text, A-Z lower-cased, and one end. Documents with crc32(doc_id as text) mod 5
     = 1 are held out of all learning. base_score adds log10((c + 0.5) / (N + 0.5 (V + 1))) over the tokens; score is
     the model's log10 probability of the whole text with its end. A null text counts as empty (the end alone);
-    a null id trains. With nothing to learn from, the model is its start. Repeated rows are scored each.
+    a null id trains. The model, and so every score, depends on the rows alone, not on how they are split. With nothing to learn from, the model is its start. Repeated rows are scored each.
     """
     spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
     docs = docs.select("doc_id", "text")
+    size = text_bytes(docs)
+    chunks, buckets = chunks_for(size, CHUNK), max(8, -(-size // BUCKET))
     counts = checkpointed(count_words(docs, buckets))
     n_ends = docs.filter(F.coalesce(fold(), F.lit(-1)) != 1).count()
     known, n_words, n_distinct = vocabulary(counts, words - 2)
-    params, borders = fit(docs, known, n_words, n_ends)
+    params, borders = fit(docs, known, n_words, n_ends, chunks)
     n_all, v_all = n_words + n_ends, n_distinct + (n_ends > 0)
     rare_n, rare_v = n_words - sum(n for _, n in known), n_distinct - len(known)
     sent = spark.sparkContext.broadcast((params, borders, {w: i + 2 for i, (w, _) in enumerate(known)}))
-    rows = chunked(docs, 2 * buckets)
+    rows = chunked(docs, chunks)
 
     def ask(part: pa.Table) -> pa.Table:
         held: set[bytes] = set()
@@ -436,7 +443,7 @@ def score(docs: DataFrame, words: int = WORDS) -> DataFrame:
         return pa.table({"chunk": asked["chunk"], "words": asked["words"], "counts": pa.array([x.tobytes() for x in out], pa.binary())})
 
     def finish(part: pa.Table, told: pa.Table) -> pa.Table:
-        p, cuts, ids = sent.value
+        part, (p, cuts, ids) = ordered(part), sent.value
         unit = math.log10(n_all + 0.5 * (v_all + 1))
         spread = math.log10(rare_n + 0.5 * (rare_v + 1))
         words = [w for ws in told["words"].to_pylist() for w in ws.split(b"\n")]
@@ -466,7 +473,8 @@ def score(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def op9_lm(spark, sf_dir) -> DataFrame:
+    """All documents with score; held_out is false for a null id, which trains."""
     from chronolith.llm.common import table
 
     found = score(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
