@@ -1,20 +1,25 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from chronolith.llm.topk import top_k
+from chronolith.llm.topk import products, top_k
 from tests.llm import plain
 
 
+LOW, HIGH = -(1 << 63), (1 << 63) - 1
+
+
 def brute(rows, k=20, every=20):
-    data = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and plain.usable(v)]
+    fit = lambda n: max(LOW, min(HIGH, n))
+    data = [(i, [fit(math.floor(64 * x)) for x in v]) for i, v in rows if i is not None and plain.usable(v)]
     out = []
-    for q in sorted({i for i, _ in data if i % every == 0}):
-        vector = next(v for i, v in data if i == q)
-        scored = sorted((-sum(a * b for a, b in zip(vector, v)), i) for i, v in data if i != q and len(v) == len(vector))
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
-    return out
+    for q, vector in data:
+        if q % every == 0:
+            scored = sorted((-fit(sum(a * b for a, b in zip(vector, v))), i) for i, v in data if i != q and len(v) == len(vector))
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
 
 
 def run(df, **kw):
@@ -38,3 +43,36 @@ def test_awkward_rows(spark):
     few = df.filter("vec_id in (20, 21, 22)")
     assert run(few) == brute([r for r in rows if r[0] in (20, 21, 22)])
     assert run(df.limit(0)) == []
+
+
+def test_components_of_every_size(spark):
+    rnd = random.Random(6)
+    for size, low in ((1e6, 1e6), (1e15, -1e15), (1e300, -1e300), (3e9, 1e9), (4e7, -4e7)):
+        rows = [(i, [rnd.uniform(low, 3 * size) for _ in range(64)]) for i in range(1, 121)]
+        rows += [(i, [rnd.uniform(-1, 1) for _ in range(64)]) for i in range(130, 150)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert run(df) == brute(rows), size
+
+
+def test_products_are_exact_and_end_at_64_bits():
+    rng = np.random.default_rng(3)
+    for bits in (10, 26, 30, 40, 62):
+        for dim in (1, 5, 700):
+            a, b = (rng.integers(-(1 << bits), 1 << bits, (4, dim)) for _ in range(2))
+            a[0], b[0] = LOW, HIGH
+            want = [[max(LOW, min(HIGH, sum(int(x) * int(y) for x, y in zip(u, v)))) for v in b] for u in a]
+            assert products(a, b).astype(object).tolist() == want
+    for total in (HIGH, HIGH + 1, HIGH + 2, LOW, LOW - 1, LOW + 1, 1 << 53, -(1 << 53) - 1):
+        a, b = np.array([[1 << 40, 1, 1]]), np.array([[total >> 40, (total & (1 << 40) - 1) >> 1, (total & (1 << 40) - 1) - ((total & (1 << 40) - 1) >> 1)]])
+        assert int(products(a, b)[0, 0]) == max(LOW, min(HIGH, total))
+
+
+def test_repeated_ids_and_copies(spark):
+    rnd = random.Random(7)
+    vector = lambda: [rnd.uniform(-1, 1) for _ in range(4)]
+    one, hot = vector(), vector()
+    rows = [(i, vector()) for i in range(1, 40)] + [(20, vector()), (20, one), (20, one)]  # a queried id with four vectors
+    rows += [(60, hot)] * 70 + [(i, hot) for i in range(61, 75)] + [(40, hot)] * 25 + [(7, hot)] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert run(df) == brute(rows)
+    assert run(df, k=3) == brute(rows, 3)
