@@ -35,3 +35,16 @@ def test_spans_are_maximal(spark):
     shared = " ".join(f"s{i}" for i in range(50))
     df = plain.awkward(spark, [(1, "a b " + shared + " c", None, None), (2, shared, None, None)])
     assert {r.doc_id: r.repeats for r in dedup(df).collect()} == {1: [[2, 52]], 2: [[0, 50]]}
+
+
+def test_words_with_equal_polynomials_stay_apart(spark):
+    def twisted(n, a, b):  # such words have one polynomial modulo 2^64, whatever its base
+        return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+    one, other = twisted(2048, "a", "b"), twisted(2048, "b", "a")
+    around = [f"w{i}" for i in range(40)]
+    texts = [" ".join([*around[:20], w, *around[20:]]) for w in (one, other)]
+    rows = [(1, texts[0]), (2, texts[1]), (3, one + " " + " ".join(around[:34])), (4, other + " " + " ".join(around[:34]))]
+    df = plain.awkward(spark, [(i, t, None, None) for i, t in rows])
+    got = run(df)
+    assert got == plain.substring(rows) and got[0][2] == 0
