@@ -12,15 +12,23 @@ def test_targets_are_capped_and_reshared():
     assert mixing.targets([], []) == []
 
 
-def test_draws_meet_what_is_owed():
-    owed = [100_000, 3, 0, 50_001]
-    counts = mixing.draws(owed, 1)
-    assert [sum(c[3] for c in counts if c[1] == s) for s in range(4)] == owed
-    for s in range(4):
-        at = 0
-        for c in (c for c in counts if c[1] == s):
-            assert c[2] == at
-            at += c[3]
+def test_draws_meet_what_is_owed(monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD", 1000)
+    owed = np.array([100_000, 3, 0, 50_001])
+    whole = list(mixing.drawn(owed, 1, 0, 151))
+    assert [shard for shard, _, _ in whole] == list(range(151))
+    assert (sum(counts for _, _, counts in whole) == owed).all() and all(counts.sum() == 1000 for _, _, counts in whole[:-1])
+    done = np.zeros(4, np.int64)
+    for _, before, counts in whole:
+        assert (before == done).all() and (counts >= 0).all()
+        done = done + counts
+    shares = np.array([counts[0] / 1000 for _, _, counts in whole[:-1]])
+    assert abs(shares.mean() - 2 / 3) < 0.01 and 0.005 < shares.std() < 0.05  # they vary as draws do
+    some = [one for part in ((0, 7), (7, 60), (60, 151)) for one in mixing.drawn(owed, 1, *part)]  # whatever the tasks
+    assert all((x[1] == y[1]).all() and (x[2] == y[2]).all() for x, y in zip(whole, some))
+    large = np.array([10**15, 3, 10**14])
+    ((_, before, counts),) = mixing.drawn(large, 1, 10**11, 10**11 + 1)
+    assert counts.sum() == 1000 and before.sum() == 10**14 and list(mixing.drawn(owed * 0, 1, 0, 9)) == []
 
 
 def test_permutations():
@@ -45,6 +53,33 @@ def check(df):
     return sorted((tuple(r) for r in rows), key=repr)
 
 
+def brute(df):
+    """What a plain walk over every word of the sources as laid out takes of each row."""
+    rows, sources = mixing.laid(df)
+    places = sorted((r.s, r.start, r["size"], r.doc_id) for r in rows.collect())
+    taken = {(r.s, r.block): r.taken for r in mixing.slots(df.sparkSession, sources).collect()}
+    at, out = {}, []
+    for s, start, size, doc_id in places:
+        assert start == at.get(s, 0)  # end to end, without gaps
+        at[s] = start + size
+        out.append((doc_id, size, sum(taken.get((s, w // mixing.BLOCK), 0) for w in range(start, start + size))))
+    for s, blocks, owed in sources:
+        assert sum(n for (i, _), n in taken.items() if i == s) == owed and all(0 <= k < blocks for i, k in taken if i == s)
+    return sorted(out, key=repr)
+
+
+def test_taken_against_a_plain_walk(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert sorted(((r.doc_id, r["size"], r.taken) for r in mixing.mix(docs).collect()), key=repr) == brute(docs)
+
+
+def test_hot_rows(spark):
+    rows = [(1, "the same row " * 3, "en", "hot")] * 9000 + [(None, f"no id {i}", "en", "hot") for i in range(500)] + [(2, f"one id {i} " * 9, "de", None) for i in range(500)]
+    df = plain.awkward(spark, rows)
+    assert len(check(df)) == len(rows)
+    assert sorted(((r.doc_id, r["size"], r.taken) for r in mixing.mix(df).collect()), key=repr) == brute(df)
+
+
 def test_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = check(docs)
