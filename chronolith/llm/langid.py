@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from chronolith.llm.common import fold, worker_model
 
-#: Bounds of the fit, for each language: documents sampled, characters of one document, characters of all.
-DOCUMENTS, OF_ONE, CHARACTERS = 60, 1500, 24_000
+#: Bounds of the fit: segments of labelled text sampled for each language, their characters, languages (the commonest).
+SEGMENTS, OF_ONE, LANGUAGES = 60, 400, 256
 SEGMENT, ALPHABET = 512, 96
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -149,12 +149,12 @@ class Model:
             out[:, n] = np.bincount(owner, count, len(texts))
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Languages and scores; ``und`` and 0 for a null text, one without a letter, or without any language known."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str | None], np.ndarray]:
+        """Languages and scores; ``und`` and 0 for a null text or one without a letter, None and 0 if none is known."""
         plain = [t or "" for t in texts]
         letters = np.array([bool(LETTER.search(t)) for t in plain], bool)
         if not self.languages:
-            return ["und"] * len(texts), np.zeros(len(texts))
+            return [None if ok else "und" for ok in letters], np.zeros(len(texts))
         rates = self.phrases(plain) * self.bits / np.maximum(1, [len(t.lower()) for t in plain])[:, None]
         first = rates.argmin(axis=1) if len(texts) else np.zeros(0, int)
         ordered = np.sort(rates, axis=1)
@@ -169,27 +169,36 @@ def loaded(samples: dict[str, str]) -> Model:
 
 
 def samples(docs: DataFrame) -> dict[str, str]:
-    """A bounded sample of text for each label, from the documents outside fold 0, chosen by a hash of their ids."""
-    known = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.coalesce(fold(), F.lit(1)) != 0))
-    ranked = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct()
-    first = ranked.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("n") <= DOCUMENTS)
-    at = (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - OF_ONE + 1)) + 1).cast("int")
-    rows = (
-        known.join(first.select("lang", "doc_id", "h"), ["lang", "doc_id"], "left_semi")
-        .select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", at, F.lit(OF_ONE)).alias("part"))
-        .collect()
-    )
-    out: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.h, r.part)):
-        out[r.lang] = (out.get(r.lang, "") + "\n" + r.part)[:CHARACTERS]
-    return out
+    """A bounded sample of text for each label, from the documents outside fold 0.
+
+    Labelled texts are cut into segments of OF_ONE characters, all of them, and those with the smallest hashes of their
+    document and number are the sample; copies of a row give a segment once. Rows with a null id train.
+    """
+    rows = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.coalesce(fold(), F.lit(1)) != 0))
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("t"), F.ceil(F.length("text") / OF_ONE).cast("int").alias("n"))
+    found = rows.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("t").alias("texts"), F.sum("n").alias("segments"))
+    labels = found.orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()
+    if not labels:
+        return {}
+    # hashes below a label's cut are about four samples, so that only so many rows of it meet
+    cuts = [(r.lang, int((1 << 62) * min(1.0, 4 * SEGMENTS / max(1, r.segments * min(1, r.texts / r.rows))))) for r in labels]
+    known = F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, cut long"))
+    hash_of = lambda i: F.shiftrightunsigned(F.xxhash64("t", i), 2)
+    some = rows.join(known, "lang").withColumn("at", F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: hash_of(i) < F.col("cut")))
+    parts = F.transform("at", lambda i: F.struct(hash_of(i).alias("h"), F.substring("text", i * OF_ONE + 1, F.lit(OF_ONE)).alias("part")))
+    each = some.filter(F.size("at") > 0).select("lang", F.inline(parts)).groupBy("lang", "h").agg(F.min("part").alias("part"))
+    first = each.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= SEGMENTS)
+    out: dict[str, list[str]] = {}
+    for r in sorted(first.collect(), key=lambda r: (r.lang, r.k)):
+        out.setdefault(r.lang, []).append(r.part)
+    return {lang: "\n".join(own) for lang, own in out.items()}
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of ``docs``; lang and source only serve to fit.
 
-    Fitted on a bounded sample of documents with a label, a text and crc32(doc_id) mod 5 other than 0. A text that is
-    null or has no letter is ``und`` with score 0, as is every text if nothing is labelled. The score is one less the
+    Fitted on a bounded sample of text with a label from documents whose crc32(doc_id) mod 5 is not 0. A text that is
+    null or has no letter is ``und`` with score 0; if nothing is labelled, other texts are null with score 0. The score is one less the
     ratio of the best language's entropy to the next one's. Ties go to the label that sorts first; other columns are
     ignored.
     """
@@ -220,7 +229,8 @@ def label(docs: DataFrame) -> DataFrame:
 
 
 def op7_langid(spark, sf_dir) -> DataFrame:
+    """The language of every document; held_out is false for a null id, which trains."""
     from chronolith.llm.common import table
 
     found = identify(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -2,7 +2,7 @@
 
 Calls and results of a conversation are joined by identifier, calls get their place in the order of their
 dependencies, arguments are validated against schemas, and each call becomes one canonical JSON message: keys sorted,
-no white space, as the variant type writes them.
+no white space, equal numbers written equally and with all their digits.
 """
 
 from __future__ import annotations
@@ -14,6 +14,12 @@ from chronolith.llm.common import checkpointed
 
 #: Fields of a schema: its name, the kinds of a value that it takes, and whether it must be there.
 FIELDS = "array<struct<field:string, kinds:array<string>, required:boolean>>"
+#: Most calls of a conversation that one row may hold.
+FOLDED = 2048
+#: Characters that stand for a number, an escaped backslash and an escaped quote while a text is rewritten.
+MARK, SLASH, QUOTE = "\ue000", "\ue010", "\ue011"
+#: Digits up to which a number is written without an exponent.
+PLAIN = 40
 
 
 def schemas(spark, given: dict[str, dict[str, tuple[tuple[str, ...], bool]]]) -> DataFrame:
@@ -35,9 +41,73 @@ def kind(value):
     )
 
 
-def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level): calls without dependencies have level 0, the others one more than the highest they
-    depend on; calls in or behind a cycle have no row.
+def number(text):
+    """The canonical form of a JSON number: no needless zero, no exponent up to PLAIN digits, else digits and exponent."""
+    at = lambda group: F.regexp_extract(text, r"^(-?)([0-9]+)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]+))?$", group)
+    digits = F.regexp_replace(F.concat(at(2), at(3)), "^0+", "")
+    short = F.regexp_replace(digits, "0+$", "")
+    power = F.when(at(4) == "", F.lit(0)).otherwise(at(4).try_cast("long")) - F.length(at(3)) + F.length(digits) - F.length(short)
+    size = F.length(short)
+    form = (
+        F.when((power >= 0) & (size + power <= PLAIN), F.concat(short, F.repeat(F.lit("0"), F.least(power, F.lit(PLAIN)).cast("int"))))
+        .when((power < 0) & (size + power > 0), F.concat(F.substring(short, F.lit(1), (size + power).cast("int")), F.lit("."), F.substring(short, (size + power + 1).cast("int"), size)))
+        .when((power < 0) & (-power <= PLAIN), F.concat(F.lit("0."), F.repeat(F.lit("0"), F.least(-power - size, F.lit(PLAIN)).cast("int")), short))
+        .otherwise(F.concat(short, F.lit("e"), power.cast("string")))
+    )
+    return F.when(short == "", "0").otherwise(F.coalesce(F.concat(at(1), form), F.lower(text)))
+
+
+def canonical(text, parsed):
+    """Canonical JSON of a text that parses to the variant ``parsed``.
+
+    The variant type sorts keys and drops white space, but writes 1e2 as 100.0 and cuts long numbers; so numbers go
+    through it as marked strings in their canonical form. A text that holds MARK, SLASH or QUOTE itself keeps the
+    variant's numbers.
+    """
+    plain = F.replace(F.replace(text, F.lit("\\\\"), F.lit(SLASH)), F.lit('\\"'), F.lit(QUOTE))
+    marked = lambda part: F.array_join(
+        F.transform(
+            F.regexp_extract_all(part, F.lit(r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|[^-0-9]+|-"), F.lit(0)),
+            lambda t: F.when(t.rlike("[0-9]"), F.concat(F.lit(f'"{MARK}'), number(t), F.lit('"'))).otherwise(t),
+        ),
+        "",
+    )
+    parts = F.transform(F.split(plain, '"'), lambda part, i: F.when(i % 2 == 0, marked(part)).otherwise(part))
+    whole = F.replace(F.replace(F.array_join(parts, '"'), F.lit(QUOTE), F.lit('\\"')), F.lit(SLASH), F.lit("\\\\"))
+    exact = F.regexp_replace(F.to_json(F.try_parse_json(whole)), f'"{MARK}([^"]*)"', "$1")
+    odd = text.rlike(r"[0-9][.eE]|[0-9]{18}|-0") & ~text.rlike(f"(?i)[{MARK}{SLASH}{QUOTE}]|\\\\ue000")
+    return F.when(odd & parsed.isNotNull(), exact).otherwise(F.to_json(parsed))
+
+
+def levels(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) for ``calls`` (conv_id, turn, call_id, after): calls without dependencies have level 0,
+    the others one more than the highest they depend on; calls in or behind a cycle have no row. Dependencies that are
+    no call of the conversation don't count.
+
+    A conversation of at most FOLDED calls, each of which follows its dependencies by (turn, call_id), is settled in
+    one row, by a fold over its calls. The others take rounds (see ``settled``).
+    """
+    few = calls.groupBy("conv_id").agg(F.count("*").alias("n")).filter(F.col("n") <= FOLDED).select("conv_id")
+    rows = calls.join(few, "conv_id", "left_semi").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "call_id", "after"))).alias("own"))
+    place = F.map_from_arrays(F.transform("own", lambda c: c["call_id"]), F.sequence(F.lit(0), F.size("own") - 1))
+    rows = rows.withColumn("place", place)
+    deps = F.transform("own", lambda c: F.filter(F.transform(F.array_distinct(c["after"]), lambda d: F.element_at("place", d)), lambda p: p.isNotNull()))
+    rows = rows.withColumn("deps", deps)
+    follows = F.forall(F.transform("deps", lambda d, i: F.coalesce(F.array_max(d), F.lit(-1)) < i), lambda x: x)
+    fold = F.aggregate("deps", F.array().cast("array<int>"), lambda done, d: F.array_append(done, F.coalesce(F.array_max(F.transform(d, lambda p: F.get(done, p))) + 1, F.lit(0))))
+    rows = rows.filter(follows).withColumn("levels", fold)
+    pairs = F.transform("own", lambda c, i: F.struct(c["call_id"].alias("call_id"), F.get("levels", i).alias("level")))
+    folded = checkpointed(rows.select("conv_id", F.inline(pairs)))
+    rest = checkpointed(calls.join(folded.select("conv_id").distinct(), "conv_id", "left_anti"))
+    if rest.isEmpty():
+        return folded
+    named = rest.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("dep"))
+    known = rest.select("conv_id", F.col("call_id").alias("dep"))
+    return folded.unionByName(settled(rest, named.join(known, ["conv_id", "dep"], "left_semi")))
+
+
+def settled(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """The levels of calls by rounds over all of them.
 
     ``edges`` (conv_id, call_id, dep) join calls that exist. Calls with one dependency first jump along their chains,
     twice as far in each round, to a call with none or several; then those with several are settled in the order of
@@ -106,11 +176,11 @@ def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
     got = got.agg(F.min(F.struct("turn", "content"))["content"].alias("result"), F.count("*").alias("n_results"))
     linked = own.join(got, ["conv_key", "call_key"], "left")
 
-    keys = checkpointed(own.select("conv_key", "call_key", "after"))
+    keys = checkpointed(own.select("conv_key", "turn", "call_key", "after"))
     named = keys.select(F.col("conv_key").alias("conv_id"), F.col("call_key").alias("call_id"), F.explode(F.array_distinct("after")).alias("dep"))
     known = keys.select(F.col("conv_key").alias("conv_id"), F.col("call_key").alias("dep"))
-    edges, stray = named.join(known, ["conv_id", "dep"], "left_semi"), named.join(known, ["conv_id", "dep"], "left_anti")
-    placed = levels(keys.select(F.col("conv_key").alias("conv_id"), F.col("call_key").alias("call_id")), edges)
+    stray = named.join(known, ["conv_id", "dep"], "left_anti")
+    placed = levels(keys.select(F.col("conv_key").alias("conv_id"), "turn", F.col("call_key").alias("call_id"), "after"))
     strays = stray.groupBy("conv_id", "call_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("unknown_call:"), "dep"))).alias("strays"))
     for side in (placed, strays):
         linked = linked.join(side.withColumnsRenamed({"conv_id": "conv_key", "call_id": "call_key"}), ["conv_key", "call_key"], "left")
@@ -144,7 +214,7 @@ def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
         F.coalesce("strays", no),
         one(F.col("level").isNull(), "cycle"),
     )
-    arguments = F.coalesce(F.to_json("parsed"), F.lit("null"))
+    arguments = F.coalesce(canonical(F.col("arguments"), F.col("parsed")), F.lit("null"))
     bare = lambda column: F.when(F.col(column).isNull(), "null").otherwise(F.expr(f"substr(to_json(array({column})), 2, length(to_json(array({column}))) - 2)"))
     message = F.concat(
         F.lit('{"arguments":'), arguments, F.lit(',"depends_on":'), F.to_json(F.array_sort(F.array_distinct("after"))),
@@ -188,6 +258,7 @@ def of_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def op5_toolcalls(spark, sf_dir) -> DataFrame:
+    """Every user's turn as a call, linked to the assistant's turn behind it."""
     from chronolith.llm.common import table
 
     calls, results = of_conversations(table(spark, sf_dir, "conversations"))

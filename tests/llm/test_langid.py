@@ -55,7 +55,36 @@ def test_awkward_rows(spark):
     assert got[34] == ["de"] * 3 and got[None] == ["en"]
     assert langid.identify(df.limit(0)).collect() == []
     nothing = df.withColumn("lang", df.lang.substr(100, 1)).selectExpr("doc_id", "text", "cast(null as string) as lang")
-    assert {r.lang_pred for r in langid.identify(nothing).collect()} == {"und"}
+    assert {r.lang_pred for r in langid.identify(nothing).collect()} == {"und", None}
+
+
+def test_labels_against_plain_search(spark):
+    import math
+    import random
+
+    rnd = random.Random(8)
+    words = {"en": "the house of old man sea by and was".split(), "de": "das haus des alten mannes see und war".split(), "fr": "la maison du vieil homme mer et le".split()}
+    rows = [(i, " ".join(rnd.choice(words[lang]) for _ in range(rnd.randrange(1, 400))), lang, None) for i, lang in enumerate(list(words) * 20)]
+    df = plain.awkward(spark, rows + [(500, "haus sea maison", None, None)] + [(7, rows[7][1], rows[7][2], None)] * 30)
+    samples = langid.samples(df)
+    for r in langid.identify(df).collect():
+        text = next((t for i, t, *_ in rows if i == r.doc_id), "haus sea maison")
+        cost = {}
+        for lang, sample in samples.items():
+            phrases = sum(longest_matches(text[i : i + langid.SEGMENT], sample) for i in range(0, len(text), langid.SEGMENT))
+            cost[lang] = phrases * math.log2(len(sample)) / len(text)
+        assert r.lang_pred == min(sorted(cost), key=cost.get)
+        assert abs(r.score - (1 - sorted(cost.values())[0] / sorted(cost.values())[1])) < 1e-9
+
+
+def test_the_sample_is_bounded_and_of_whole_texts(spark):
+    long = "".join(chr(0x4E00 + i) for i in range(20_000))  # every character once
+    rows = [(1, long, "zh", None)] + [(2, "one hot row", "en", None)] * 5000 + [(10 + i, f"text {i}", "en", None) for i in range(200)] + [(None, "no id", "xx", None)]
+    got = langid.samples(plain.awkward(spark, rows))
+    assert set(got) <= {"zh", "en", "xx"} and len(got["en"].split("\n")) == langid.SEGMENTS
+    parts = got["zh"].split("\n")
+    places = sorted(long.index(p[0]) for p in parts)
+    assert all(p in long for p in parts) and len(parts) > 20 and places[-1] > 15_000  # not a prefix
 
 
 def test_several_scripts_against_plain_search():

@@ -58,3 +58,38 @@ def test_main_path_runs_no_python(spark, sf_dir):
     df = toolcalls.op5_toolcalls(spark, sf_dir)
     plan = df._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_numbers_are_canonical(spark):
+    from decimal import Decimal
+
+    same = [("1.0", "1"), ("1e2", "100"), ("100", "100"), ("-0", "0"), ("-0.0e5", "0"), ("0.10", "0.1"), ("12.50E-1", "1.25"), ("5e-3", "0.005"), ("-1.5e+3", "-1500"),
+            ("1234567890123456789012345678901234567890", "1234567890123456789012345678901234567890"), ("12345678901234567890123456789012345678901234", "12345678901234567890123456789012345678901234e0"), ("0.1234567890123456789012345678901234567890123", "1234567890123456789012345678901234567890123e-43"), ("1e60", "1e60"), ("10e59", "1e60"), ("1e-60", "1e-60")]
+    calls = [(1, i, f"c{i:03}", "none", '{"k" : ' + n + ', "b":[' + n + ', "' + n + '\\\\ \\"2.0\\" "], "a 1.0": {"z": 1.50, "y": true}}', None) for i, (n, _) in enumerate(same)]
+    calls += [(1, 900, "mark", "none", '{"a": "\\ue000 1.0 \\n"}', None), (1, 901, "bad", "none", '{"a": 01.0}', None)]
+    got, _ = run(spark, calls, [])
+    for i, (n, want) in enumerate(same):
+        text = json.loads(got[1, f"c{i:03}"].message, parse_float=Decimal, parse_int=Decimal)["arguments"]
+        assert text["k"] == Decimal(n) and text["b"][1] == n + '\\ "2.0" '
+        assert f'"arguments":{{"a 1.0":{{"y":true,"z":1.5}},"b":[{want},"{n}' in got[1, f"c{i:03}"].message
+        assert f'"k":{want}}}' in got[1, f"c{i:03}"].message
+    assert json.loads(got[1, "mark"].message)["arguments"]["a"] == "\ue000 1.0 \n" and got[1, "bad"].errors.startswith("not_json")
+
+
+def test_a_deep_ladder_takes_no_rounds(spark, monkeypatch):
+    calls = [(9, i, f"c{i:04}", "none", "{}", [f"c{j:04}" for j in (i - 1, i - 2) if j >= 0]) for i in range(1000)]
+    taken = []
+    monkeypatch.setattr(toolcalls, "settled", lambda *a: taken.append(a))
+    got, _ = run(spark, calls, [])
+    assert [got[9, f"c{i:04}"].level for i in range(1000)] == list(range(1000)) and not taken
+
+
+def test_fold_and_rounds_agree(spark):
+    import random
+
+    rnd = random.Random(3)
+    calls = [(v, i, f"c{i:02}", "none", "{}", [f"c{rnd.randrange(i):02}" for _ in range(rnd.randrange(3))] if i else None) for v in range(4) for i in range(12)]
+    folded, _ = run(spark, calls, [])
+    shuffled = [(v, -t, *rest) for v, t, *rest in calls]  # now every call stands before its dependencies
+    rounds, _ = run(spark, shuffled, [])
+    assert {k: r.level for k, r in folded.items()} == {k: r.level for k, r in rounds.items()}
