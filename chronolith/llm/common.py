@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table of the shared folder, which unlike a checkpoint is compressed: for texts."""
+    at = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
