@@ -1,4 +1,4 @@
-"""Timelines of a log: idle spans, gaps, focus spans, summaries. Windows are keyed by day, so days run in parallel."""
+"""Timelines of a log: idle spans, gaps, focus spans, summaries. Entries meet their neighbours inside slices of a day."""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,11 +11,27 @@ STOPPED = "recorder was not watching"
 SILENT = "no activity for a long stretch"
 
 
+def before(rows: DataFrame, *columns: str, slice_us: int = 3_600_000_000) -> DataFrame:
+    """``rows`` with before_c for each column c: its value in the day's entry before.
+
+    Windows are keyed by slices of a day; a slice's first entry takes the last one of the day's slice before, which is
+    worked out over one row a slice, so that a busy day is no single task.
+    """
+    rows = rows.withColumn("_s", F.floor(F.col("t") / slice_us))
+    w = Window.partitionBy("day", "_s").orderBy(*ORDER)
+    held = rows.withColumn("_b", F.lag(F.struct(*columns)).over(w))
+    lasts = rows.groupBy("day", "_s").agg(F.max_by(F.struct(*columns), F.struct(*ORDER)).alias("_l"))
+    lasts = lasts.select(F.col("day").alias("_day"), F.col("_s").alias("_slice"), F.lag("_l").over(Window.partitionBy("day").orderBy("_s")).alias("_l"))
+    met = held.join(lasts, F.col("day").eqNullSafe(F.col("_day")) & (F.col("_s") == F.col("_slice")))
+    own = F.coalesce("_b", "_l")
+    return met.select(*[c for c in rows.columns if c != "_s"], *[own[c].alias(f"before_{c}") for c in columns])
+
+
 def idle_spans(log: DataFrame, gap_us: int = 2_000_000, ops: tuple[int, ...] | None = None) -> DataFrame:
     """(day, start_t, end_t): entries of a day more than gap_us apart; ops restricts the entries that count."""
     rows = log if ops is None else log.filter(F.col("op").isin(*ops))
-    before = F.lag("t").over(Window.partitionBy("day").orderBy(*ORDER))
-    return rows.select("day", before.alias("start_t"), F.col("t").alias("end_t")).filter(F.col("end_t") - F.col("start_t") > gap_us)
+    spans = before(rows.select("day", "t", "event_id"), "t").select("day", F.col("before_t").alias("start_t"), F.col("t").alias("end_t"))
+    return spans.filter(F.col("end_t") - F.col("start_t") > gap_us)
 
 
 def gaps(log: DataFrame, hole_us: int = 120_000_000, checkpoint_s: int = 180, checkpoints: DataFrame | None = None) -> DataFrame:
@@ -24,13 +40,14 @@ def gaps(log: DataFrame, hole_us: int = 120_000_000, checkpoint_s: int = 180, ch
     A hole of at least hole_us counts on days with a heartbeat, or where the segment changes (a restart); any other must
     last max(5 min, 2 checkpoints) and hold no checkpoint (day, ts in µs) strictly inside.
     """
-    w = Window.partitionBy("day").orderBy(*ORDER)
-    rows = log.filter("t > 0").withColumns({"start_t": F.lag("t").over(w), "was": F.lag("segment").over(w), "beats": F.max((F.col("op") == 3).cast("int")).over(Window.partitionBy("day"))})
+    log = log.filter("t > 0").select("day", "t", "event_id", "segment", "op")
+    beating = log.filter("op = 3").select(F.col("day").alias("b_day")).distinct().withColumn("beats", F.lit(1))  # a row a day
+    holes = before(log, "t", "segment").withColumnsRenamed({"before_t": "start_t", "before_segment": "was"})
+    rows = holes.filter(F.col("t") - F.col("start_t") >= hole_us).join(beating, F.col("day") == F.col("b_day"), "left")
     least = max(300, 2 * checkpoint_s) * 1_000_000
-    wide = F.col("t") - F.col("start_t")
     sure = F.coalesce((F.col("was") != F.col("segment")) | (F.col("beats") == 1), F.lit(False))
     reason = F.when(F.col("was") != F.col("segment"), RESTARTED).when(F.col("beats") == 1, STOPPED).otherwise(SILENT)
-    rows = rows.filter((wide >= hole_us) & (sure | (wide >= least))).select("day", "start_t", F.col("t").alias("end_t"), reason.alias("reason"), sure.alias("sure"))
+    rows = rows.filter(sure | (F.col("t") - F.col("start_t") >= least)).select("day", "start_t", F.col("t").alias("end_t"), reason.alias("reason"), sure.alias("sure"))
     if checkpoints is not None:
         c = checkpoints.select(F.col("day").alias("c_day"), F.col("ts").alias("c_ts"))
         inside = (F.col("day") == c.c_day) & ~F.col("sure") & (c.c_ts > F.col("start_t")) & (c.c_ts < F.col("end_t"))
@@ -65,18 +82,23 @@ def focus_runs(rows: DataFrame, by: list[str], order: list[str], window: str) ->
 def upserted(spans: DataFrame, new: DataFrame, tolerance_ms: int = 2000) -> DataFrame:
     """Stored spans (day, app, title, start_ts, end_ts) after new ones are added, day by day in order of their start.
 
-    A new span extends the day's latest one if application and title agree and it starts at most tolerance after its
-    end; else it is a row of its own. Nulls count as empty. Only the latest stored span of a day can be extended.
+    A new span extends the day's span with the latest end, be it stored or new, if application and title agree and it
+    starts at most tolerance after that end; else it is a row of its own. Nulls count as empty. An end never falls; of
+    equal ends the first counts.
     """
     key = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("app", "title")]
     old = spans.select("day", *key, "start_ts", "end_ts", F.row_number().over(Window.partitionBy("day").orderBy(F.desc("end_ts"), F.desc("start_ts"), "app", "title")).alias("_n"))
     both = old.filter("_n = 1").drop("_n").withColumn("_new", F.lit(0)).unionByName(new.select("day", *key, "start_ts", "end_ts").withColumn("_new", F.lit(1)))
     w = Window.partitionBy("day").orderBy("_new", "start_ts", "end_ts", "app", "title")
-    last_end = F.lag("end_ts").over(w)
-    same = (F.lag("app").over(w) == F.col("app")) & (F.lag("title").over(w) == F.col("title")) & (F.col("start_ts") - last_end <= tolerance_ms)
-    island = F.sum(F.when(same, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ends = both.withColumn("_s", F.coalesce(same, F.lit(False))).withColumn("_i", island)
-    joined = ends.groupBy("day", "app", "title", "_i").agg(F.min_by("start_ts", F.struct("_new", "start_ts")).alias("start_ts"), F.max("end_ts").alias("end_ts")).drop("_i")
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("_row", F.row_number().over(w)).withColumn("_end", F.max("end_ts").over(past))
+    both = both.withColumn("_latest", F.col("_end").isNull() | (F.col("end_ts") > F.col("_end")))
+    held = F.last(F.when(F.col("_latest"), F.struct("app", "title")), ignorenulls=True).over(past)
+    same = (held["app"] == F.col("app")) & (held["title"] == F.col("title")) & (F.col("start_ts") - F.col("_end") <= tolerance_ms)
+    both = both.withColumn("_same", F.coalesce(same, F.lit(False)))
+    island = F.sum((F.col("_latest") & ~F.col("_same")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("_i", F.when(F.col("_latest") | F.col("_same"), island).otherwise(-F.col("_row").cast("long")))
+    joined = both.groupBy("day", "app", "title", "_i").agg(F.min_by("start_ts", "_row").alias("start_ts"), F.max("end_ts").alias("end_ts")).drop("_i")
     return old.filter("_n > 1").drop("_n").unionByName(joined)
 
 
@@ -112,9 +134,8 @@ def next_focus(spans: DataFrame, at: int, app: str, title: str | None = None) ->
 
 def heartbeats(log: DataFrame, every_us: int = 15_000_000) -> DataFrame:
     """(day, t): the heartbeats a recorder writes between entries of a day that lie further apart than ``every_us``."""
-    after = F.lead("t").over(Window.partitionBy("day").orderBy(*ORDER))
-    quiet = log.select("day", "t", after.alias("next_t")).filter(F.col("next_t") - F.col("t") > every_us)
-    return quiet.select("day", F.explode(F.sequence(F.col("t") + every_us, F.col("next_t") - 1, F.lit(every_us))).alias("t"))
+    quiet = before(log.select("day", "t", "event_id"), "t").filter(F.col("t") - F.col("before_t") > every_us)
+    return quiet.select("day", F.explode(F.sequence(F.col("before_t") + every_us, F.col("t") - 1, F.lit(every_us))).alias("t"))
 
 
 def segment_stats(log: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from chronolith.functions import geo, text
 from chronolith.operators import metrics, state, store, timeline, verify
+from chronolith.plans.recording import Recording
 from chronolith.sources.driver_view import LOG_SQL, log, table
 
 AT = 1705276800000000  # 2024-01-15 00:00 UTC
@@ -193,10 +194,10 @@ def retention(spark, sf):
     return store.retained(rows, "1998-08-02", 30).select("o_orderkey")
 
 
-@query("SELECT vec_id, label, CAST(vec_id % 7 <> 3 AS BOOLEAN) AS ok FROM embeddings WHERE vec_id % 7 < 3 AND vec_id // 7 * 7 + 3 > vec_id")
+@query("SELECT vec_id, label, CAST(vec_id % 7 <> 3 AS BOOLEAN) AS ok FROM embeddings WHERE vec_id % 7 < 3 OR vec_id // 7 * 7 + 3 NOT IN (SELECT vec_id FROM embeddings)")
 def valid_prefix(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", "label", F.floor(F.col("vec_id") / 7).alias("pack"), F.col("vec_id").alias("n"), (F.col("vec_id") % 7 != 3).alias("ok"))
-    return store.valid_prefix(rows.filter("vec_id % 7 <= 3")).select("vec_id", "label", "ok")
+    return store.valid_prefix(rows).select("vec_id", "label", "ok")
 
 
 def _pairs(spark, sf):
@@ -226,10 +227,39 @@ def integrity(spark, sf):
     return verify.integrity(docs, docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi"))
 
 
-@query("SELECT count(*) AS entries, count_if(op <= 2) AS tiles, max(t) AS last_t, arg_max(asset_hash, (t, event_id)) AS last_hash FROM log WHERE monitor_id = 1 AND tile_x = 3 AND tile_y = 2")
-def cell_trace(spark, sf):
-    rows = log(spark, sf).filter("monitor_id = 1 and tile_x = 3 and tile_y = 2")
-    return rows.agg(F.count("*").alias("entries"), F.count_if(F.col("op") <= 2).alias("tiles"), F.max("t").alias("last_t"), F.max_by("asset_hash", F.struct("t", "event_id")).alias("last_hash"))
+@query(f""", c AS (SELECT * FROM log WHERE op <= 2 AND monitor_id = 1 AND tile_x = 3 AND tile_y = 2)
+SELECT count(*) AS entries, count_if(t <= {AT}) AS before, max(t) FILTER (t <= {AT}) AS t, arg_max(op, (t, event_id)) FILTER (t <= {AT}) AS op, arg_max(asset_hash, (t, event_id)) FILTER (t <= {AT}) AS asset_hash,
+  arg_max(asset_hash, (t, event_id)) FILTER (t <= {AT}) > 48 AS there FROM c""")
+def cell_diagnosis(spark, sf):
+    rows = log(spark, sf)
+    assets = rows.filter("asset_hash > 48").select("asset_hash").distinct()
+    return Recording(rows, assets).diagnose(1, 3, 2, AT)
+
+
+@query(f"""SELECT DISTINCT asset_hash FROM log WHERE asset_hash <> 0 AND (asset_hash IN (SELECT asset_hash FROM log WHERE t < {AT} OR t > {AT + 480 * HOUR})
+  OR asset_hash IN (SELECT asset_hash FROM ({LAST.format(AT - HOUR)}) log WHERE o <> 2) OR asset_hash % 10 = 0)""")
+def purge_assets(spark, sf):
+    rows = log(spark, sf)
+    assets = rows.filter("asset_hash <> 0").select("asset_hash").distinct().withColumn("mtime_ms", F.when(F.col("asset_hash") % 10 == 0, 9_000_000).otherwise(0))
+    tiles = state.fold(rows, AT - HOUR).select("asset_hash", F.lit(AT - HOUR).alias("t"))
+    return Recording(rows, assets, tiles=tiles).purge(AT, AT + 480 * HOUR, 10_000_000).assets.select("asset_hash")
+
+
+SPANS = "SELECT day, CAST(monitor_id AS VARCHAR) AS app, CAST(tile_y AS VARCHAR) AS title, t // 1000 AS start_ts, t // 1000 + event_id % 90 * 60000 AS end_ts FROM log WHERE op {} 4"
+
+
+@query(f""", o AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY end_ts DESC, start_ts DESC, app, title) AS n FROM ({SPANS.format('=')}) log),
+a AS (SELECT day, app, title, start_ts, end_ts, 0 AS k FROM o WHERE n = 1 UNION ALL SELECT *, 1 FROM ({SPANS.format('<>')}) log),
+b AS (SELECT *, row_number() OVER w AS r, max(end_ts) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM a WINDOW w AS (PARTITION BY day ORDER BY k, start_ts, end_ts, app, title)),
+c AS (SELECT *, e IS NULL OR end_ts > e AS latest FROM b),
+d AS (SELECT *, last_value(CASE WHEN latest THEN app || '/' || title END IGNORE NULLS) OVER (PARTITION BY day ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM c),
+f AS (SELECT *, coalesce(held = app || '/' || title AND start_ts - e <= 60000, FALSE) AS same FROM d),
+g AS (SELECT *, CASE WHEN latest OR same THEN sum(CASE WHEN latest AND NOT same THEN 1 ELSE 0 END) OVER (PARTITION BY day ORDER BY r ROWS UNBOUNDED PRECEDING) ELSE -r END AS i FROM f)
+SELECT day, app, title, start_ts, end_ts FROM o WHERE n > 1 UNION ALL SELECT day, app, title, arg_min(start_ts, r), max(end_ts) FROM g GROUP BY day, app, title, i""")
+def span_upsert(spark, sf):
+    ms = F.floor(F.col("t") / 1000)
+    spans = log(spark, sf).select("op", "day", F.col("monitor_id").cast("string").alias("app"), F.col("tile_y").cast("string").alias("title"), ms.alias("start_ts"), (ms + F.col("event_id") % 90 * 60000).alias("end_ts"))
+    return timeline.upserted(spans.filter("op = 4").drop("op"), spans.filter("op <> 4").drop("op"), 60_000)
 
 
 @query("SELECT DISTINCT monitor_id, unnest(range(CAST(floor((tile_x * 30 - 200) / 64.0) AS INT), CAST(floor((tile_x * 30 - 200 + 99) / 64.0) AS INT) + 1)) AS cx, CAST(floor((tile_y * 40 - 100) / 64.0) AS INT) AS cy FROM log WHERE op <= 2")

@@ -16,7 +16,8 @@ class Recording:
 
     ``log``: event_id, t, day, segment, window_id, monitor_id, tile_x, tile_y, asset_hash, op. ``assets``: asset_hash,
     codec, payload. ``monitors``: monitor_id, x, y, width, height, tile_size. ``spans``: day, app, title, start_ts, end_ts.
-    ``checkpoints``: day, ts (µs). Only the tables that a question needs must be there.
+    ``checkpoints``: day, ts (µs). ``tiles``: day, t (µs), asset_hash, the filled tiles of snapshots, which keep their
+    assets as the log's entries do. Only the tables that a question needs must be there.
     """
 
     log: DataFrame
@@ -24,6 +25,7 @@ class Recording:
     monitors: DataFrame | None = None
     spans: DataFrame | None = None
     checkpoints: DataFrame | None = None
+    tiles: DataFrame | None = None
 
     def days(self) -> DataFrame:
         """All days, newest first, with their entries, bounds and windows."""
@@ -69,7 +71,7 @@ class Recording:
 
     def verify(self) -> DataFrame:
         """Whether every asset that the log names is there."""
-        named = self.log.filter("op <= 1 and asset_hash <> 0").select(F.col("asset_hash").alias("asset"))
+        named = self._named(self.log.filter("op <= 1"), self.tiles).select(F.col("asset_hash").alias("asset"))
         return verify.integrity(named, self.assets.select(F.col("asset_hash").alias("asset")))
 
     def focus(self, day) -> DataFrame:
@@ -92,19 +94,32 @@ class Recording:
         there = self.assets.select("asset_hash", F.lit(True).alias("there")).dropDuplicates(["asset_hash"])
         return found.join(there, "asset_hash", "left").withColumn("there", F.coalesce("there", F.lit(False)))
 
-    def purge(self, start: int, end: int) -> Recording:
+    @staticmethod
+    def _named(log: DataFrame, tiles: DataFrame | None) -> DataFrame:
+        """(asset_hash) of all assets that entries or snapshots name, each once."""
+        named = log.select("asset_hash")
+        return (named if tiles is None else named.union(tiles.select("asset_hash"))).filter("asset_hash <> 0").distinct()
+
+    def _kept(self, log: DataFrame, tiles: DataFrame | None, now_ms: int | None, grace_ms: int) -> DataFrame | None:
+        """Assets that are named, or (given the time) whose file, mtime_ms, is younger than the grace."""
+        if self.assets is None:
+            return None
+        met = self.assets.join(self._named(log, tiles).withColumn("_named", F.lit(True)), "asset_hash", "left")
+        young = F.lit(False) if now_ms is None else F.col("mtime_ms") > now_ms - grace_ms
+        return met.filter(F.col("_named").isNotNull() | young).select(*self.assets.columns)
+
+    def purge(self, start: int, end: int, now_ms: int | None = None, grace_ms: int = 3_600_000) -> Recording:
         """The recording without a closed range of time, and without the assets that only it named."""
-        left = store.purge(self.log, start, end)
-        assets = self.assets and self.assets.join(left.select("asset_hash").distinct(), "asset_hash", "left_semi")
-        return Recording(left, assets, self.monitors, self.spans and self._cut(start // 1000, end // 1000), self.checkpoints and self.checkpoints.filter(~F.col("ts").between(start, end)))
+        left, out = store.purge(self.log, start, end), lambda t, at: t and t.filter(~F.col(at).between(start, end))
+        tiles = out(self.tiles, "t")
+        return Recording(left, self._kept(left, tiles, now_ms, grace_ms), self.monitors, self.spans and self._cut(start // 1000, end // 1000), out(self.checkpoints, "ts"), tiles)
 
     def _cut(self, start_ms: int, end_ms: int) -> DataFrame:
         spans = self.spans.withColumnsRenamed({"start_ts": "start_t", "end_ts": "end_t"})
         return store.subtract(spans, start_ms, end_ms).withColumnsRenamed({"start_t": "start_ts", "end_t": "end_ts"})
 
-    def prune(self, today, days: int) -> Recording:
+    def prune(self, today, days: int, now_ms: int | None = None, grace_ms: int = 3_600_000) -> Recording:
         """The recording's last days, and the assets that they name."""
-        left = store.retained(self.log, today, days)
-        assets = self.assets and self.assets.join(left.select("asset_hash").distinct(), "asset_hash", "left_semi")
         kept = lambda t: t and store.retained(t, today, days)
-        return Recording(left, assets, self.monitors, kept(self.spans), kept(self.checkpoints))
+        left, tiles = kept(self.log), kept(self.tiles)
+        return Recording(left, self._kept(left, tiles, now_ms, grace_ms), self.monitors, kept(self.spans), kept(self.checkpoints), tiles)

@@ -68,3 +68,26 @@ def test_purge_and_prune(recording):
     cut = recording.purge(2 * S, 2_200_000)
     assert sorted((r.app, r.start_ts, r.end_ts) for r in cut.spans.collect()) == [("a", 1000, 2000), ("a", 2200, 3000), ("a", 5000, 6000), ("b", 2200, 2500)]
     assert recording.prune("1970-01-09", 3).log.count() == 0 and recording.prune("1970-01-02", 3).assets.count() == 3
+
+
+def test_snapshots_and_young_files_keep_assets(spark, recording):
+    from dataclasses import replace
+
+    tiles = spark.createDataFrame([("1970-01-01", 500 * S, 2)], "day string, t long, asset_hash long").withColumn("day", F.to_date("day"))
+    aged = recording.assets.withColumn("mtime_ms", F.when(F.col("asset_hash") == 3, 9_000_000).otherwise(0))
+    rec = replace(recording, assets=aged, tiles=tiles)
+    left = lambda r: sorted(x.asset_hash for x in r.assets.collect())
+    assert left(rec.purge(2 * S, 3 * S)) == [1, 2] and left(rec.purge(2 * S, 3 * S, 10_000_000)) == [1, 2, 3]
+    assert left(rec.purge(2 * S, 600 * S)) == [1] and left(replace(rec, tiles=None).purge(2 * S, 3 * S)) == [1]
+    assert left(rec.prune("1970-01-09", 3, 10_000_000)) == [3]
+    assert tuple(rec.verify().first()) == (4, 3, 1, "9")
+
+
+def test_a_new_span_extends_the_one_that_ends_last(spark):
+    from chronolith.operators import timeline
+
+    kind = "day string, app string, title string, start_ts long, end_ts long"
+    old = spark.createDataFrame([("d", "x", None, 0, 10_000)], kind)
+    new = spark.createDataFrame([("d", "y", "", 1_000, 2_000), ("d", "x", "", 10_100, 11_000), ("d", "y", "", 14_000, 15_000), ("d", "x", "", 16_000, 17_000)], kind)
+    got = sorted(tuple(r) for r in timeline.upserted(old, new).collect())
+    assert got == [("d", "x", "", 0, 11_000), ("d", "x", "", 16_000, 17_000), ("d", "y", "", 1_000, 2_000), ("d", "y", "", 14_000, 15_000)]
