@@ -5,7 +5,8 @@ vectors of GF(2)^3; table v (v = 1..7) keeps the bits with <m(i), v> = 1. For tw
 always a v that is orthogonal to both labels, so both bits are masked out in table v: every pair within radius 2
 collides in some table, without exception (a covering, not a probabilistic, scheme).
 
-Only fingerprints that share a masked key with another one go on. For them links are exact and never listed as
+Only fingerprints that share a masked key with another one go on; the tables are no more than that filter, which lets
+nearly all fingerprints pass once there are 10^10 of them. For those that pass, links are exact and never listed as
 pairs: two fingerprints differ in at most two bits if and only if their balls of radius one meet, so each emits the
 65 points of its ball, and the at most 65 distinct fingerprints that meet in a point are joined to the smallest of
 them. Groups of any size thus cost a number of rows in proportion to their members.
