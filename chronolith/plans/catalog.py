@@ -471,10 +471,10 @@ def states_at(spark, sf):
     return state.folds(rows, rows.select("monitor_id").distinct().select("monitor_id", at))
 
 
-@query("SELECT event_id, CASE WHEN ms < 1000 THEN printf('%dms', CAST(ms AS BIGINT)) WHEN s < 10 THEN printf('%.1fs', round(s, 1)) WHEN s < 60 THEN printf('%.0fs', round(s)) WHEN s >= 3600 THEN printf('%dh %02dm', n // 3600, n % 3600 // 60) ELSE printf('%dm %02ds', n // 60, n % 60) END AS took, CASE WHEN n >= 3600 THEN printf('%d:%02d:%02d', n // 3600, n % 3600 // 60, n % 60) ELSE printf('%d:%02d', n // 60, n % 60) END AS clock FROM (SELECT event_id, us / 1000.0::DOUBLE AS ms, us / 1000000.0::DOUBLE AS s, us // 1000000 AS n FROM (SELECT event_id, event_id * event_id * 1000 AS us FROM events WHERE event_id % 7 <> 0))")
+@query("SELECT event_id, CASE WHEN ms < 1000 THEN printf('%dms', CAST(ms AS BIGINT)) WHEN s < 10 THEN printf('%.1fs', round(s, 1)) WHEN s < 60 THEN printf('%.0fs', round(s)) WHEN s >= 3600 THEN printf('%dh %02dm', n // 3600, n % 3600 // 60) ELSE printf('%dm %02ds', n // 60, n % 60) END AS took, CASE WHEN n >= 3600 THEN printf('%d:%02d:%02d', n // 3600, n % 3600 // 60, n % 60) ELSE printf('%d:%02d', n // 60, n % 60) END AS clock FROM (SELECT event_id, us / 1000.0::DOUBLE AS ms, us / 1000000.0::DOUBLE AS s, us // 1000000 AS n FROM (SELECT event_id, event_id * event_id * 1000 AS us FROM events))")
 def duration_text(spark, sf):
     us = F.col("event_id") * F.col("event_id") * 1000
-    return table(spark, sf, "events").filter("event_id % 7 <> 0").select("event_id", text.duration(us).alias("took"), text.duration_clock(us).alias("clock"))
+    return table(spark, sf, "events").select("event_id", text.duration(us).alias("took"), text.duration_clock(us).alias("clock"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'excluded' WHEN event_id % 13 = 0 THEN 'protected' WHEN event_type = 'click' THEN 'unchanged' ELSE 'recorded' END AS disposition FROM events")
