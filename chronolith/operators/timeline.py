@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolith.operators.state import asof
+
 ORDER = ("t", "event_id")
 
 # The reasons of a gap.
@@ -113,12 +115,18 @@ def sightings(rows: DataFrame, key: list[str], keep: int = 64) -> DataFrame:
     return merged.orderBy(F.desc("last_t"), *key).limit(keep).orderBy("first_t", *key)
 
 
-def gap_at(instants: DataFrame, gaps: DataFrame) -> DataFrame:
-    """(day, instant, start_t, end_t): the first gap of the day that holds each instant, both ends included."""
-    g = gaps.select(F.col("day").alias("_d"), "start_t", "end_t")
-    met = instants.join(g, (F.col("day") == F.col("_d")) & F.col("instant").between(F.col("start_t"), F.col("end_t")), "left")
-    first = met.groupBy("day", "instant").agg(F.min(F.struct("start_t", "end_t")).alias("g"))
-    return first.select("day", "instant", "g.start_t", "g.end_t")
+def gap_at(instants: DataFrame, gaps: DataFrame, slice_us: int = 3_600_000_000) -> DataFrame:
+    """(day, instant, start_t, end_t): the gap of the day that holds each instant, both ends included, once an instant.
+
+    Gaps of a day may touch but don't overlap: one that began before the instant and lasts until it comes first, else
+    the one that begins with it. As-of searches over slices of a day, so no instant meets all gaps of its day.
+    """
+    asked = instants.select("day", F.col("instant").alias("t")).distinct()
+    span = F.struct("start_t", "end_t").alias("span")
+    held = asof(asked, gaps.select("day", (F.col("start_t") + 1).alias("t"), span), "t", ["day"], "span", slice_us).withColumnRenamed("span", "held")
+    both = asof(held, gaps.select("day", F.col("start_t").alias("t"), span), "t", ["day"], "span", slice_us)
+    pick = F.when(F.col("held.end_t") >= F.col("t"), F.col("held")).when(F.col("span.end_t") >= F.col("t"), F.col("span"))
+    return both.withColumn("g", pick).select("day", F.col("t").alias("instant"), "g.start_t", "g.end_t")
 
 
 def idle_after(spans: DataFrame, at: int) -> DataFrame:
@@ -153,6 +161,22 @@ def day_summary(log: DataFrame) -> DataFrame:
     )
 
 
+def day_list(log: DataFrame, sighted: DataFrame, spans: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """(day, start_ts, end_ts, entries, span_ms, snapshots) for each day of the log, in ms.
+
+    Bounds are the wider of the session's (sighted: day, start_ts, end_ts) and the entries'; 0 stands for none. ``spans`` has
+    (day, start_ts, end_ts), ``snapshots`` a row for each. All are aggregated to a row a day before they meet.
+    """
+    ms = F.floor(F.col("t") / 1000)
+    days = log.groupBy("day").agg(F.min(F.when(F.col("t") > 0, ms)).alias("_first"), F.max(ms).alias("_last"), F.count("*").alias("entries"))
+    spent = spans.groupBy("day").agg(F.sum(F.col("end_ts") - F.col("start_ts")).alias("span_ms"))
+    own = sessions(sighted).withColumnsRenamed({"start_ts": "_from", "end_ts": "_to"})
+    met = days.join(own, "day", "left").join(spent, "day", "left").join(snapshots.groupBy("day").agg(F.count("*").alias("snapshots")), "day", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    start = F.least(F.when(F.col("_from") != 0, F.col("_from")), "_first")
+    return met.select("day", zero(start).alias("start_ts"), zero(F.greatest("_to", "_last")).alias("end_ts"), "entries", zero(F.col("span_ms")).alias("span_ms"), zero(F.col("snapshots")).alias("snapshots"))
+
+
 def focus_spans(log: DataFrame) -> DataFrame:
     """(window_id, start_t, end_t, n) of each window, the index's group by application."""
     return log.groupBy("window_id").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.count("*").alias("n"))

@@ -481,3 +481,15 @@ def duration_text(spark, sf):
 def frame_gate(spark, sf):
     i = F.col("event_id")
     return table(spark, sf, "events").select("event_id", text.disposition(i % 11 == 0, i % 13 == 0, F.when(F.col("event_type") == "click", 0).otherwise(2)).alias("disposition"))
+
+
+@query(f""", s AS (SELECT day, min(t // 1000 - 60000) AS a, max(t // 1000) AS b FROM log WHERE op = 3 GROUP BY day), w AS (SELECT day, sum(k) AS span_ms FROM (SELECT day, event_id % 90 * 1000 AS k FROM log WHERE op = 4) GROUP BY day),
+c AS (SELECT day, count(*) AS snapshots FROM (SELECT DISTINCT day, t // {HOUR} FROM log WHERE op = 2) GROUP BY day)
+SELECT day, least(any_value(a), min(t // 1000)) AS start_ts, greatest(any_value(b), max(t // 1000)) AS end_ts, count(*) AS entries, CAST(coalesce(any_value(span_ms), 0) AS BIGINT) AS span_ms, coalesce(any_value(snapshots), 0) AS snapshots
+FROM log LEFT JOIN s USING (day) LEFT JOIN w USING (day) LEFT JOIN c USING (day) GROUP BY day""")
+def day_list(spark, sf):
+    rows, ms = log(spark, sf), F.floor(F.col("t") / 1000)
+    sighted = rows.filter("op = 3").select("day", (ms - 60000).alias("start_ts"), ms.alias("end_ts"))
+    spans = rows.filter("op = 4").select("day", ms.alias("start_ts"), (ms + F.col("event_id") % 90 * 1000).alias("end_ts"))
+    snapshots = rows.filter("op = 2").select("day", F.floor(F.col("t") / HOUR)).distinct()
+    return timeline.day_list(rows, sighted, spans, snapshots)
