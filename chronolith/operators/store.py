@@ -55,10 +55,21 @@ def valid_prefix(records: DataFrame) -> DataFrame:
     return records.join(bad, "pack", "left").filter("bad is null or n < bad").drop("bad")
 
 
-def budget_level(rows: DataFrame, day: str, order: list[str], size: str, budget: int) -> DataFrame:
-    """Running bytes of a day and its level: 0 within the budget, 1 above it, 2 (paused) above twice."""
-    used = F.sum(size).over(Window.partitionBy(day).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("used", used).withColumn("level", F.when(F.col("used") > 2 * budget, 2).when(F.col("used") > budget, 1).otherwise(0))
+def budget_level(rows: DataFrame, day: str, order: list[str], size: str, budget: int, slice_width: int | None = None) -> DataFrame:
+    """Running bytes of a day and its level: 0 within the budget, 1 above it, 2 (paused) above twice.
+
+    Sums run inside slices of ``slice_width`` of the first order column, a number, and start from the slices before, which
+    are summed over a row a slice; so a busy day is no single task. Without a width a day is one slice.
+    """
+    cut = F.lit(0) if slice_width is None else F.floor(F.col(order[0]) / slice_width)
+    rows = rows.withColumn("_s", cut.cast("long"))
+    inside = F.sum(size).over(Window.partitionBy(day, "_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    totals = rows.groupBy(F.col(day).alias("_day"), F.col("_s").alias("_slice")).agg(F.sum(size).alias("_sum"))
+    earlier = F.sum("_sum").over(Window.partitionBy("_day").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    carried = totals.select("_day", "_slice", earlier.alias("_before"))
+    met = rows.withColumn("used", inside).join(carried, F.col(day).eqNullSafe(F.col("_day")) & F.col("_s").eqNullSafe(F.col("_slice")))
+    met = met.withColumn("used", F.col("used") + F.coalesce("_before", F.lit(0))).drop("_s", "_day", "_slice", "_before")
+    return met.withColumn("level", F.when(F.col("used") > 2 * budget, 2).when(F.col("used") > budget, 1).otherwise(0))
 
 
 def old_garbage(assets: DataFrame, now_ms: int, grace_ms: int, *references: DataFrame) -> DataFrame:

@@ -27,3 +27,14 @@ def integrity(referenced: DataFrame, assets: DataFrame, examples: int = 5) -> Da
     totals = seen.agg(F.count("*").alias("referenced"), F.count("there").alias("present"), F.count_if(F.col("there").isNull()).alias("missing"))
     first = seen.filter("there is null").orderBy("asset").limit(examples).agg(F.array_join(F.array_sort(F.collect_list("asset")), ",").alias("examples"))
     return totals.join(first)
+
+
+def report(log: DataFrame, tiles: DataFrame, assets: DataFrame, examples: int = 5) -> DataFrame:
+    """One row: entries, distinct assets that tile entries or snapshots (``tiles``) name, how many of those are present,
+    missing and corrupt (``assets`` has asset_hash, ok), and the first ones missing or corrupt. Hash 0 names nothing."""
+    named = log.filter("op <= 1").select("asset_hash").union(tiles.select("asset_hash")).filter("asset_hash <> 0").distinct()
+    whole = assets.groupBy("asset_hash").agg(F.bool_or(F.coalesce("ok", F.lit(False))).alias("ok"))
+    met = named.join(whole, "asset_hash", "left")
+    counts = met.agg(F.count("*").alias("referenced"), F.count_if(F.col("ok")).alias("present"), F.count_if(F.col("ok").isNull()).alias("missing"), F.count_if(~F.col("ok")).alias("corrupt"))
+    first = met.filter("ok is null or not ok").orderBy("asset_hash").limit(examples).agg(F.array_join(F.array_sort(F.collect_list("asset_hash")), ",").alias("examples"))
+    return log.agg(F.count("*").alias("entries")).join(counts).join(first)  # one row each

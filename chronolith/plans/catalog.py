@@ -185,7 +185,7 @@ def keep_budget(spark, sf):
 @query("SELECT l_orderkey, l_linenumber, used, CASE WHEN used > 2000 THEN 2 WHEN used > 1000 THEN 1 ELSE 0 END AS level FROM (SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_shipdate ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS used FROM lineitem)")
 def byte_budget(spark, sf):
     rows = table(spark, sf, "lineitem")
-    return store.budget_level(rows, "l_shipdate", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "l_quantity", 1000).select("l_orderkey", "l_linenumber", "used", "level")
+    return store.budget_level(rows, "l_shipdate", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "l_quantity", 1000, 10_000).select("l_orderkey", "l_linenumber", "used", "level")
 
 
 @query("SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1998-08-02' - 30")
@@ -493,3 +493,14 @@ def day_list(spark, sf):
     spans = rows.filter("op = 4").select("day", ms.alias("start_ts"), (ms + F.col("event_id") % 90 * 1000).alias("end_ts"))
     snapshots = rows.filter("op = 2").select("day", F.floor(F.col("t") / HOUR)).distinct()
     return timeline.day_list(rows, sighted, spans, snapshots)
+
+
+@query(f""", tiles AS (SELECT DISTINCT 100 + asset_hash % 7 AS h FROM log WHERE op = 2 OR t <= {AT} AND op = 1), r AS (SELECT asset_hash AS h FROM log WHERE op <= 1 UNION SELECT h FROM tiles),
+a AS (SELECT DISTINCT asset_hash AS h FROM log WHERE op = 0 AND asset_hash % 5 <> 0), j AS (SELECT r.h, a.h AS there, a.h % 11 = 0 AS bad FROM r LEFT JOIN a USING (h) WHERE r.h <> 0)
+SELECT (SELECT count(*) FROM log) AS entries, count(*) AS referenced, count_if(there IS NOT NULL AND NOT bad) AS present, count_if(there IS NULL) AS missing, count_if(bad) AS corrupt,
+  (SELECT string_agg(h, ',' ORDER BY h) FROM (SELECT h FROM j WHERE there IS NULL OR bad ORDER BY h LIMIT 5)) AS examples FROM j""")
+def integrity_report(spark, sf):
+    rows = log(spark, sf)
+    tiles = rows.filter(f"op = 2 or t <= {AT} and op = 1").select((100 + F.col("asset_hash") % 7).alias("asset_hash"))
+    assets = rows.filter("op = 0 and asset_hash % 5 <> 0").select("asset_hash", (F.col("asset_hash") % 11 != 0).alias("ok")).distinct()
+    return verify.report(rows, tiles, assets)

@@ -1,4 +1,4 @@
-"""Streaming forms: change detection by cell, exactly-once sinks, thinning of pointer moves."""
+"""Streaming forms: change detection by cell, exactly-once sinks."""
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,20 +38,3 @@ def sink(stream: DataFrame, assets_path: str, log_path: str, checkpoint: str):
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def thinned(pointers: DataFrame, pixels: int = 2, wait_us: int = 50_000) -> DataFrame:
-    """Pointer entries (monitor_id, t, x, y, asset_hash) worth keeping: the shape changed, or it moved by at least
-    ``pixels`` and ``wait_us`` after the last kept one. Depends on kept rows, so monitors and days are walked in order."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keep, last = [], None
-        for row in pdf.sort_values("t").itertuples():
-            moved = last is not None and max(abs(row.x - last.x), abs(row.y - last.y)) >= pixels and row.t - last.t >= wait_us
-            if last is None or row.asset_hash != last.asset_hash or moved:
-                keep.append(row.Index)
-                last = row
-        return pdf.loc[keep].drop(columns="d")
-
-    rows = pointers.select("monitor_id", "t", "x", "y", "asset_hash", F.floor(F.col("t") / 86_400_000_000).alias("d"))
-    return rows.groupBy("monitor_id", "d").applyInPandas(run, "monitor_id long, t long, x long, y long, asset_hash long")

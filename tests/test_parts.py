@@ -108,9 +108,3 @@ def test_stream_equals_batch(spark, tmp_path):
     changes.sink(stream, str(tmp_path / "assets"), str(tmp_path / "log"), str(tmp_path / "ckpt")).awaitTermination(120)
     got = sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "log")).collect())
     assert got == sorted(r.event_id for r in state.changes(batch).collect())
-
-
-def test_thinning_depends_on_kept_rows(spark):
-    rows = [(0, 0, 0, 0, 1), (0, 60_000, 1, 0, 1), (0, 120_000, 2, 0, 1), (0, 130_000, 9, 0, 1), (0, 131_000, 9, 0, 0)]
-    df = spark.createDataFrame(rows, "monitor_id long, t long, x long, y long, asset_hash long")
-    assert sorted(r.t for r in changes.thinned(df).collect()) == [0, 120_000, 131_000]

@@ -53,3 +53,9 @@ def test_first_seen_against_what_is_stored(spark, streamed):
     rows = [[(1, 10), (1, 11), (3, 12)], [(1, 13), (2, 14)]]
     seen = lambda s: timers.first_seen(s.withColumn("at", F.timestamp_seconds("t")), stored).select("asset_hash")
     assert streamed(seen, "asset_hash long, t long", rows) == [(1,), (2,)]
+
+
+def test_thinning_depends_on_kept_rows(streamed):
+    rows = [(0, 0, 0, 0, 1), (0, 60_000, 1, 0, 1), (0, 120_000, 2, 0, 1), (0, 130_000, 9, 0, 1), (0, 131_000, 9, 0, 0)]
+    got = streamed(timers.thinned, "monitor_id long, t long, x long, y long, asset_hash long", [rows])
+    assert [r[1] for r in got] == [0, 120_000, 131_000]
