@@ -25,6 +25,17 @@ def window_id_of(process: str, title: str) -> int:
     return xxhash.xxh32_intdigest(f"{(process or '').lower()}|{title or ''}".encode()) or 1
 
 
+def window_id(process, title):
+    """Column of window_id_of, over Arrow batches; use it on distinct pairs."""
+    import pandas as pd
+
+    @F.pandas_udf("long")
+    def ids(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([window_id_of(x, y) for x, y in zip(a.fillna(""), b.fillna(""))], dtype="int64")
+
+    return ids(process, title)
+
+
 def tile_hash(width, height, bgra):
     import pandas as pd
 

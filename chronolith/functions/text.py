@@ -9,6 +9,26 @@ def hash_hex(h):
     return F.lower(F.lpad(F.hex(h), 16, "0"))
 
 
+def asset_path(h):
+    """Relative path of an asset's own file: folders by the first two pairs of hex digits."""
+    name = hash_hex(h)
+    return F.concat_ws("/", F.substring(name, 1, 2), F.substring(name, 3, 2), F.concat(name, F.lit(".tile")))
+
+
+def segment_name(n):
+    """File name of a day's n-th log segment; the first has no number."""
+    return F.when(n == 0, F.lit("log.bin")).otherwise(F.format_string("log.%04d.bin", n))
+
+
+def snapshot_name(t):
+    return F.concat(t.cast("string"), F.lit(".ckpt"))
+
+
+def snapshot_time(name):
+    """The time in a snapshot's file name, null where there is none."""
+    return F.nullif(F.regexp_extract(name, r"([+-]?[0-9]+)\.[^./]*$", 1), F.lit("")).try_cast("long")
+
+
 def clock(us):
     """hh:mm:ss of a duration in µs; hours grow."""
     s = F.floor(us / 1_000_000)

@@ -104,6 +104,12 @@ def geometry_at(log: DataFrame, geometry: DataFrame) -> DataFrame:
     return _under(log, in_force(geometry)).select("event_id", F.col("g.grid").alias("grid"))
 
 
+def monitors_at(geometry: DataFrame, at: int) -> DataFrame:
+    """All monitors that had begun at an instant, a row each, with the geometry in force then."""
+    now = in_force(geometry).filter((F.col("from_t") <= at) & (F.col("until_t") > at))
+    return now.select("monitor_id", "g.*")
+
+
 def replay(log: DataFrame, geometry: DataFrame, at: int, base: DataFrame | None = None) -> DataFrame:
     """(monitor_id, idx, asset_hash): the fold at ``at`` on grids that change while the log runs.
 

@@ -104,6 +104,12 @@ def upserted(spans: DataFrame, new: DataFrame, tolerance_ms: int = 2000) -> Data
     return old.filter("_n > 1").drop("_n").unionByName(joined)
 
 
+def windows(spans: DataFrame) -> DataFrame:
+    """(day, app, title, first_ts): applications and titles of each day and when they came first; nulls count as empty."""
+    key = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("app", "title")]
+    return spans.groupBy("day", *key).agg(F.min("start_ts").alias("first_ts"))
+
+
 def sessions(rows: DataFrame) -> DataFrame:
     """(day, start_ts, end_ts): the day's session from any number of sightings; its start only falls, its end only rises."""
     return rows.groupBy("day").agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))

@@ -504,3 +504,27 @@ def integrity_report(spark, sf):
     tiles = rows.filter(f"op = 2 or t <= {AT} and op = 1").select((100 + F.col("asset_hash") % 7).alias("asset_hash"))
     assets = rows.filter("op = 0 and asset_hash % 5 <> 0").select("asset_hash", (F.col("asset_hash") % 11 != 0).alias("ok")).distinct()
     return verify.report(rows, tiles, assets)
+
+
+@query("""SELECT DISTINCT asset_hash, substr(h, 1, 2) || '/' || substr(h, 3, 2) || '/' || h || '.tile' AS asset, CASE WHEN n = 0 THEN 'log.bin' ELSE 'log.' || lpad(CAST(n AS VARCHAR), 4, '0') || '.bin' END AS segment,
+  n * 180000000 || '.ckpt' AS snapshot, n * 180000000 AS snapshot_t
+FROM (SELECT asset_hash, lpad(lower(to_hex(asset_hash)), 16, '0') AS h, asset_hash % 12 AS n FROM log) log""")
+def stored_names(spark, sf):
+    n = F.col("asset_hash") % 12
+    name = text.snapshot_name(n * 180_000_000)
+    rows = log(spark, sf).select("asset_hash").distinct()
+    return rows.select("asset_hash", text.asset_path(F.col("asset_hash")).alias("asset"), text.segment_name(n).alias("segment"), name.alias("snapshot"), text.snapshot_time(name).alias("snapshot_t"))
+
+
+@query(f""", g AS (SELECT monitor_id, CAST(floor(tile_x / 7.0) AS BIGINT) AS grid, min(t) AS first_t, max(t) AS last_t FROM log WHERE event_id % 50 < 10 AND t > {AT - 24 * HOUR} GROUP BY ALL)
+SELECT monitor_id, first_t, grid, last_t, grid AS row FROM (SELECT *, row_number() OVER (PARTITION BY monitor_id ORDER BY last_t >= {AT} DESC, CASE WHEN last_t >= {AT} THEN first_t ELSE last_t END DESC, CASE WHEN last_t >= {AT} THEN grid ELSE -grid END) AS n FROM g WHERE first_t <= {AT}) log WHERE n = 1""")
+def monitors_at(spark, sf):
+    rows = log(spark, sf).filter(f"event_id % 50 < 10 and t > {AT - 24 * HOUR}").withColumn("grid", F.floor(F.col("tile_x") / 7).cast("long"))
+    g = rows.groupBy("monitor_id", "grid").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t")).withColumn("row", F.col("grid"))
+    return state.monitors_at(g, AT).select("monitor_id", "first_t", "grid", "last_t", "row")
+
+
+@query("SELECT day, CAST(monitor_id AS VARCHAR) AS app, CASE WHEN tile_y % 2 = 0 THEN '' ELSE CAST(tile_y AS VARCHAR) END AS title, min(t // 1000) AS first_ts FROM log WHERE op = 4 GROUP BY ALL")
+def window_list(spark, sf):
+    title = F.when(F.col("tile_y") % 2 != 0, F.col("tile_y").cast("string"))
+    return timeline.windows(log(spark, sf).filter("op = 4").select("day", F.col("monitor_id").cast("string").alias("app"), title.alias("title"), F.floor(F.col("t") / 1000).alias("start_ts")))

@@ -108,3 +108,11 @@ def test_stream_equals_batch(spark, tmp_path):
     changes.sink(stream, str(tmp_path / "assets"), str(tmp_path / "log"), str(tmp_path / "ckpt")).awaitTermination(120)
     got = sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "log")).collect())
     assert got == sorted(r.event_id for r in state.changes(batch).collect())
+
+
+def test_window_ids_of_a_column(spark):
+    from chronolith.functions import codec
+
+    pairs = [("App.EXE", "T"), ("app.exe", "T"), (None, None), ("", ""), (None, "x")]
+    got = [r.id for r in spark.createDataFrame(pairs, "p string, t string").coalesce(1).select(codec.window_id("p", "t").alias("id")).collect()]
+    assert got == [codec.window_id_of(*p) for p in pairs] and got[0] == got[1] != 0 and got[2] == got[3] == 0
