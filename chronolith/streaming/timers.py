@@ -2,6 +2,7 @@
 
 State is a few values for each key. Entries of a micro-batch are put in time order in their key; batches must come in
 time order, as from one writer. Steps that depend on the row last kept walk a key's rows of one micro-batch in Python.
+These go by the time of the rows alone; ``clocked`` has those that act in silence too.
 """
 
 from collections.abc import Iterator
@@ -119,7 +120,8 @@ def thinned(stream: DataFrame, pixels: int = 2, wait_us: int = 50_000) -> DataFr
 
 
 def first_seen(stream: DataFrame, stored: DataFrame | None = None, key: str = "asset_hash", at: str = "at", late: str = "1 hour") -> DataFrame:
-    """Rows of a stream whose key is new: once within the watermark (on the timestamp ``at``), and not among ``stored``
-    keys. State lasts as long as the watermark; a key that returns later is found in what was stored since."""
+    """Rows of a stream whose key is new: once within the watermark (on the timestamp ``at``), and not among the keys that
+    ``stored`` had when the stream was defined. State lasts as long as the watermark, so a key that returns after it comes
+    again; ``stores.store`` looks every batch up in the store and keeps one copy."""
     fresh = stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
     return fresh if stored is None else fresh.join(stored.select(F.col(key).alias("_k")).distinct(), F.col(key) == F.col("_k"), "left_anti")
