@@ -69,6 +69,45 @@ def folds(log: DataFrame, points: DataFrame) -> DataFrame:
     return found.select("monitor_id", F.col("t").alias("at"), "tile_x", "tile_y", F.col("last.asset_hash").alias("asset_hash"))
 
 
+LOWEST = -(1 << 63)
+
+
+def arrivals(log: DataFrame, points: DataFrame, slice_us: int = 3_600_000_000) -> DataFrame:
+    """(monitor_id, at, base, tile_x, tile_y, asset_hash): what changed on the way to each point (monitor_id, at, base).
+
+    An entry belongs to the first point at or after it, if it came after that point's base; the last one of each cell
+    counts, null where it clears the cell. A partial aggregate follows the search, so a row for each changed cell and
+    point goes on, however often the cell changed between two points.
+    """
+    p = F.struct("at", "base").alias("p")
+    right = points.select("monitor_id", (-F.col("at")).alias("n"), p)
+    rows = log.filter("op <= 2").select("event_id", *CELL, "t", (-F.col("t")).alias("n"), F.struct(F.when(F.col("op") != 2, F.col("asset_hash")).alias("asset_hash")).alias("last"))
+    met = asof(rows, right, "n", ["monitor_id"], "p", slice_us).filter("p is not null and t > p.base")
+    last = met.groupBy("monitor_id", "p", "tile_x", "tile_y").agg(F.max_by("last", F.struct("t", "event_id")).alias("last"))
+    return last.select("monitor_id", "p.at", "p.base", "tile_x", "tile_y", "last.asset_hash")
+
+
+def folds_since(log: DataFrame, points: DataFrame, times: DataFrame, tiles: DataFrame | None, slice_us: int = 3_600_000_000) -> DataFrame:
+    """``folds`` from snapshots: each point starts from the newest snapshot at or before it and reads the entries since.
+
+    ``times`` (at) are the snapshots' instants and ``tiles`` (at, cell, asset_hash) their filled cells. Points that share
+    a snapshot share one delta; no entry before the first snapshot used is needed. A point before every snapshot reads
+    the log from its start.
+    """
+    asked = points.select("monitor_id", F.col("at").alias("t")).distinct()
+    known = times.select(F.col("at").alias("t"), F.col("at").alias("base"))
+    known = known.join(asked.select("monitor_id").distinct())  # a row for each monitor and snapshot
+    asked = asof(asked, known, "t", ["monitor_id"], "base", slice_us).withColumn("base", F.coalesce("base", F.lit(LOWEST)))
+    content = F.struct("asset_hash").alias("last")
+    cells = arrivals(log, asked.withColumnRenamed("t", "at"), slice_us).select("base", *CELL, F.col("at").alias("t"), content)
+    if tiles is not None:
+        first = tiles.select(F.col("at").cast("long").alias("base"), *CELL, F.col("at").cast("long").alias("t"), content)
+        cells = first.join(asked.select("monitor_id", "base").distinct(), ["monitor_id", "base"], "left_semi").select(cells.columns).unionByName(cells)
+    by = ["base", *CELL]
+    found = asof(asked.join(cells.select(*by).distinct(), ["monitor_id", "base"]), cells, "t", by, "last", slice_us).filter("last.asset_hash is not null")
+    return found.select("monitor_id", F.col("t").alias("at"), "tile_x", "tile_y", F.col("last.asset_hash").alias("asset_hash"))
+
+
 def in_force(geometry: DataFrame) -> DataFrame:
     """Which row of ``geometry`` (monitor_id, first_t, last_t, row and more) holds from from_t until before until_t.
 

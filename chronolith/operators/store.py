@@ -9,6 +9,11 @@ def content(docs: DataFrame) -> DataFrame:
     return docs.groupBy(F.md5("text").alias("asset")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("refs"))
 
 
+def references(log: DataFrame) -> DataFrame:
+    """(asset_hash, first_t, refs): when each asset was first named, and how often; hash 0 names nothing."""
+    return log.filter("asset_hash <> 0").groupBy("asset_hash").agg(F.min("t").alias("first_t"), F.count("*").alias("refs"))
+
+
 def unseen(new: DataFrame, stored: DataFrame, key: str = "asset") -> DataFrame:
     """Assets to store: one row for each key that the store lacks."""
     return new.dropDuplicates([key]).join(stored.select(key), key, "left_anti")

@@ -104,6 +104,11 @@ def upserted(spans: DataFrame, new: DataFrame, tolerance_ms: int = 2000) -> Data
     return old.filter("_n > 1").drop("_n").unionByName(joined)
 
 
+def total_span(spans: DataFrame) -> DataFrame:
+    """(day, total_us): the spans (day, start_t, end_t) of each day added up, overlaps counted as often as they occur."""
+    return spans.groupBy("day").agg(F.coalesce(F.sum(F.col("end_t") - F.col("start_t")), F.lit(0)).alias("total_us"))
+
+
 def windows(spans: DataFrame) -> DataFrame:
     """(day, app, title, first_ts): applications and titles of each day and when they came first; nulls count as empty."""
     key = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("app", "title")]
@@ -152,6 +157,11 @@ def heartbeats(log: DataFrame, every_us: int = 15_000_000) -> DataFrame:
     return quiet.select("day", F.explode(F.sequence(F.col("before_t") + every_us, F.col("t") - 1, F.lit(every_us))).alias("t"))
 
 
+def replay_totals(segments: DataFrame) -> DataFrame:
+    """(day, replays, entries, bytes): a day's recorded stretches (rows of ``segment_stats``) added up."""
+    return segments.groupBy("day").agg(F.count("*").alias("replays"), F.sum("entries").alias("entries"), F.sum("bytes").alias("bytes"))
+
+
 def segment_stats(log: DataFrame) -> DataFrame:
     """Entries, bounds, distinct windows (of all entries, and of tile entries alone) and bytes of each segment."""
     return log.groupBy("day", "segment").agg(

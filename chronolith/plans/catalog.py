@@ -100,13 +100,12 @@ def focus_spans(spark, sf):
 
 @query("SELECT day, CAST(coalesce(sum(e - s), 0) AS BIGINT) AS total_us FROM (SELECT day, window_id, min(t) AS s, max(t) AS e FROM log GROUP BY day, window_id) GROUP BY day")
 def total_span(spark, sf):
-    spans = log(spark, sf).groupBy("day", "window_id").agg((F.max("t") - F.min("t")).alias("d"))
-    return spans.groupBy("day").agg(F.coalesce(F.sum("d"), F.lit(0)).alias("total_us"))
+    return timeline.total_span(log(spark, sf).groupBy("day", "window_id").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t")))
 
 
 @query("SELECT asset_hash, min(t) AS first_t, count(*) AS refs FROM log WHERE asset_hash <> 0 GROUP BY asset_hash")
 def content_refs(spark, sf):
-    return log(spark, sf).filter("asset_hash <> 0").groupBy("asset_hash").agg(F.min("t").alias("first_t"), F.count("*").alias("refs"))
+    return store.references(log(spark, sf))
 
 
 @query(f", c AS (SELECT DISTINCT monitor_id, t // {6 * HOUR} * {6 * HOUR} AS t FROM log WHERE event_id % 3 = 0) SELECT log.event_id, c.t AS ckpt FROM log ASOF LEFT JOIN c ON log.monitor_id = c.monitor_id AND log.t >= c.t")
@@ -174,7 +173,7 @@ def asset_gc(spark, sf):
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def orphan_docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+    return store.garbage(table(spark, sf, "documents").select(F.col("doc_id").alias("asset")), table(spark, sf, "labels").select(F.col("doc_id").alias("asset"))).withColumnRenamed("asset", "doc_id")
 
 
 @query("SELECT doc_id, n_chars, total FROM (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id DESC) AS total FROM (SELECT * FROM documents ORDER BY doc_id DESC LIMIT 120)) WHERE total <= 2000000")
@@ -185,7 +184,7 @@ def keep_budget(spark, sf):
 @query("SELECT l_orderkey, l_linenumber, used, CASE WHEN used > 2000 THEN 2 WHEN used > 1000 THEN 1 ELSE 0 END AS level FROM (SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_shipdate ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS used FROM lineitem)")
 def byte_budget(spark, sf):
     rows = table(spark, sf, "lineitem")
-    return store.budget_level(rows, "l_shipdate", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "l_quantity", 1000, 10_000).select("l_orderkey", "l_linenumber", "used", "level")
+    return store.budget_level(rows, "l_shipdate", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "l_quantity", 1000, slice_width=10_000).select("l_orderkey", "l_linenumber", "used", "level")
 
 
 @query("SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1998-08-02' - 30")
@@ -295,16 +294,17 @@ def exclusion(spark, sf):
     return d.filter(text.excluded(F.col("source"), F.col("text"), ["SRC1*.exe"], ["/toke?n = /"])).select("doc_id")
 
 
-@query("SELECT user_id, max(value) - min(value) AS spread, arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)) AS delta FROM events GROUP BY user_id")
+@query("""WITH d AS (SELECT user_id, arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)) AS delta, arg_max(event_id, (ts, event_id)) - arg_min(event_id, (ts, event_id)) AS hashed FROM events GROUP BY user_id)
+SELECT user_id, delta, hashed, CASE WHEN hashed = 0 THEN 100.0 ELSE 100.0 * (hashed - user_id) / hashed END AS skipped FROM d""")
 def counter_delta(spark, sf):
-    e, key = table(spark, sf, "events"), F.struct("ts", "event_id")
-    return e.groupBy("user_id").agg((F.max("value") - F.min("value")).alias("spread"), (F.max_by("value", key) - F.min_by("value", key)).alias("delta"))
+    samples = table(spark, sf, "events").select("user_id", "ts", "event_id", F.col("value").alias("delta"), F.col("event_id").alias("hashed"))
+    found = metrics.deltas(samples, ["user_id"], ["ts", "event_id"], ["delta", "hashed"])
+    return found.withColumn("skipped", metrics.skipped_percent(F.col("hashed"), F.col("user_id")))
 
 
 @query("SELECT window_id, first_t, last_t FROM (SELECT window_id, min(t) AS first_t, max(t) AS last_t FROM log GROUP BY window_id ORDER BY max(t) DESC, window_id LIMIT 64) ORDER BY first_t")
 def geometry_top(spark, sf):
-    g = log(spark, sf).groupBy("window_id").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
-    return g.orderBy(F.desc("last_t"), "window_id").limit(64).orderBy("first_t")
+    return timeline.sightings(log(spark, sf), ["window_id"], 64)
 
 
 @query("SELECT n, least(60000, 5000 * CAST(pow(2, least(4, n - 1)) AS BIGINT)) AS wait_ms, CASE WHEN n % 3 = 0 THEN 100.0 ELSE 100.0 * 1 / (n % 3) END AS pct FROM (SELECT DISTINCT 1 + event_id % 9 AS n FROM events)")
@@ -343,10 +343,10 @@ def step_event(spark, sf):
     return state.stepped(log(spark, sf), AT)
 
 
-@query(f"SELECT id, greatest({AT}, least({AT + HOUR}, {AT} + CAST(id * 1000000 * CASE WHEN id % 3 = 0 THEN 64.0 ELSE 0.5 END AS BIGINT))) AS position FROM range(2000) r(id)")
+@query(f"SELECT event_id, greatest({AT}, least({AT + HOUR}, {AT} + CAST(event_id * 1000000 * CASE WHEN user_id % 3 = 0 THEN 64.0 ELSE 0.5 END AS BIGINT))) AS position FROM events")
 def playhead(spark, sf):
-    speed = F.when(F.col("id") % 3 == 0, 100.0).otherwise(0.5)
-    return spark.range(2000).select("id", state.played(F.col("id") * 1_000_000, speed, AT, AT, AT + HOUR).alias("position"))
+    speed = F.when(F.col("user_id") % 3 == 0, 100.0).otherwise(0.5)
+    return table(spark, sf, "events").select("event_id", state.played(F.col("event_id") * 1_000_000, speed, AT, AT, AT + HOUR).alias("position"))
 
 
 @query(f"""SELECT day, instant, CAST(min(start_t) AS BIGINT) AS start_t, CAST(arg_min(end_t, start_t) AS BIGINT) AS end_t FROM (SELECT i.day, instant, start_t, end_t
@@ -456,10 +456,10 @@ def desktop_box(spark, sf):
     return geo.bounding_box(rects, "monitor_id")
 
 
-@query("SELECT n, greatest(5.0::DOUBLE, least(2000.0::DOUBLE, 1000.0 * n / (0.01 * 8 * 1000) * (1 + 0.5 * (n % 5)))) AS pace, least(200, 15 * CAST(pow(2, least(n, 6)) AS BIGINT)) AS wait FROM range(60) r(n)")
+@query("SELECT event_id, greatest(5.0::DOUBLE, least(2000.0::DOUBLE, 1000.0 * n / (0.01 * 8 * 1000) * (1 + 0.5 * (n % 5)))) AS pace, least(200, 15 * CAST(pow(2, least(n, 6)) AS BIGINT)) AS wait FROM (SELECT event_id, user_id % 60 AS n FROM events)")
 def pacing(spark, sf):
-    n = F.col("n")
-    return spark.range(60).withColumnRenamed("id", "n").select("n", metrics.pace_ms(n, 8, n % 5, 5.0, 2000.0).alias("pace"), metrics.timeout_ms(n, 200).alias("wait"))
+    n = F.col("user_id") % 60
+    return table(spark, sf, "events").select("event_id", metrics.pace_ms(n, 8, n % 5, 5.0, 2000.0).alias("pace"), metrics.timeout_ms(n, 200).alias("wait"))
 
 
 @query(f""", p AS (SELECT monitor_id, {AT} + i * {6 * HOUR} AS "at" FROM range(4) r(i), (SELECT DISTINCT monitor_id FROM log))

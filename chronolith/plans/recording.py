@@ -35,6 +35,17 @@ class Recording:
         """Segments of a day in order of their start."""
         return timeline.segment_stats(self.log.filter(F.col("day") == F.lit(day))).orderBy("first_t")
 
+    def totals(self) -> DataFrame:
+        """Recorded stretches, entries and bytes of each day."""
+        return timeline.replay_totals(timeline.segment_stats(self.log))
+
+    def rows(self, kind: str) -> DataFrame:
+        """(message): one JSON text of kind 'days', 'replays' or 'gaps' for each day, as a display asks for them."""
+        what = {"days": self.days, "replays": lambda: timeline.segment_stats(self.log), "gaps": self.gaps}[kind]()
+        rest = F.struct(*sorted(c for c in what.columns if c != "day"))
+        listed = what.groupBy("day").agg(F.sort_array(F.collect_list(rest)).alias(kind))  # a day's stretches are few
+        return listed.select(F.to_json(F.struct(F.lit(kind).alias("type"), F.col("day"), F.col(kind))).alias("message"))
+
     def state(self, at: int) -> DataFrame:
         return state.fold(self.log, at)
 
@@ -56,17 +67,16 @@ class Recording:
         if not pictures:
             return plan
         at = F.explode(F.sequence(F.lit(start), F.lit(start + (count - 1) * step), F.lit(step))).alias("at")
-        cells = state.folds(self.log, self.monitors.select("monitor_id", at))
-        frames = render.rendered(cells, render.decoded(self.assets), self.monitors, ("monitor_id", "at"))
+        points = self.monitors.select("monitor_id", at)
+        keys = state.folds(self.log, render.key_points(points, 32 * step))
+        frames = render.filmed(self.log, points, keys, render.decoded(self.assets), self.monitors, 32 * step)
         return plan.join(frames.withColumnRenamed("at", "instant"), "instant", "left")
 
     def fidelity(self, truth: DataFrame, tolerance: int = 0) -> DataFrame:
-        """How well frames (monitor_id, t, width, bgra) taken from the screen are rendered from the log."""
-        points = truth.select("monitor_id", F.col("t").alias("at"))
-        frames = render.rendered(state.folds(self.log, points), render.decoded(self.assets), self.monitors, ("monitor_id", "at"))
-        both = truth.select("monitor_id", F.col("t").alias("at"), F.col("bgra").alias("truth"), F.col("width").cast("int").alias("width"))
-        both = both.join(frames.select("monitor_id", "at", "bgra"), ["monitor_id", "at"], "left")
-        diffs = render.pixel_diff(both, ("monitor_id", "at"), "truth", "bgra", tolerance)
+        """How well frames (monitor_id, t, width, bgra) taken from the screen are kept in the log, tile by tile."""
+        both = truth.select("monitor_id", F.col("t").alias("at"), F.col("width").cast("int").alias("width"), F.floor(F.octet_length("bgra") / 4 / F.col("width")).cast("int").alias("height"), "bgra")
+        cells = state.folds(self.log, both.select("monitor_id", "at"))
+        diffs = render.tile_diff(both, cells, self.assets, self.monitors, tolerance=tolerance)
         return verify.fidelity(diffs.withColumnRenamed("pixels", "elements"), "at")
 
     def verify(self) -> DataFrame:

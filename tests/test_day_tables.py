@@ -1,3 +1,5 @@
+from datetime import date, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +52,22 @@ def test_assets_are_added_once(spark, stored):
     for hashes in ((1, 2, 2), (2, 3), (3,)):
         day_tables.append_assets(spark.createDataFrame([(h, bytearray(b"x")) for h in hashes], "asset_hash long, payload binary"), path)
     assert sorted(r.asset_hash for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("every", [7, 60])
+def test_states_at_many_instants_from_snapshots(spark, sf_dir, stored, tmp_path, every):
+    rows, path = log(spark, sf_dir), str(tmp_path / "snapshots")
+    for at in (AT - 100 * HOUR, AT - 48 * HOUR, AT - 47 * HOUR, AT - 5 * HOUR, AT + 100 * HOUR):
+        cells = state.fold(rows, at).withColumns({"at": F.lit(at), "day": F.to_date(F.timestamp_micros(F.lit(at)))})
+        day_tables.write_snapshots(cells, path)
+    asked = [(m, AT - 60 * HOUR + n * every * HOUR // 7) for n in range(30) for m in (0, 1, 3)] + [(2, AT - 5 * HOUR), (9, AT)]
+    points = spark.createDataFrame(asked, "monitor_id long, at long")
+    got = day_tables.states_at(spark, f"{stored}/log", path, points)
+    want = state.folds(rows, points)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    early = spark.createDataFrame([(0, AT - 300 * HOUR), (1, AT - 90 * HOUR)], "monitor_id long, at long")
+    assert sorted(map(tuple, day_tables.states_at(spark, f"{stored}/log", path, early).collect())) == sorted(map(tuple, state.folds(rows, early).collect()))
+    scans = [line for line in got._jdf.queryExecution().toString().splitlines() if "FileScan" in line and "event_id" in line]
+    first = date(1970, 1, 1) + timedelta(days=(AT - 100 * HOUR) // (24 * HOUR) - 1)
+    assert scans and all(f">= {first})" in line for line in scans)
+    assert day_tables.states_at(spark, f"{stored}/log", path, points.limit(0)).count() == 0
