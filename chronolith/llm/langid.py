@@ -172,16 +172,18 @@ def samples(docs: DataFrame) -> dict[str, str]:
     """A bounded sample of text for each label, from the documents outside fold 0.
 
     Labelled texts are cut into segments of OF_ONE characters, all of them, and those with the smallest hashes of their
-    document and number are the sample; copies of a row give a segment once. Rows with a null id train.
+    text and number are the sample; copies of a text give a segment once, whatever their ids, so repeating rows doesn't
+    change a label's sample. Rows with a null id train.
     """
     rows = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.coalesce(fold(), F.lit(1)) != 0))
-    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("t"), F.ceil(F.length("text") / OF_ONE).cast("int").alias("n"))
-    found = rows.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("t").alias("texts"), F.sum("n").alias("segments"))
+    rows = rows.select("lang", "text", F.xxhash64("text").alias("t"), F.ceil(F.length("text") / OF_ONE).cast("int").alias("n"))
+    texts = rows.groupBy("lang", "t").agg(F.count("*").alias("rows"), F.max("n").alias("n"))
+    found = texts.groupBy("lang").agg(F.sum("rows").alias("rows"), F.sum("n").alias("segments"))
     labels = found.orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()
     if not labels:
         return {}
     # hashes below a label's cut are about four samples, so that only so many rows of it meet
-    cuts = [(r.lang, int((1 << 62) * min(1.0, 4 * SEGMENTS / max(1, r.segments * min(1, r.texts / r.rows))))) for r in labels]
+    cuts = [(r.lang, int((1 << 62) * min(1.0, 4 * SEGMENTS / r.segments))) for r in labels]
     known = F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, cut long"))
     hash_of = lambda i: F.shiftrightunsigned(F.xxhash64("t", i), 2)
     some = rows.join(known, "lang").withColumn("at", F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: hash_of(i) < F.col("cut")))

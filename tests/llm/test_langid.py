@@ -106,3 +106,18 @@ def test_several_scripts_against_plain_search():
     for n, t in enumerate(texts):
         assert got[n].tolist() == [longest_matches(t.lower(), samples[x]) for x in model.languages]
     assert model.predict(texts[:-1])[0] == want
+
+
+def test_repeated_rows_leave_the_sample_alone(spark):
+    import random
+
+    rnd = random.Random(3)
+    words = lambda n, letters: " ".join("".join(rnd.choices(letters, k=5)) for _ in range(n))
+    rows = [(1, words(30_000, "abcdef"), "aa", None)] + [(10 + i, words(20, "abcdef"), "aa", None) for i in range(200)]
+    rows += [(400 + i, words(40, "ghijkl"), "bb", None) for i in range(50)]
+    once = langid.samples(plain.awkward(spark, rows))
+    assert once == langid.samples(plain.awkward(spark, rows + rows[:1] * 300 + [(1000 + i, rows[0][1], "aa", None) for i in range(50)]))
+    assert len(once["aa"]) > 15_000 and set(once) == {"aa", "bb"}
+    hot = plain.awkward(spark, [(1, rows[0][1] * 4, "aa", None)]).selectExpr("*", "explode(sequence(1, 4000)) as copy").drop("copy")
+    short = plain.awkward(spark, rows[1:])
+    assert len(langid.samples(hot.unionByName(short.crossJoin(spark.range(10)).drop("id")))["aa"]) > 15_000
