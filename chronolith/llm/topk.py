@@ -161,7 +161,7 @@ def limbs(a: np.ndarray) -> list[np.ndarray]:
     return [(a & mask).astype(np.float64), (a >> LIMB & mask).astype(np.float64), (a >> 2 * LIMB).astype(np.float64)]
 
 
-def fits(a: np.ndarray, b: np.ndarray) -> bool:
+def in_doubles(a: np.ndarray, b: np.ndarray) -> bool:
     """True if no inner product of rows of a and b, nor any part of one, can pass 2^53: doubles hold it exactly."""
     largest = [max(-int(x.min(initial=0)), int(x.max(initial=0))) for x in (a, b)]
     return largest[0] * largest[1] * a.shape[1] < 1 << 53
@@ -173,7 +173,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     In doubles (and so returned) if no sum can pass 2^53; else in three limbs of a component, whose products add up
     exactly in doubles and are carried in 64-bit integers.
     """
-    if fits(a, b):
+    if in_doubles(a, b):
         return a.astype(np.float64) @ b.astype(np.float64).T
     sums = [np.zeros((len(a), len(b)), np.int64) for _ in range(5)]
     for at in range(0, a.shape[1], EXACT):
@@ -273,7 +273,7 @@ def top_k(vectors: DataFrame, queries, k: int = 20, scale: float = 64, slices: i
                     collected = np.zeros((len(q), len(near)), bool)
                     for p in lists:
                         collected |= p >= least[:, None].astype(p.dtype)
-                    small, out = fits(q, block.x[near]), []
+                    small, out = in_doubles(q, block.x[near]), []
                     for i, (number, own) in enumerate(zip(numbers, ids)):
                         entries = np.flatnonzero(collected[i])
                         some = near[entries]
