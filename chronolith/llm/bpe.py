@@ -190,6 +190,7 @@ def digests(encoded: DataFrame, *more: str) -> DataFrame:
 
 
 def op3_bpe(spark, sf_dir) -> DataFrame:
+    """Numbers and digests of every document's token ids, and of what they decode to."""
     import public_tokenizers
 
     from chronolith.llm.common import table

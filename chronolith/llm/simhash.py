@@ -5,11 +5,12 @@ vectors of GF(2)^3; table v (v = 1..7) keeps the bits with <m(i), v> = 1. For tw
 always a v that is orthogonal to both labels, so both bits are masked out in table v: every pair within radius 2
 collides in some table, without exception (a covering, not a probabilistic, scheme).
 
-Only fingerprints that share a masked key with another one go on; the tables are no more than that filter, which lets
-nearly all fingerprints pass once there are 10^10 of them. For those that pass, links are exact and never listed as
-pairs: two fingerprints differ in at most two bits if and only if their balls of radius one meet, so each emits the
-65 points of its ball, and the at most 65 distinct fingerprints that meet in a point are joined to the smallest of
-them. Groups of any size thus cost a number of rows in proportion to their members.
+A collision in a table is what makes a pair. Within a table, fingerprints that share a masked key can only differ in the
+bits that are masked out; two of them differ in at most two of those if and only if their balls of radius one over
+these bits meet. So each emits the points of that ball (under its table), and the at most 29 distinct fingerprints that
+meet in a point are joined to the smallest of them. Groups of any size thus cost a number of rows in proportion to
+their members, and pairs are never listed. A fingerprint that is alone under a masked key emits nothing there; once
+there are 10^10 of them few are alone.
 """
 
 from __future__ import annotations
@@ -70,24 +71,30 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def balls() -> list[list[int]]:
+    """For each table what turns a fingerprint into the points of its ball over the masked-out bits, itself first."""
+    signed = [1 << i if i < 63 else -(1 << 63) for i in range(BITS)]
+    return [[0, *(bit for i, bit in enumerate(signed) if not mask >> i & 1)] for mask in masks()]
+
+
 def links(prints: DataFrame) -> DataFrame:
     """(src, dst): edges that connect all distinct fingerprints of ``fp`` within the radius, through no others."""
     distinct = prints.select("fp").distinct()
     keys = [F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(m).alias("key")) for v, m in enumerate(masks())]
     keyed = distinct.select("fp", F.inline(F.array(*keys)))
     shared = keyed.groupBy("v", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi")
-    colliding = keyed.join(shared.select("v", "key"), ["v", "key"], "left_semi").select("fp").distinct()
-    ball = [F.lit(0), *(F.lit(1 << b if b < 63 else -(1 << 63)) for b in range(BITS))]
-    points = colliding.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(x) for x in ball])).alias("point"))
-    met = points.groupBy("point").agg(F.collect_set("fp").alias("members")).filter(F.size("members") > 1)
+    colliding = keyed.join(shared.select("v", "key"), ["v", "key"], "left_semi")
+    ball = F.element_at(F.lit(balls()), F.col("v") + 1)
+    points = colliding.select("v", "fp", F.explode(F.transform(ball, lambda x: F.col("fp").bitwiseXOR(x))).alias("point"))
+    met = points.groupBy("v", "point").agg(F.collect_set("fp").alias("members")).filter(F.size("members") > 1)
     edges = met.select(F.explode("members").alias("src"), F.array_min("members").alias("dst"))
     return edges.filter("src <> dst").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of an edge list reaches.
 
-    Alternates large-star and small-star steps; each round ends in a reliable checkpoint, and only a count and a
+    Alternates large-star and small-star steps until nothing changes; each round ends in a reliable checkpoint, and only a count and a
     hash of the edges come to the driver. Labels themselves, and nodes without an edge, have no row.
     """
 
@@ -105,13 +112,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return inner.union(outer).filter("src <> dst").distinct()
 
     state, before = checkpointed(edges), None
-    for _ in range(rounds):
+    while True:
         now = tuple(state.agg(F.count("*"), F.sum(F.hash("src", "dst").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break
         state, before = checkpointed(star(star(state, True), False)), now
-    else:
-        raise RuntimeError("the components did not settle")
     return state.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("label"))
 
 
@@ -119,7 +124,7 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
     component_id is the smallest doc_id reachable over links of at most two differing bits, the row's own included.
-    Null or empty texts share fingerprint 0; rows without a doc_id link others but give no component its id;
+    Texts are taken whole, one at a time. An empty table gives none. Null or empty texts share fingerprint 0; rows without a doc_id link others but give no component its id;
     repeated rows come out repeated; other columns are ignored.
     """
     prints = checkpointed(fingerprints(docs, width))
@@ -134,6 +139,7 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def op10_simhash(spark, sf_dir) -> DataFrame:
+    """The fingerprint of every document and the smallest doc_id that it is linked with."""
     from chronolith.llm.common import table
 
     found = near_duplicates(table(spark, sf_dir, "documents"))

@@ -50,3 +50,14 @@ def test_links_of_close_fingerprints(spark):
 def test_long_chains_become_one_component(spark):
     df = spark.range(1, 301).selectExpr("id as src", "id - 1 as dst")
     assert {r.label for r in simhash.components(df).collect()} == {0}
+
+
+def test_links_come_out_of_the_tables(spark, monkeypatch):
+    assert [len(b) for b in simhash.balls()] == [1 + 64 - bin(m % (1 << 64)).count("1") for m in simhash.masks()]
+    assert max(len(b) for b in simhash.balls()) == 29
+    whole = simhash.masks()
+    bits = [i for i in range(64) if whole[0] >> i & 1][:2]  # two bits that the first table keeps
+    df = spark.createDataFrame([(5,), (5 ^ 1 << bits[0] ^ 1 << bits[1],)], "fp long")
+    assert simhash.links(df).count() == 1
+    monkeypatch.setattr(simhash, "masks", lambda: whole[:1])
+    assert simhash.links(df).count() == 0  # without the tables that mask both bits out there is no pair
