@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import checkpointed
+from chronolith.llm.common import checkpointed, shuffle_partitions
 
 #: Least number of blocks of a table; most bytes of a block; entries of a score matrix worked on at once.
 LEAST, BYTES, ENTRIES = 16, 16 << 20, 1 << 21
@@ -114,9 +114,12 @@ def packed(rows: DataFrame, name: str, least: int = LEAST) -> DataFrame:
 def meet(data: DataFrame, asked: DataFrame) -> DataFrame:
     """A row for each block of vectors and block of queries of one dimension: their numbers first, then their contents.
 
-    A stated set of queries against all rows, in blocks: the join is on the dimension and then on block numbers.
+    A stated set of queries against all rows, in blocks: the join is on the dimension and then on block numbers. Blocks
+    of queries are dealt over as many salts as there are shuffle partitions, so that one dimension isn't one task.
     """
-    pairs = data.select("block", "dim").join(asked.select("asked", "dim"), "dim")
+    salts = shuffle_partitions(data.sparkSession)
+    each = data.select("block", "dim", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    pairs = each.join(asked.select("asked", "dim", F.pmod(F.xxhash64("asked"), F.lit(salts)).cast("int").alias("salt")), ["dim", "salt"]).drop("salt")
     queries = asked.select("asked", *[F.col(c).alias(f"q_{c}") for c in asked.columns if c not in ("asked", "dim")])
     return pairs.join(queries, "asked").join(data.drop("dim"), "block")
 
