@@ -45,6 +45,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(at)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffles and checkpoints that nothing refers to any more. It does so when the driver collects
+    its garbage, which a driver that runs many rounds of small jobs may not do before the disks are full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

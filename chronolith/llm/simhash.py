@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import checkpointed
+from chronolith.llm.common import checkpointed, release
 
 BITS = 64
 RADIUS = 2
@@ -117,6 +117,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             break
         state, before = checkpointed(star(star(state, True), False)), now
+        release(edges.sparkSession)
     return state.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("label"))
 
 
