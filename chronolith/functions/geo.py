@@ -26,6 +26,14 @@ def scaled(x, y, w, h, scale):
     return left, top, F.ceil((x + w) * scale) - left, F.ceil((y + h) * scale) - top
 
 
+def moved(moves: DataFrame, key: str) -> DataFrame:
+    """(key, x, y, w, h): the rectangles that moves (x, y, w, h, from_x, from_y) change, where they go and where they came
+    from; a move of no size or to its own place changes none."""
+    real = moves.filter("w > 0 and h > 0 and (x <> from_x or y <> from_y)")
+    ends = F.array(F.struct("x", "y"), F.struct(F.col("from_x").alias("x"), F.col("from_y").alias("y")))
+    return real.select(key, F.explode(ends).alias("at"), "w", "h").select(key, "at.x", "at.y", "w", "h")
+
+
 def pack(cx, cy):
     return F.shiftleft(cx.cast("long"), 32).bitwiseOR(cy.cast("long").bitwiseAND(0xFFFFFFFF))
 

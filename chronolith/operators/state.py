@@ -24,10 +24,19 @@ def fold(log: DataFrame, at: int, base: DataFrame | None = None, base_t: int | N
     return now.filter("asset_hash is not null")
 
 
-def changes(log: DataFrame) -> DataFrame:
-    """Tile entries whose content differs from the cell's previous one; a cell's first entry counts."""
-    before = F.lag("asset_hash").over(Window.partitionBy(*CELL).orderBy("t", "event_id"))
-    return log.filter("op <= 2").withColumn("before", before).filter("before is null or before <> asset_hash").drop("before")
+def changes(log: DataFrame, slice_us: int = 86_400_000_000) -> DataFrame:
+    """Tile entries whose content differs from the cell's previous one; a cell's first entry counts.
+
+    Entries meet inside slices of time; a slice's first one takes what the cell's slice before ended with, over a row for
+    each cell and slice, so a cell that changes all the time spreads over as many tasks as it has slices.
+    """
+    rows = log.filter("op <= 2").withColumn("_d", F.floor(F.col("t") / slice_us))
+    inside = Window.partitionBy(*CELL, "_d").orderBy("t", "event_id")
+    lagged = rows.withColumn("_b", F.lag(F.struct("asset_hash")).over(inside))
+    ends = rows.groupBy(*CELL, "_d").agg(F.max_by(F.struct("asset_hash"), F.struct("t", "event_id")).alias("_e"))
+    carried = ends.select(*CELL, "_d", F.lag("_e").over(Window.partitionBy(*CELL).orderBy("_d")).alias("_e"))
+    met = lagged.join(carried, [*CELL, "_d"]).withColumn("_b", F.coalesce("_b", "_e")["asset_hash"])
+    return met.filter("_b is null or _b <> asset_hash").select(*log.columns)
 
 
 def pointer(log: DataFrame, at: int) -> DataFrame:
@@ -125,15 +134,31 @@ def in_force(geometry: DataFrame) -> DataFrame:
     return best.withColumn("until_t", until)
 
 
-def small(rows: DataFrame, most: int = 10_000) -> DataFrame:
-    """rows, marked to be broadcast if there are at most ``most`` of them (one count over a limit tells); beyond that the
-    join is left to shuffle, where adaptive execution splits a hot monitor."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+#: Rows of a dimension up to which it is broadcast.
+SENT = 10_000
+
+
+def few(rows: DataFrame) -> bool:
+    """Whether a dimension may be broadcast: one count over a limit tells."""
+    return rows.limit(SENT + 1).count() <= SENT
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """rows, marked to be broadcast if they are few; beyond that the join is left to shuffle, where adaptive execution
+    splits a hot monitor."""
+    return F.broadcast(rows) if few(rows) else rows
 
 
 def _under(log: DataFrame, stretches: DataFrame) -> DataFrame:
-    """log with the stretch (from_t, g) it falls in; nulls before the first. One match at most, so nothing multiplies."""
-    s = small(stretches.select(F.col("monitor_id").alias("_m"), "from_t", "until_t", "g"))
+    """log with the stretch (from_t, g) it falls in; nulls before the first. One match at most, so nothing multiplies.
+
+    A monitor's stretches follow one another without a hole, so where they are too many to be broadcast an as-of search
+    for the last one begun finds the same.
+    """
+    if not few(stretches):
+        begun = stretches.select("monitor_id", F.col("from_t").alias("t"), F.struct("from_t", "g").alias("_st"))
+        return asof(log, begun, "t", ["monitor_id"], "_st").select(*log.columns, "_st.from_t", "_st.g")
+    s = F.broadcast(stretches.select(F.col("monitor_id").alias("_m"), "from_t", "until_t", "g"))
     met = (F.col("monitor_id") == F.col("_m")) & (F.col("from_t") <= F.col("t")) & (F.col("t") < F.col("until_t"))
     return log.join(s, met, "left").drop("_m", "until_t")
 

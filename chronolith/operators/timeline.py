@@ -13,20 +13,23 @@ STOPPED = "recorder was not watching"
 SILENT = "no activity for a long stretch"
 
 
-def before(rows: DataFrame, *columns: str, slice_us: int = 3_600_000_000) -> DataFrame:
-    """``rows`` with before_c for each column c: its value in the day's entry before.
+def before(rows: DataFrame, *columns: str, slice_us: int = 3_600_000_000, ever=None) -> DataFrame:
+    """``rows`` with before_c for each column c: its value in the day's entry before. Entries without a time have no row.
 
     Windows are keyed by slices of a day; a slice's first entry takes the last one of the day's slice before, which is
-    worked out over one row a slice, so that a busy day is no single task.
+    worked out over one row a slice, so that a busy day is no single task. With a condition ``ever`` each row also has
+    ``ever``: whether some entry of its day meets it, out of the same rows a slice.
     """
     rows = rows.withColumn("_s", F.floor(F.col("t") / slice_us))
     w = Window.partitionBy("day", "_s").orderBy(*ORDER)
     held = rows.withColumn("_b", F.lag(F.struct(*columns)).over(w))
-    lasts = rows.groupBy("day", "_s").agg(F.max_by(F.struct(*columns), F.struct(*ORDER)).alias("_l"))
-    lasts = lasts.select(F.col("day").alias("_day"), F.col("_s").alias("_slice"), F.lag("_l").over(Window.partitionBy("day").orderBy("_s")).alias("_l"))
+    some = [] if ever is None else [F.bool_or(F.coalesce(ever, F.lit(False))).alias("_e")]
+    lasts = rows.groupBy("day", "_s").agg(F.max_by(F.struct(*columns), F.struct(*ORDER)).alias("_l"), *some)
+    whole = [] if ever is None else [F.max("_e").over(Window.partitionBy("day")).alias("ever")]
+    lasts = lasts.select(F.col("day").alias("_day"), F.col("_s").alias("_slice"), F.lag("_l").over(Window.partitionBy("day").orderBy("_s")).alias("_l"), *whole)
     met = held.join(lasts, F.col("day").eqNullSafe(F.col("_day")) & (F.col("_s") == F.col("_slice")))
     own = F.coalesce("_b", "_l")
-    return met.select(*[c for c in rows.columns if c != "_s"], *[own[c].alias(f"before_{c}") for c in columns])
+    return met.select(*[c for c in rows.columns if c != "_s"], *[own[c].alias(f"before_{c}") for c in columns], *([] if ever is None else ["ever"]))
 
 
 def idle_spans(log: DataFrame, gap_us: int = 2_000_000, ops: tuple[int, ...] | None = None) -> DataFrame:
@@ -43,12 +46,11 @@ def gaps(log: DataFrame, hole_us: int = 120_000_000, checkpoint_s: int = 180, ch
     last max(5 min, 2 checkpoints) and hold no checkpoint (day, ts in µs) strictly inside.
     """
     log = log.filter("t > 0").select("day", "t", "event_id", "segment", "op")
-    beating = log.filter("op = 3").select(F.col("day").alias("b_day")).distinct().withColumn("beats", F.lit(1))  # a row a day
-    holes = before(log, "t", "segment").withColumnsRenamed({"before_t": "start_t", "before_segment": "was"})
-    rows = holes.filter(F.col("t") - F.col("start_t") >= hole_us).join(beating, F.col("day") == F.col("b_day"), "left")
+    holes = before(log, "t", "segment", ever=F.col("op") == 3).withColumnsRenamed({"before_t": "start_t", "before_segment": "was", "ever": "beats"})
+    rows = holes.filter(F.col("t") - F.col("start_t") >= hole_us)
     least = max(300, 2 * checkpoint_s) * 1_000_000
-    sure = F.coalesce((F.col("was") != F.col("segment")) | (F.col("beats") == 1), F.lit(False))
-    reason = F.when(F.col("was") != F.col("segment"), RESTARTED).when(F.col("beats") == 1, STOPPED).otherwise(SILENT)
+    sure = F.coalesce((F.col("was") != F.col("segment")) | F.col("beats"), F.lit(False))
+    reason = F.when(F.col("was") != F.col("segment"), RESTARTED).when(F.col("beats"), STOPPED).otherwise(SILENT)
     rows = rows.filter(sure | (F.col("t") - F.col("start_t") >= least)).select("day", "start_t", F.col("t").alias("end_t"), reason.alias("reason"), sure.alias("sure"))
     if checkpoints is not None:
         c = checkpoints.select(F.col("day").alias("c_day"), F.col("ts").alias("c_ts"))

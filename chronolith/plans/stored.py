@@ -254,6 +254,12 @@ def scaled_rects(spark, sf):
     return log(spark, sf).select("event_id", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
 
 
+@query("""SELECT event_id, unnest([tile_x * 8, tile_y]) AS x, unnest([tile_y * 8, tile_x]) AS y, 5 AS w, op AS h FROM log WHERE op > 0 AND (tile_x * 8 <> tile_y OR tile_y * 8 <> tile_x)""")
+def moved_rects(spark, sf):
+    moves = log(spark, sf).select("event_id", (F.col("tile_x") * 8).alias("x"), (F.col("tile_y") * 8).cast("long").alias("y"), F.lit(5).alias("w"), F.col("op").alias("h"), F.col("tile_y").cast("long").alias("from_x"), F.col("tile_x").alias("from_y"))
+    return geo.moved(moves, "event_id")
+
+
 @query("SELECT event_id, greatest(tile_x * 64, 100) AS x, greatest(tile_y * 64, 50) AS y, greatest(least(tile_x * 64 + 64, 800) - greatest(tile_x * 64, 100), 0) AS w, greatest(least(tile_y * 64 + 64, 350) - greatest(tile_y * 64, 50), 0) AS h FROM log")
 def clipped_cells(spark, sf):
     x, y, w, h = geo.clipped(F.col("tile_x"), F.col("tile_y"), F.lit(100), F.lit(50), F.lit(700), F.lit(300), 64)

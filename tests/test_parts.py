@@ -116,3 +116,27 @@ def test_window_ids_of_a_column(spark):
     pairs = [("App.EXE", "T"), ("app.exe", "T"), (None, None), ("", ""), (None, "x")]
     got = [r.id for r in spark.createDataFrame(pairs, "p string, t string").coalesce(1).select(codec.window_id("p", "t").alias("id")).collect()]
     assert got == [codec.window_id_of(*p) for p in pairs] and got[0] == got[1] != 0 and got[2] == got[3] == 0
+
+
+def test_changes_over_slices(spark):
+    rnd = random.Random(12)
+    rows = [entry(i, rnd.randrange(400), rnd.randrange(2), 0, rnd.choice([None, 1, 2, 3]), rnd.randrange(4)) for i in range(300)]
+    want, last = [], {}
+    for r in sorted((r for r in rows if r[9] <= 2), key=lambda r: (r[1], r[0])):
+        cell = r[5:8]
+        if last.get(cell) is None or (r[8] is not None and last[cell] != r[8]):
+            want.append(r)
+        last[cell] = r[8]
+    df = spark.createDataFrame(rows, LOG)
+    for width in (7, 50, 10_000):
+        assert sorted(map(tuple, state.changes(df, width).collect())) == sorted(want)
+
+
+def test_many_stretches_are_searched_as_few_are(spark, monkeypatch):
+    rnd = random.Random(13)
+    grids = [(rnd.randrange(3), n % 5, (a := rnd.randrange(300)), a + rnd.randrange(60), n) for n in range(40)]
+    g = spark.createDataFrame(grids, "monitor_id long, grid long, first_t long, last_t long, row long")
+    df = spark.createDataFrame([(i, rnd.randrange(400), rnd.randrange(4)) for i in range(300)], "event_id long, t long, monitor_id long")
+    want = sorted(map(tuple, state.geometry_at(df, g).collect()), key=repr)
+    monkeypatch.setattr(state, "SENT", 3)
+    assert sorted(map(tuple, state.geometry_at(df, g).collect()), key=repr) == want and any(r[1] is None for r in want)
