@@ -24,6 +24,12 @@ def fold(log: DataFrame, at: int, base: DataFrame | None = None, base_t: int | N
     return now.filter("asset_hash is not null")
 
 
+def canvas_stats(cells: DataFrame) -> DataFrame:
+    """(monitor_id, filled, contents): cells with content of each monitor, and how many different contents they have."""
+    full = cells.filter("asset_hash <> 0")
+    return full.groupBy("monitor_id").agg(F.count("*").alias("filled"), F.countDistinct("asset_hash").alias("contents"))
+
+
 def changes(log: DataFrame, slice_us: int = 86_400_000_000) -> DataFrame:
     """Tile entries whose content differs from the cell's previous one; a cell's first entry counts.
 

@@ -72,8 +72,10 @@ class Recording:
         frames = render.filmed(self.log, points, keys, render.decoded(self.assets), self.monitors, 32 * step)
         return plan.join(frames.withColumnRenamed("at", "instant"), "instant", "left")
 
-    def fidelity(self, truth: DataFrame, tolerance: int = 0) -> DataFrame:
-        """How well frames (monitor_id, t, width, bgra) taken from the screen are kept in the log, tile by tile."""
+    def fidelity(self, truth: DataFrame, tolerance: int = 0, monitors: list[int] | None = None) -> DataFrame:
+        """How well frames (monitor_id, t, width, bgra) taken from the screen are kept in the log, tile by tile; of some
+        monitors alone if they are named."""
+        truth = truth if monitors is None else truth.filter(F.col("monitor_id").isin(monitors))
         both = truth.select("monitor_id", F.col("t").alias("at"), F.col("width").cast("int").alias("width"), F.floor(F.octet_length("bgra") / 4 / F.col("width")).cast("int").alias("height"), "bgra")
         cells = state.folds(self.log, both.select("monitor_id", "at"))
         diffs = render.tile_diff(both, cells, self.assets, self.monitors, tolerance=tolerance)

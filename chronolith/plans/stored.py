@@ -194,6 +194,12 @@ def screens(rows):
     return rows.groupBy("monitor_id").agg(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(64).alias("width"), high.alias("height"), F.lit(4).alias("tile_size"))
 
 
+@query(f"""SELECT monitor_id, count(*) AS filled, count(DISTINCT asset_hash) AS contents FROM (SELECT monitor_id, tile_x, tile_y, arg_max(op, (t, event_id)) AS o, arg_max(asset_hash, (t, event_id)) AS asset_hash
+  FROM log WHERE op <= 2 AND t <= {AT} GROUP BY ALL) log WHERE o <> 2 AND asset_hash <> 0 GROUP BY monitor_id""")
+def canvas_stats(spark, sf):
+    return state.canvas_stats(state.fold(log(spark, sf), AT))
+
+
 STEP = 5 * HOUR
 
 

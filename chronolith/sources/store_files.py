@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from chronolith.operators import store
+from chronolith.operators import render, store
 from chronolith.sources import binary_store
 from chronolith.sources.binary_store import TILE
 from chronolith.sources.staging import Stage, listed, opened
@@ -160,6 +160,17 @@ class Frames(StagedWriter):
         return [(path, f"{inner}/{name}") for name, path in files]
 
 
+class Pictures(StagedWriter):
+    """A file for each named content."""
+
+    def pieces(self, rows):
+        for r in rows:
+            yield r["name"], self.staged(r["data"])
+
+    def named(self, files, inner):
+        return [(path, f"{inner}/{name}") for name, path in files]
+
+
 class _Files(DataSource):
     writes, columns = StagedWriter, ""
 
@@ -203,6 +214,14 @@ class FrameFiles(_Files):
         return "frame_dumps"
 
 
+class PictureFiles(_Files):
+    writes, columns = Pictures, "name string, data binary"
+
+    @classmethod
+    def name(cls):
+        return "picture_files"
+
+
 def _write(rows: DataFrame, source: type[_Files], path: str, magic: bytes, **options) -> None:
     rows.sparkSession.dataSource.register(source)
     options |= {"path": path, "magic": magic.decode("latin-1")}
@@ -239,6 +258,14 @@ def write_frames(frames: DataFrame, path: str, magic: bytes) -> None:
     _write(_cast(frames, FrameFiles), FrameFiles, path, magic)
 
 
+def write_pictures(frames: DataFrame, path: str) -> None:
+    """Stores frames (monitor_id, instant, width, height, bgra) as PNG files, instant-monitor.png; frames without pixels,
+    such as instants at which nothing was recorded, have no file."""
+    shown = frames.filter("bgra is not null")
+    name = F.format_string("%d-%d.png", F.col("instant").cast("long"), F.col("monitor_id").cast("long")).alias("name")
+    _write(shown.select(name, render.png(F.col("width"), F.col("height"), F.col("bgra")).alias("data")), PictureFiles, path, b"")
+
+
 def fetch(entries: DataFrame, path: str) -> DataFrame:
     """(asset_hash, codec, width, height, payload) of entries of a pack index: only their bytes are read.
 
@@ -274,3 +301,17 @@ def recover_packs(spark: SparkSession, path: str, magic: bytes) -> list[str]:
             if at:
                 system.delete_file(at)
     return [packs[n] for n in gone]
+
+
+def reclaim_packs(spark: SparkSession, path: str, magic: bytes, removed: DataFrame) -> list[int]:
+    """Removes the packs whose assets are all among ``removed`` (asset_hash); the newest one may still be written and stays.
+
+    A pack's index goes first: without it nothing in the pack is stored, so a removal that is cut off harms nobody.
+    """
+    index = binary_store.read_pack_index(spark, path, magic).select("pack", F.col("asset_hash").alias("asset"))
+    dead = sorted(r.pack for r in store.empty_packs(index, removed.select(F.col("asset_hash").alias("asset"))).collect())
+    system, inner = opened(path)
+    for n in dead:
+        for end in ("idx", "pack"):
+            system.delete_file(f"{inner}/{n:06d}.{end}")
+    return dead

@@ -105,3 +105,19 @@ def test_manifests_and_frames(spark, tmp_path):
     with pytest.raises(Exception, match="4 bytes"):
         store_files.write_frames(frames.withColumn("width", F.lit(9)).withColumn("bgra", F.substring("bgra", 1, 4)), str(tmp_path / "f"), b"FRAME")
     assert store.unseen(named, named, "asset_hash").isEmpty()
+
+
+def test_packs_of_garbage_are_removed(spark, tmp_path):
+    path = str(tmp_path)
+    for hashes in ((1, 2), (3,), (4, 5), (6,)):
+        store_files.write_packs(assets(spark, hashes).coalesce(1), path, b"REC1", b"HEAD1")
+    gone = spark.createDataFrame([(1,), (3,), (4,), (5,), (6,)], "asset_hash long")
+    assert store_files.reclaim_packs(spark, path, b"REC1", gone) == [1, 2]
+    assert read(spark, path)[0].keys() == {1, 2, 6} and sorted(p.name for p in tmp_path.glob("*.*")) == ["000000.idx", "000000.pack", "000003.idx", "000003.pack"]
+
+
+def test_frames_are_exported_as_pictures(spark, tmp_path):
+    frames = spark.createDataFrame([(1, 5_000_000, 2, 1, bytearray(b"\x01\x02\x03\x04" * 2)), (2, 5_000_000, None, None, None)], "monitor_id long, instant long, width int, height int, bgra binary")
+    store_files.write_pictures(frames, str(tmp_path))
+    (one,) = tmp_path.glob("*.png")
+    assert one.name == "5000000-1.png" and one.read_bytes()[:8] == b"\x89PNG\r\n\x1a\n"
