@@ -1,5 +1,7 @@
 """Frames from cells: decoding, rendering and comparison of pixels. Python, one frame (bounded by its monitor) at a time."""
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -89,27 +91,33 @@ def filmed(log: DataFrame, points: DataFrame, keys: DataFrame, tiles: DataFrame,
     moves = begun.unionByName(changed.select("monitor_id", "at", "tile_x", "tile_y", "asset_hash", cut))
     # what each frame does to its canvas, and the slice's contents, once each
     frames = numbered.join(moves.groupBy("monitor_id", "slice", "at").agg(F.collect_list(F.struct("tile_x", "tile_y", "asset_hash")).alias("moves")), ["monitor_id", "slice", "at"], "left")
-    contents = moves.filter("asset_hash <> 0").select("monitor_id", "slice", "asset_hash").distinct().join(tiles, "asset_hash")
     m = monitors.select(F.col("monitor_id").alias("_m"), F.struct(*(F.col(c).cast("long").alias(c) for c in ("x", "y", "width", "height", "tile_size"))).alias("monitor"))
     frames = frames.join(m, F.col("monitor_id") == F.col("_m")).drop("_m")
-
-    def draw(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        stock = {h: (w, t, p) for h, w, t, p in zip(*(right.column(c).to_pylist() for c in ("asset_hash", "tile_w", "tile_h", "bgra")))}
-        canvas, filled, out = None, set(), []
-        for at, moved, monitor in sorted(zip(*(left.column(c).to_pylist() for c in ("at", "moves", "monitor"))), key=lambda r: r[0]):
-            if canvas is None:
-                canvas = np.zeros((monitor["height"], monitor["width"], 4), np.uint8)
-            for c in moved or ():
-                place, h = (c["tile_x"], c["tile_y"]), c["asset_hash"]
-                (filled.discard if h is None else filled.add)(place)
-                _place(canvas, monitor, *place, stock.get(h))
-            if filled:
-                out.append((key[0].as_py(), at, monitor["width"], monitor["height"], canvas.tobytes()))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        columns = list(zip(*out)) or [()] * 5
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["monitor_id", "at", "width", "height", "bgra"])
-
-    return frames.groupBy("monitor_id", "slice").cogroup(contents.groupBy("monitor_id", "slice")).applyInArrow(draw, FILM)
+    contents = moves.filter("asset_hash <> 0").select("monitor_id", "slice", "asset_hash").distinct().join(tiles, "asset_hash")
+    both = frames.unionByName(contents.select("monitor_id", "slice", "asset_hash", "tile_w", "tile_h", "bgra"), allowMissingColumns=True)
+    return both.groupBy("monitor_id", "slice").applyInArrow(_drawn, FILM)
+
+
+def _drawn(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The frames of a slice one after another; only its contents, its moves and one canvas are held."""
+    stock, frames, canvas, filled = {}, [], None, set()
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["at"] is None:
+                stock[r["asset_hash"]] = (r["tile_w"], r["tile_h"], r["bgra"])
+            else:
+                frames.append((r["at"], r["moves"] or (), r["monitor"]))
+    kinds = {"monitor_id": pa.int64(), "at": pa.int64(), "width": pa.int32(), "height": pa.int32(), "bgra": pa.binary()}
+    for at, moved, monitor in sorted(frames, key=lambda f: f[0]):
+        if canvas is None:
+            canvas = np.zeros((monitor["height"], monitor["width"], 4), np.uint8)
+        for c in moved:
+            place, h = (c["tile_x"], c["tile_y"]), c["asset_hash"]
+            (filled.discard if h is None else filled.add)(place)
+            _place(canvas, monitor, *place, stock.get(h))
+        if filled:
+            row = (key[0].as_py(), at, monitor["width"], monitor["height"], canvas.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds.values())], names=list(kinds))
 
 
 def key_points(points: DataFrame, slice_us: int) -> DataFrame:
