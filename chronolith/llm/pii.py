@@ -347,7 +347,8 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each found span of ``text`` replaced by its kind in brackets; its other columns as they are.
 
-    Overlapping spans are replaced together, under the kind of the first. Null texts stay null.
+    Overlapping spans are replaced together, under the kind of the first. Null texts stay null, empty ones empty, repeated
+    rows repeated; texts are taken whole, some rows at a time; an empty table gives none.
     """
     fitted = docs.sparkSession.sparkContext.broadcast(model())
 
@@ -362,10 +363,10 @@ def redact(docs: DataFrame) -> DataFrame:
         return "".join(out) + text[done:]
 
     def run(batches):
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts = pa.array([None if t is None else clean(t) for t in batch.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], schema=pa.schema([f if i != at else pa.field("text", pa.string()) for i, f in enumerate(batch.schema)]))
+        for part in (b.slice(i, 250) for b in batches for i in range(0, b.num_rows, 250)):
+            at = part.schema.get_field_index("text")
+            texts = pa.array([None if t is None else clean(t) for t in part.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(part.columns)], schema=pa.schema([f if i != at else pa.field("text", pa.string()) for i, f in enumerate(part.schema)]))
 
     return docs.mapInArrow(run, docs.schema)
 
