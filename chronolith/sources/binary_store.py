@@ -89,13 +89,19 @@ def read_pack_index(spark: SparkSession, path: str, magic: bytes) -> DataFrame:
     """
     record = np.dtype([("magic", "S4"), ("asset_hash", "<i8"), ("offset", "<i8"), ("length", "<i4"), ("codec", "u1"), ("width", "<u2"), ("height", "<u2"), ("rest", "V3")])
 
-    def parse(name, data):
-        r = np.frombuffer(data, record, len(data) // record.itemsize)
-        for n, x in enumerate(r):
-            yield name, n, bytes(x["magic"]) == magic, *(int(x[c]) for c in ("asset_hash", "offset", "length", "codec", "width", "height"))
+    kinds = {"asset_hash": pa.int64(), "offset": pa.int64(), "length": pa.int64(), "codec": pa.int32(), "width": pa.int32(), "height": pa.int32()}
+
+    def run(batches):
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                records = np.frombuffer(data, record, len(data) // record.itemsize)
+                for at in range(0, len(records), 100_000):
+                    r = records[at : at + 100_000]
+                    columns = [pa.repeat(pa.scalar(name), len(r)), pa.array(np.arange(at, at + len(r))), pa.array(r["magic"] == magic), *(pa.array(r[c].astype(k.to_pandas_dtype())) for c, k in kinds.items())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["path", "n", "ok", *kinds])
 
     number = F.regexp_extract("path", r"(\d+)\.[a-z]+$", 1).cast("long").alias("pack")
-    rows = _parsed(_files(spark, path, "[0-9]*.idx"), parse, "path string, n long, ok boolean, asset_hash long, offset long, length long, codec int, width int, height int")
+    rows = _files(spark, path, "[0-9]*.idx").mapInArrow(run, "path string, n long, ok boolean, asset_hash long, offset long, length long, codec int, width int, height int")
     packs = _files(spark, path, "[0-9]*.pack", "path", "length").select(number, F.col("length").alias("size"))
     whole = F.col("ok") & (F.col("length") >= 24) & (F.col("offset") >= 0) & (F.col("offset") + F.col("length") <= F.col("size"))
     found = valid_prefix(rows.select("*", number).drop("path").join(packs, "pack").withColumn("ok", whole))
