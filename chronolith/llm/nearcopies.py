@@ -1,13 +1,18 @@
 """Near copies by similarity: groups of texts that share 0.8 or more of their five-word shingles.
 
-MinHash bands find candidates: BANDS keys of ROWS minima each, so that a pair of similarity s meets in some key with
-probability 1 - (1 - s^ROWS)^BANDS (at 0.8: 0.99995). Every link is then checked on the shingles themselves. Pairs of a
-key are not listed while they need not be: in the first rounds each text is checked against one other, the pivot of one
-of its keys that is still in another group; then against the pivots of all its keys. Most of a large group is joined by
-the first round. Members of a key that are in different groups even then are checked pair by pair if the key has at most
-SMALL of them. Those of larger keys, such as unlike texts around one passage that all of them quote, are paired by an
-exact prefix filter instead: of two sets that share 0.8 of their union, some shingle is among the rarest fifth (and one)
-of both, and shingles of a common passage are never the rarest ones of a text that is not mostly that passage.
+Candidates come first from op10's covering tables, here over fingerprints of the sets of five-word shingles: texts whose
+fingerprints meet in a table, at two differing bits or fewer, are checked. That radius doesn't reach down to 0.8, where
+fingerprints mostly differ in seven bits or more, so MinHash bands find the others: BANDS keys of ROWS minima each, so
+that a pair of similarity s meets in some key with probability 1 - (1 - s^ROWS)^BANDS (at 0.8: 0.99995). Every link is
+then checked on the shingles themselves.
+
+Pairs of a key are not listed while they need not be: in the first rounds each text is checked against one other, the
+pivot of one of its keys that is still in another group; then against the pivots of all its keys. Most of a large group
+is joined by the first round. Members of a key that are in different groups even then are checked pair by pair if the
+key has at most SMALL of them. Those of larger keys, such as unlike texts around one passage that all of them quote, are
+paired by an exact prefix filter instead: of two sets that share 0.8 of their union, some shingle is among the rarest
+fifth (and one) of both, and shingles of a common passage are never the rarest ones of a text that is not mostly that
+passage.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import checkpointed, release, written
-from chronolith.llm.simhash import components
+from chronolith.llm.simhash import components, links, majority
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -50,8 +55,8 @@ def similar(a: set[bytes], b: set[bytes]) -> bool:
     return both >= LEAST * (len(a) + len(b) - both)
 
 
-def signature(text: bytes | None) -> tuple[int, np.ndarray]:
-    """A hash of the set of shingles, and a key for each band."""
+def signature(text: bytes | None) -> tuple[int, int, np.ndarray]:
+    """A hash of the set of shingles, its SimHash fingerprint, and a key for each band."""
     own = shingles(text)
     hashes = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(42)), np.uint64, len(own)))
     low = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
@@ -59,27 +64,27 @@ def signature(text: bytes | None) -> tuple[int, np.ndarray]:
         part = hashes[at : at + 4096].astype(np.uint32)
         np.minimum(low, ((part ^ _FLIP) * _TIMES).min(1), out=low)
     keys = [xxhash.xxh64_intdigest(band.tobytes(), n) for n, band in enumerate(low.reshape(BANDS, ROWS))]
-    return xxhash.xxh64_intdigest(hashes.tobytes(), 7), np.array(keys, np.uint64).view(np.int64)
+    return xxhash.xxh64_intdigest(hashes.tobytes(), 7), majority(hashes), np.array(keys, np.uint64).view(np.int64)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, node, bands) for each row: t is a hash of its text, node one of its set of shingles."""
+    """(doc_id, t, node, fp, bands) for each row: t is a hash of its text, node one of its set of shingles."""
 
     def run(batches):
         for batch in sliced(batches):
-            nodes, bands = [], []
+            nodes, prints, bands = [], [], []
             for text in batch.column(2).to_pylist():
-                node, keys = signature(text)
-                nodes.append(node), bands.append(keys)
+                node, fp, keys = signature(text)
+                nodes.append(node), prints.append(fp), bands.append(keys)
             flat = pa.array(np.concatenate(bands)) if bands else pa.array([], pa.int64())
             offsets = pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, flat)],
-                names=["doc_id", "t", "node", "bands"],
+                [batch.column(0), batch.column(1), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints)), pa.ListArray.from_arrays(offsets, flat)],
+                names=["doc_id", "t", "node", "fp", "bands"],
             )
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, t long, node long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, t long, node long, fp long, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -101,6 +106,16 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "src long, dst long")
 
 
+def covered(nodes: DataFrame) -> DataFrame:
+    """(src, dst): nodes (node, fp) whose fingerprints meet in a covering table, each with the smallest one of the point
+    where they meet, and those of one fingerprint with its smallest node."""
+    least = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    same = nodes.join(least, "fp").filter("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst"))
+    a = least.select(F.col("fp").alias("src"), F.col("least").alias("x"))
+    b = least.select(F.col("fp").alias("dst"), F.col("least").alias("y"))
+    return links(nodes).join(a, "src").join(b, "dst").select(F.col("x").alias("src"), F.col("y").alias("dst")).union(same)
+
+
 def rare_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     """(src, dst): pairs of ``members`` (node, label) of two labels that can be similar, each sharing a shingle of both
     prefixes. A prefix holds the n - ceil(0.8 n) + 1 shingles of a text's n that fewest members have. Two texts share no
@@ -135,11 +150,14 @@ def groups(docs: DataFrame) -> DataFrame:
     Texts without a word are copies of each other; a root is a hash, not an id, so null and repeated ids group as any.
     """
     prints = checkpointed(signatures(docs))
-    nodes = prints.groupBy("node").agg(F.min("t").alias("t"), F.first("bands").alias("bands"))
+    nodes = prints.groupBy("node").agg(F.min("t").alias("t"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    close = checkpointed(covered(nodes.select("node", "fp")))
+    release(docs.sparkSession)
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
     met = checkpointed(keyed.join(shared.select("key"), "key").select("key", "node"))
-    wanted = prints.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("t").alias("t"))
+    named = met.select("node").union(close.select("src")).union(close.select("dst")).distinct()
+    wanted = prints.join(named, "node", "left_semi").groupBy("node").agg(F.min("t").alias("t"))
     rows = docs.select(F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
     texts = written(rows.join(wanted, "t").groupBy("node").agg(F.min("text").alias("text")))
     release(docs.sparkSession)
@@ -162,6 +180,8 @@ def groups(docs: DataFrame) -> DataFrame:
             many = left.filter(F.col("members") > SMALL).select("node", "label").distinct()
             if not many.isEmpty():
                 pairs = pairs.union(rare_pairs(many, texts))
+        if n == 0:
+            pairs = pairs.union(close)
         new = checkpointed(verified(pairs.distinct(), texts))
         if new.isEmpty():
             continue

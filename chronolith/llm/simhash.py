@@ -38,6 +38,15 @@ def masks() -> list[int]:
     return out
 
 
+def majority(hashes) -> int:
+    """The bits that are set in over half of some unsigned hashes; none: 0."""
+    counts = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), 65536):
+        part = np.array(hashes[i : i + 65536], np.uint64)
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return int(sum(1 << i for i in np.flatnonzero(counts * 2 > len(hashes)).tolist()))
+
+
 def fingerprint(text: bytes | None, width: int = 3) -> int:
     """Unsigned SimHash of a text: bit set where over half the shingle hashes have it; no word: 0."""
     words = (text or b"").lower().split()
@@ -51,11 +60,7 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         spans = zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist())
         hashes = list(map(xxhash.xxh64_intdigest, [joined[a:b] for a, b in spans], repeat(42)))
-    counts = np.zeros(BITS, np.int64)
-    for i in range(0, len(hashes), 65536):
-        part = np.array(hashes[i : i + 65536], np.uint64)
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return int(sum(1 << i for i in np.flatnonzero(counts * 2 > len(hashes)).tolist()))
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
