@@ -9,10 +9,10 @@ then checked on the shingles themselves.
 Pairs of a key are not listed while they need not be: in the first rounds each text is checked against one other, the
 pivot of one of its keys that is still in another group; then against the pivots of all its keys. Most of a large group
 is joined by the first round. Members of a key that are in different groups even then are checked pair by pair if the
-key has at most SMALL of them. Those of larger keys, such as unlike texts around one passage that all of them quote, are
-paired by an exact prefix filter instead: of two sets that share 0.8 of their union, some shingle is among the rarest
-fifth (and one) of both, and shingles of a common passage are never the rarest ones of a text that is not mostly that
-passage.
+key has at most SMALL of them. Those of larger keys, such as unlike texts around one passage that all of them quote, or
+copies of one text that are edited too much to be similar to each other, are paired by an exact prefix filter instead, on
+what they differ in from the pivot of their key: what all of them share doesn't count, and edits of one text alone pair
+it with no other.
 """
 
 from __future__ import annotations
@@ -116,32 +116,82 @@ def covered(nodes: DataFrame) -> DataFrame:
     return links(nodes).join(a, "src").join(b, "dst").select(F.col("x").alias("src"), F.col("y").alias("dst")).union(same)
 
 
-def rare_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(src, dst): pairs of ``members`` (node, label) of two labels that can be similar, each sharing a shingle of both
-    prefixes. A prefix holds the n - ceil(0.8 n) + 1 shingles of a text's n that fewest members have. Two texts share no
-    more than the prefixes do up to their last common shingle, and what either has after it; that must reach 4/9 of n + m.
-    Their first common shingle meets that by itself, so one that stands too late in either text pairs nothing."""
+def hashed(text: bytes | None) -> np.ndarray:
+    """The shingles' hashes, each once, rising."""
+    own = shingles(text)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(42)), np.uint64, len(own)))
+
+
+def middles(state: DataFrame) -> DataFrame:
+    """(key, pivot) of ``state`` (key, node, label): a pivot (node, label) is the member that meets most others, counted
+    over all its keys. That is the middle of a group of copies, and mostly the same one under all keys of the group."""
+    sizes = state.groupBy("key").agg(F.count("*").alias("members"))
+    met = state.join(sizes, "key").groupBy("node").agg(F.sum("members").alias("met"))
+    order = F.struct((-F.col("met")).alias("rank"), F.xxhash64("node").alias("h"), "node", "label")
+    return state.join(met, "node").groupBy("key").agg(F.min(order).alias("p")).select("key", "p")
+
+
+def differences(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, label, n, ref, other, p, hashes) for each pivot that ``members`` (key, node, label) have under a key: the
+    shingles that either the text or the pivot has, but not both; n and p are the sizes of their sets, other is the
+    pivot's label."""
 
     def run(batches):
+        seen: dict[int, np.ndarray] = {}
         for batch in sliced(batches):
-            sets = [shingles(t) for t in batch.column(2).to_pylist()]
-            hashes = [np.unique(np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(42)), np.uint64, len(own))).view(np.int64) for own in sets]
-            lists = pa.array([h.tolist() for h in hashes], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["node", "label", "hashes"])
-
-    rows = members.join(texts, "node").select("node", "label", "text").mapInArrow(run, "node long, label long, hashes array<long>")
-    held = rows.select("node", "label", F.size("hashes").alias("n"), F.explode("hashes").alias("s"))
-    often = held.groupBy("s").agg(F.count("*").alias("often"))
-    order = Window.partitionBy("node").orderBy("often", "s")
-    prefix = held.join(often, "s").withColumn("at", F.row_number().over(order)).filter("at <= n - ceil(4 * n / 5) + 1 and often > 1")
-    prefix = checkpointed(prefix.select("s", "node", "label", "n", "at"))
-    mixed = prefix.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("s")
-    left = prefix.join(mixed, "s", "left_semi")
-    right = left.select("s", F.col("node").alias("dst"), F.col("label").alias("other"), F.col("n").alias("m"), F.col("at").alias("there"))
-    met = left.join(right, "s").filter("label < other and 5 * n >= 4 * m and 5 * m >= 4 * n and 9 * (1 + least(n - at, m - there)) >= 4 * (n + m)").withColumnRenamed("node", "src")
-    bound = F.count("*") + F.least(F.first("n") - F.max("at"), F.first("m") - F.max("there"))
-    pairs = met.groupBy("src", "dst").agg(bound.alias("bound"), (F.first("n") + F.first("m")).alias("sizes"))
-    return pairs.filter("9 * bound >= 4 * sizes").select("src", "dst")
+            sizes, others, lists = [], [], []
+            for ref, x, y in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                if ref not in seen:
+                    if len(seen) >= 16:
+                        seen.clear()
+                    seen[ref] = hashed(y)
+                own, pivot = hashed(x), seen[ref]
+                sizes.append(len(own)), others.append(len(pivot))
+                lists.append(np.setxor1d(own, pivot, assume_unique=True).view(np.int64).tolist())
+            columns = [*(batch.column(k) for k in range(4)), pa.array(sizes, pa.int64()), pa.array(others, pa.int64()), pa.array(lists, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "label", "ref", "other", "n", "p", "hashes"])
+
+    asked = members.join(middles(members), "key").select("node", "label", F.col("p.node").alias("ref"), F.col("p.label").alias("other"))
+    pivots = texts.select(F.col("node").alias("ref"), F.col("text").alias("y"))
+    rows = asked.distinct().join(texts, "node").join(pivots, "ref").select("node", "label", "ref", "other", "text", "y")
+    return rows.mapInArrow(run, "node long, label long, ref long, other long, n long, p long, hashes array<long>")
+
+
+def rare_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(src, dst): pairs of ``members`` (key, node, label) that connect all of two labels that are similar and share a key.
+
+    Two sets of n and m shingles are similar if and only if at most (n + m) / 9 are in one alone. Seen from the pivot of
+    their key, from which they differ in a and b shingles, that means that 18 times their common differences reach
+    9 (a + b) - n - m. Where this asks for none, both are similar to the pivot itself, which is then their link. Other
+    pairs meet by a prefix filter on the differences: the rarest ones of each, as many as any partner of another label can
+    ask for. Copies of one text that are edited in places of their own thus have no common difference among the rarest,
+    however much of the text they share. Two texts share no more differences than the prefixes do up to their last common
+    one, and what either has after it; the first common one meets the bound by itself, so one that stands too late pairs
+    nothing.
+    """
+    rows = checkpointed(differences(members, texts).withColumn("a", F.size("hashes").cast("long")))
+    release(texts.sparkSession)
+    near = F.expr("9 * a <= n + p")
+    direct = rows.filter(near & F.expr("label <> other and node <> ref")).select(F.col("node").alias("src"), F.col("ref").alias("dst"))
+    rows = rows.filter("node <> ref").withColumn("label", F.when(near, F.col("other")).otherwise(F.col("label")))
+    pull = rows.groupBy("ref", "label").agg(F.min(F.expr("9 * a - n")).alias("pull"))
+    least = pull.groupBy("ref").agg(F.min(F.struct("pull", "label")).alias("one"))
+    second = pull.join(least, "ref").filter("label <> one.label").groupBy("ref").agg(F.first("one").alias("one"), F.min("pull").alias("next"))
+    asks = F.greatest(F.expr("if(label = one.label, next, one.pull)"), F.expr("floor((18 * a - 7 * n) / 2)"))
+    rows = rows.join(second, "ref").withColumn("most", F.floor((9 * F.col("a") + F.col("n") - asks) / 18) + 1)
+    held = rows.select("ref", "node", "label", "n", "a", "most", F.explode("hashes").alias("s"))
+    often = held.groupBy("ref", "s").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("ref", "node").orderBy("often", "s")
+    prefix = held.join(often, ["ref", "s"]).withColumn("at", F.row_number().over(order)).filter("at <= most and often > 1")
+    prefix = checkpointed(prefix.select("ref", "s", "node", "label", "n", "a", "at"))
+    mixed = prefix.groupBy("ref", "s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("ref", "s")
+    left = prefix.join(mixed, ["ref", "s"], "left_semi")
+    right = left.select("ref", "s", F.col("node").alias("dst"), F.col("label").alias("other"), F.col("n").alias("m"), F.col("a").alias("b"), F.col("at").alias("there"))
+    size = "label < other and 5 * n >= 4 * m and 5 * m >= 4 * n"
+    met = left.join(right, ["ref", "s"]).filter(f"{size} and 18 * (1 + least(a - at, b - there)) >= 9 * (a + b) - n - m").withColumnRenamed("node", "src")
+    bound = F.count("*") + F.least(F.first("a") - F.max("at"), F.first("b") - F.max("there"))
+    pairs = met.groupBy("ref", "src", "dst").agg(bound.alias("bound"), F.first(F.expr("9 * (a + b) - n - m")).alias("least"))
+    return pairs.filter("18 * bound >= least").select("src", "dst").union(direct)
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -164,20 +214,20 @@ def groups(docs: DataFrame) -> DataFrame:
 
     state, edges, labels = met.withColumn("label", F.col("node")), None, None
     for n in range(ONE + ALL + 1):
-        if n < ONE + ALL:
+        if n < ONE:
             order = F.struct(F.xxhash64("node", F.lit(n)).alias("h"), "node", "label")
             pivots = state.groupBy("key").agg(F.min(order).alias("p")).select("key", "p")
             pairs = state.join(pivots, "key").filter("label <> p.label").select(F.col("node").alias("src"), "p")
-            if n < ONE:
-                pairs = pairs.groupBy("src").agg(F.min("p").alias("p"))
-            pairs = pairs.select("src", F.col("p.node").alias("dst"))
+            pairs = pairs.groupBy("src").agg(F.min("p").alias("p")).select("src", F.col("p.node").alias("dst"))
+        elif n < ONE + ALL:
+            pairs = state.join(middles(state), "key").filter("label <> p.label").select(F.col("node").alias("src"), F.col("p.node").alias("dst"))
         else:
             mixed = state.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).filter("lo <> hi")
             left = checkpointed(state.join(mixed.select("key", "members"), "key"))
             few = left.filter(F.col("members") <= SMALL)
             right = few.select("key", F.col("node").alias("dst"), F.col("label").alias("other"))
             pairs = few.join(right, "key").filter("label < other").select(F.col("node").alias("src"), "dst")
-            many = left.filter(F.col("members") > SMALL).select("node", "label").distinct()
+            many = left.filter(F.col("members") > SMALL).select("key", "node", "label")
             if not many.isEmpty():
                 pairs = pairs.union(rare_pairs(many, texts))
         if n == 0:
