@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import checkpointed, release, written
-from chronolith.llm.simhash import components, links, majority
+from chronolith.llm.simhash import components, links, majority, narrowed
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -212,7 +212,7 @@ def groups(docs: DataFrame) -> DataFrame:
     texts = written(rows.join(wanted, "t").groupBy("node").agg(F.min("text").alias("text")))
     release(docs.sparkSession)
 
-    state, edges, labels = met.withColumn("label", F.col("node")), None, None
+    state, labels = met.withColumn("label", F.col("node")), None
     for n in range(ONE + ALL + 1):
         if n < ONE:
             order = F.struct(F.xxhash64("node", F.lit(n)).alias("h"), "node", "label")
@@ -233,9 +233,12 @@ def groups(docs: DataFrame) -> DataFrame:
         if n == 0:
             pairs = pairs.union(close)
         new = checkpointed(verified(pairs.distinct(), texts))
-        if new.isEmpty():
+        found = new.count()
+        if not found:
             continue
-        edges = new if edges is None else edges.union(new)
+        edges = narrowed(new, found)
+        if labels is not None:  # what earlier edges connect is in the labels
+            edges = edges.union(labels.select(F.col("node").alias("src"), F.col("label").alias("dst")))
         labels = checkpointed(components(edges))
         state = checkpointed(met.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
         release(docs.sparkSession)

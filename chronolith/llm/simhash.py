@@ -20,13 +20,15 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import checkpointed, release
 
 BITS = 64
 RADIUS = 2
+#: Edges that one task takes while components are found.
+TASK = 100_000
 
 
 def masks() -> list[int]:
@@ -96,32 +98,43 @@ def links(prints: DataFrame) -> DataFrame:
     return edges.filter("src <> dst").distinct()
 
 
+def narrowed(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has ``rows`` rows, in tasks of about TASK rows, if it has more tasks than that. A short edge list thus isn't
+    dealt to every shuffle partition in every round; a long one is."""
+    return df.coalesce(max(1, -(-rows // TASK)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of an edge list reaches.
 
     Alternates large-star and small-star steps until nothing changes; each round ends in a reliable checkpoint, and only a count and a
-    hash of the edges come to the driver. Labels themselves, and nodes without an edge, have no row.
+    hash of the edges come to the driver. A round over at most TASK edges is one task without a shuffle. Labels themselves, and nodes without an edge, have no row.
     """
 
-    def star(pairs: DataFrame, larger: bool) -> DataFrame:
+    def both(pairs: DataFrame, *ways: tuple[str, str]) -> DataFrame:
+        """A row (src, dst) for each of the ways to take a row of pairs."""
+        return pairs.select(F.inline(F.array(*(F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in ways))))
+
+    def star(pairs: DataFrame, larger: bool, few: bool) -> DataFrame:
         if larger:
-            near = pairs.select("src", "dst").union(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+            near = both(pairs, ("src", "dst"), ("dst", "src"))
         else:
             near = pairs.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        least = near.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("root"))
-        moved = near.join(least, "src")
+        if few:
+            moved = near.withColumn("root", F.least(F.min("dst").over(Window.partitionBy("src")), "src"))
+        else:  # a node may have more edges than one task should take
+            moved = near.join(near.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("root")), "src")
         if larger:
             return moved.filter("dst > src").select(F.col("dst").alias("src"), F.col("root").alias("dst")).distinct()
-        inner = moved.select(F.col("dst").alias("src"), F.col("root").alias("dst"))
-        outer = least.select("src", F.col("root").alias("dst"))
-        return inner.union(outer).filter("src <> dst").distinct()
+        return both(moved, ("dst", "root"), ("src", "root")).filter("src <> dst").distinct()
 
     state, before = checkpointed(edges), None
     while True:
         now = tuple(state.agg(F.count("*"), F.sum(F.hash("src", "dst").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break
-        state, before = checkpointed(star(star(state, True), False)), now
+        few = now[0] <= TASK
+        state, before = checkpointed(star(star(narrowed(state, now[0]), True, few), False, few)), now
         release(edges.sparkSession)
     return state.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("label"))
 

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from chronolith.llm import simhash
@@ -61,3 +62,35 @@ def test_links_come_out_of_the_tables(spark, monkeypatch):
     assert simhash.links(df).count() == 1
     monkeypatch.setattr(simhash, "masks", lambda: whole[:1])
     assert simhash.links(df).count() == 0  # without the tables that mask both bits out there is no pair
+
+
+@pytest.mark.parametrize("task", [30, 100_000])
+def test_components_of_long_and_short_edge_lists(spark, monkeypatch, task):
+    monkeypatch.setattr(simhash, "TASK", task)
+    rnd = random.Random(12)
+    pairs = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(rnd.randrange(-300, -200), rnd.randrange(-300, -200)) for _ in range(80)]
+    rnd.shuffle(pairs)
+    root = {n: n for p in pairs for n in p}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = simhash.components(spark.createDataFrame(pairs, "src long, dst long"))
+    assert sorted(map(tuple, got.collect())) == sorted((n, find(n)) for n in root if find(n) != n)
+
+
+def test_rounds_over_few_edges_are_single_tasks(spark, monkeypatch):
+    rounds, checkpointed = [], simhash.checkpointed
+    monkeypatch.setattr(simhash, "checkpointed", lambda df: (rounds.append(checkpointed(df)), rounds[-1])[1])
+    edges = spark.range(500).selectExpr("id src", "id div 7 dst").filter("src <> dst").repartition(9, "src")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        simhash.components(edges).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(rounds) > 2 and all(r.rdd.getNumPartitions() == 1 for r in rounds[1:])  # one for each shuffle partition before
