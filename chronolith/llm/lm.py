@@ -10,9 +10,9 @@ and stand in each chunk in an order of their own, so the model does not depend o
 a round train from its common start, one epoch over all tokens in ROUNDS rounds, and their parameters are averaged,
 weighted by tokens, up a tree of bounded fan-in.
 
-Scoring carries the state over the windows of a document, so the log-likelihood is that of the whole document. Word
-counts come from all training documents: partitions send their counts to buckets of words, and each chunk of documents
-asks the buckets for the counts of the words that it holds.
+Scoring carries the state over the windows of a document, so the log-likelihood is that of the whole document. Texts are
+split once: a chunk's documents go on as codes of its distinct words. Word counts come from all training documents: chunks
+send their words with their counts to buckets of words, which add them up and answer each chunk.
 """
 
 from __future__ import annotations
@@ -20,21 +20,24 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections import Counter
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import checkpointed, chunked, chunks_for, fold, ordered, text_bytes
+from chronolith.llm.common import chunked, chunks_for, fold, ordered, text_bytes, written
 
 #: Sizes of the model (fixed, whatever the input): words with the unknown one and the end, units of the state.
 WORDS, UNITS = 2048, 24
 UNKNOWN, END = 0, 1
 #: Training: tokens of a window; documents side by side; rounds of averaging; blobs added up at once.
 WINDOW, LANES, ROUNDS, FAN = 32, 128, 2, 16
+#: So that arrays stay in a core's cache: tokens of a block of the classes' softmax, steps back at once, parameters moved
+#: at once.
+BLOCK, BACK, MOVED = 512, 4, 1 << 14
 #: Bytes of text of a chunk, and of the text behind a bucket of words.
 CHUNK, BUCKET = 16 << 20, 64 << 20
 
@@ -54,65 +57,93 @@ def start(words: int, borders: np.ndarray, units: int = UNITS, seed: int = 5) ->
     return {"x": draw(words, 3 * units), "u": draw(3 * units, units), "b": zeros(3 * units), "c": draw(n, units), "cb": zeros(n), "w": draw(words, units), "wb": zeros(words)}
 
 
-def step(u, a, h):
-    """One GRU step of states h (units, lanes) on inputs a (3 units, lanes): the next states, both gates, the proposal
-    and the state's part of it."""
-    n, g = len(h), u @ h
-    gates = a[: 2 * n] + g[: 2 * n]
-    np.negative(gates, out=gates), np.exp(gates, out=gates)
+def step(u, a, h, into=None):
+    """One GRU step of states h (units, lanes) on inputs a (3 units, lanes): the next states, the gates (one less the
+    first, and the second), the proposal and u @ h; into holds arrays for them."""
+    n = len(h)
+    out, gates, new, g = into or (np.empty(shape, u.dtype) for shape in (h.shape, (2 * n, h.shape[1]), h.shape, (3 * n, h.shape[1])))
+    np.dot(u, h, out=g)
+    np.add(a[: 2 * n], g[: 2 * n], out=gates)
+    np.negative(gates[n:], out=gates[n:])
+    np.exp(gates, out=gates)
     gates += 1
     np.reciprocal(gates, out=gates)
-    z, r = gates[:n], gates[n:]
-    new = r * g[2 * n :]
+    np.multiply(gates[n:], g[2 * n :], out=new)
     new += a[2 * n :]
     np.tanh(new, out=new)
-    out = h - new
-    out *= z
-    out += new
-    return out, z, r, new, g[2 * n :]
+    np.subtract(new, h, out=out)
+    out *= gates[:n]
+    out += h
+    return out, gates, new, g
 
 
-def chosen(x, at, differentiate):
-    """Log softmax of each column of x at one row; with differentiate, x becomes the gradient of its negative."""
-    columns = np.arange(x.shape[1])
-    x -= x.max(0)
-    picked = x[at, columns]
+def small(p, h) -> bool:
+    """Whether p @ h.T stays where float32 holds its exponentials and the sums of some thousand of them."""
+    return max(1.0, float(h.max()), -float(h.min())) * float(np.abs(p).sum(1).max()) < 75
+
+
+def chosen(x, at, total, lift, differentiate):
+    """The elements of x at flat places, one a column, less what lift takes off a column; x becomes its exponential and
+    total the sums of its columns. With differentiate, x is then the gradient of the negative log softmax there."""
+    if lift:
+        x -= x.max(0)
+    flat = x.reshape(-1)
+    picked = flat.take(at)
     np.exp(x, out=x)
-    total = x.sum(0)
+    np.add.reduce(x, 0, out=total)
     if differentiate:
         x /= total
-        x[at, columns] -= 1
-    return picked - np.log(total)
+        flat[at] -= 1
+    return picked
 
 
 def outputs(p, borders, h, words, grads=None):
     """Natural log probability of each word after each state, h (tokens, units); with grads, also adds the loss's
-    gradients and returns that of the states."""
+    gradients and returns that of the states. A last unit that is 1 meets the biases."""
+    size, n = h.shape
+    if not size:
+        return np.zeros(0, h.dtype) if grads is None else (np.zeros(0, h.dtype), np.zeros_like(h))
+    one = np.empty((size, n + 1), h.dtype)
+    one[:, :n], one[:, n] = h, 1
+    top, low = np.column_stack((p["c"], p["cb"])), np.column_stack((p["w"], p["wb"]))
     cls = np.repeat(np.arange(len(borders) - 1, dtype=np.int16), np.diff(borders))[words]
-    d = p["c"] @ h.T
-    d += p["cb"][:, None]
-    out = chosen(d, cls, grads is not None)
-    if grads is not None:
-        grads["c"] += d @ h
-        grads["cb"] += d.sum(1)
-        dh = d.T @ p["c"]
+    places, total, lift, differentiate = np.arange(size), np.empty(size, h.dtype), not small(top, one), grads is not None
+    out, dh = np.empty(size, h.dtype), np.empty(h.shape if differentiate else 0, h.dtype)
+    for i in range(0, size, BLOCK):
+        some = one[i : i + BLOCK]
+        d = np.dot(top, some.T)
+        out[i : i + BLOCK] = chosen(d, cls[i : i + BLOCK] * np.int64(len(some)) + places[: len(some)], total[i : i + BLOCK], lift, differentiate)
+        if differentiate:
+            more = d @ some
+            grads["c"] += more[:, :n]
+            grads["cb"] += more[:, n]
+            np.dot(d.T, p["c"], out=dh[i : i + BLOCK])
+    out -= np.log(total)
     order = np.argsort(cls, kind="stable")
-    own_h, own_words, logs = h[order], words[order], out[order]
-    own_dh = np.zeros_like(own_h)
-    cuts = np.searchsorted(cls[order], np.arange(len(borders)))
+    own, own_cls = one.take(order, 0), cls[order]
+    cuts = np.searchsorted(own_cls, np.arange(len(borders)))
+    # place of each word in its class's block of (words, tokens)
+    at = (words[order] - borders[own_cls]) * np.diff(cuts)[own_cls] + places - cuts[own_cls]
+    logs, lift = np.zeros(size, h.dtype), not small(low, one)
+    total[:] = 1
+    if differentiate:
+        own_dh, more = np.zeros_like(h), np.zeros_like(low)
     for k in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(borders) > 1)).tolist():
         i, j, a, b = cuts[k], cuts[k + 1], borders[k], borders[k + 1]
-        d = p["w"][a:b] @ own_h[i:j].T
-        d += p["wb"][a:b, None]
-        logs[i:j] += chosen(d, own_words[i:j] - a, grads is not None)
-        if grads is not None:
-            grads["w"][a:b] += d @ own_h[i:j]
-            grads["wb"][a:b] += d.sum(1)
+        d = np.dot(low[a:b], own[i:j].T)
+        logs[i:j] = chosen(d, at[i:j], total[i:j], lift, differentiate)
+        if differentiate:
+            np.dot(d, own[i:j], out=more[a:b])
             np.dot(d.T, p["w"][a:b], out=own_dh[i:j])
-    out[order] = logs
+    logs -= np.log(total)
+    back = np.empty_like(order)
+    back[order] = places
+    out += logs.take(back)
     if grads is None:
         return out
-    dh[order] += own_dh
+    grads["w"] += more[:, :n]
+    grads["wb"] += more[:, n]
+    dh += own_dh.take(back, 0)
     return out, dh
 
 
@@ -121,23 +152,46 @@ def flat(states):
     return np.ascontiguousarray(states.transpose(0, 2, 1)).reshape(-1, states.shape[1])
 
 
-def forward(p, inputs, h):
-    """States (time, units, lanes) after each input of a window (time, lanes), those before, and what each step kept.
+def forward(p, inputs, h, keep=True):
+    """States (time, units, lanes) after each input of a window (time, lanes), those before, and what each step kept
+    (the last step alone, unless all are kept).
 
     A document starts, from the zero state, behind every END.
     """
-    steps, lanes = inputs.shape
-    a = p["x"][inputs.ravel()] + p["b"]
-    a = np.ascontiguousarray(a.reshape(steps, lanes, -1).transpose(0, 2, 1))
-    states, befores, kept = np.empty((steps, *h.shape), h.dtype), np.empty((steps, *h.shape), h.dtype), []
-    for t, fresh in enumerate(inputs == END):
-        befores[t] = h
-        if fresh.any():
-            befores[t][:, fresh] = 0
-        states[t], *own = step(p["u"], a[t], befores[t])
+    (steps, lanes), n, every, kind = inputs.shape, len(h), inputs.shape[0] if keep else 1, p["u"].dtype
+    states, befores, gates, new, kept = (np.empty((k, m * n, lanes), kind) for k, m in ((steps, 1), (every, 1), (every, 2), (every, 1), (every, 1)))
+    a, g, bias, fresh = np.empty((3 * n, lanes), kind), np.empty((3 * n, lanes), kind), p["b"][:, None], inputs == END
+    some = fresh.any(1).tolist()
+    for t in range(steps):
+        i = t % every
+        befores[i] = h
+        if some[t]:
+            befores[i][:, fresh[t]] = 0
         h = states[t]
-        kept.append(own)
-    return states, befores, kept
+        np.add(p["x"].take(inputs[t], 0).T, bias, out=a)
+        step(p["u"], a, befores[i], (h, gates[i], new[i], g))
+        if keep:
+            kept[i] = g[2 * n :]
+    return states, befores, (gates, new, kept)
+
+
+def sums_by(ids, rows, words, few=16):
+    """The ids below words that occur and the sums of their rows: ids of many rows one by one, others side by side."""
+    order = np.argsort(ids.astype(np.int16 if words < 1 << 15 else np.int32), kind="stable")
+    own = ids[order]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    n = np.diff(first, append=len(own))
+    turn = np.argsort(-n, kind="stable")
+    first, n = first[turn], n[turn]
+    sums, many = rows.take(order[first], 0), int((n > few).sum())
+    for k in range(many):
+        np.add.reduce(rows.take(order[first[k] : first[k] + n[k]], 0), 0, out=sums[k])
+    for j in range(1, few):
+        more = int(np.searchsorted(-n, -j))
+        if more <= many:
+            break
+        sums[many:more] += rows.take(order[first[many:more] + j], 0)
+    return own[first], sums
 
 
 def window_gradients(p, borders, inputs, words, h, valid=None):
@@ -146,37 +200,48 @@ def window_gradients(p, borders, inputs, words, h, valid=None):
     Places that are not valid hold no token.
     """
     (steps, lanes), n = inputs.shape, len(h)
-    states, befores, kept = forward(p, inputs, h)
+    states, befores, (gates, new, g) = forward(p, inputs, h)
     grads = {k: np.zeros_like(v) for k, v in p.items()}
-    at = slice(None) if valid is None else np.flatnonzero(valid.ravel())
     after = flat(states)
-    back = np.zeros_like(after)
-    logp, back[at] = outputs(p, borders, after[at], words.ravel()[at], grads)
+    if valid is None:
+        logp, back = outputs(p, borders, after, words.ravel(), grads)
+    else:
+        at, back = np.flatnonzero(valid.ravel()), np.zeros_like(after)
+        logp, back[at] = outputs(p, borders, after[at], words.ravel()[at], grads)
     back = np.ascontiguousarray(back.reshape(steps, lanes, n).transpose(0, 2, 1))
-    da, db, dh = np.empty((steps, 3 * n, lanes), h.dtype), np.empty((steps, 3 * n, lanes), h.dtype), np.zeros_like(h)
-    down = np.ascontiguousarray(p["u"].T)
-    for t in range(steps - 1, -1, -1):
-        z, r, new, g = kept[t]
-        dz, dr, dn = da[t, :n], da[t, n : 2 * n], da[t, 2 * n :]
-        dh += back[t]
-        through = dh * z
-        rest = dh - through
-        dn[:] = rest * (1 - new * new)
-        dz[:] = rest * z * (befores[t] - new)
-        dr[:] = dn * g * r * (1 - r)
-        db[t, : 2 * n] = da[t, : 2 * n]
-        np.multiply(dn, r, out=db[t, 2 * n :])
-        dh = down @ db[t] + through
-        fresh = inputs[t] == END
-        if fresh.any():
-            dh[:, fresh] = 0
-    grads["b"] += da.sum((0, 2))
-    grads["u"] += np.matmul(db, befores.transpose(0, 2, 1)).sum(0)
-    ids = inputs.ravel()
-    order = np.argsort(ids.astype(np.int16 if len(p["x"]) < 1 << 15 else np.int32), kind="stable")
-    own = ids[order]
-    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    grads["x"][own[first]] = np.add.reduceat(flat(da)[order], first)
+    down, fresh = np.ascontiguousarray(p["u"].T), inputs == END
+    dh, some, rows = np.zeros((n, lanes), h.dtype), fresh.any(1).tolist(), np.empty((steps, lanes, 3 * n), h.dtype)
+    held = np.empty((BACK, 5, n, lanes), h.dtype)
+    for b in range(steps, 0, -BACK):
+        a = max(0, b - BACK)
+        # what a state's gradient is multiplied by for: both gates' inputs, the proposal's part of u @ h, the state before
+        # (without u), the proposal's input
+        by, keeps, r = held[: b - a], gates[a:b, :n], gates[a:b, n:]
+        up = by.reshape(b - a, 5 * n, lanes)
+        np.subtract(1, keeps, out=by[:, 3])
+        np.subtract(befores[a:b], new[a:b], out=by[:, 0])
+        by[:, 0] *= by[:, 3]
+        by[:, 0] *= keeps
+        np.multiply(new[a:b], new[a:b], out=by[:, 4])
+        np.subtract(1, by[:, 4], out=by[:, 4])
+        by[:, 4] *= keeps
+        np.multiply(by[:, 4], r, out=by[:, 2])
+        np.subtract(1, r, out=by[:, 1])
+        by[:, 1] *= by[:, 2]
+        by[:, 1] *= g[a:b]
+        for t in range(b - 1, a - 1, -1):
+            back[t] += dh
+            by[t - a] *= back[t]
+            np.dot(down, up[t - a, : 3 * n], out=dh)
+            dh += by[t - a, 3]
+            if some[t]:
+                dh[:, fresh[t]] = 0
+        grads["u"] += np.matmul(up[:, : 3 * n], befores[a:b].transpose(0, 2, 1)).sum(0)
+        rows[a:b, :, : 2 * n] = up[:, : 2 * n].transpose(0, 2, 1)
+        rows[a:b, :, 2 * n :] = by[:, 4].transpose(0, 2, 1)
+    own, sums = sums_by(inputs.ravel(), rows.reshape(-1, 3 * n), len(p["x"]))
+    grads["x"][own] = sums
+    grads["b"] += sums.sum(0)
     return -float(logp.sum()), grads, states[-1]
 
 
@@ -185,13 +250,26 @@ class Adam:
         self.m, self.v, self.t, self.rate = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0, rate
 
     def apply(self, p, grads, scale):
+        """Moves the parameters; overwrites grads. The means are kept as sums: ten times m, fifty times v."""
         self.t += 1
-        rate = self.rate * math.sqrt(1 - 0.98**self.t) / (1 - 0.9**self.t)
-        for k, g in grads.items():
-            g = np.clip(g * scale, -5, 5)
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.02 * (g * g - self.v[k])
-            p[k] -= rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-6)
+        rate = self.rate * 0.1 / math.sqrt(0.02) * math.sqrt(1 - 0.98**self.t) / (1 - 0.9**self.t)
+        for k in grads:
+            whole = [x.reshape(-1) for x in (p[k], grads[k], self.m[k], self.v[k])]
+            for at in range(0, len(whole[0]), MOVED):
+                x, g, m, v = (y[at : at + MOVED] for y in whole)
+                g *= scale
+                if max(g.max(), -g.min()) > 5:
+                    np.clip(g, -5, 5, out=g)
+                m *= 0.9
+                m += g
+                g *= g
+                v *= 0.98
+                v += g
+                np.sqrt(v, out=g)
+                g += 1e-6 / math.sqrt(0.02)
+                np.divide(m, g, out=g)
+                g *= rate
+                x -= g
 
 
 def dealt(documents: list[np.ndarray], lanes: int = LANES) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
@@ -246,9 +324,16 @@ def train(p, borders, documents: list[np.ndarray], optimiser: Adam) -> int:
     return done
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words with A-Z lower-cased; the end is not among them."""
-    return (text or b"").lower().split()
+def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Codes of the words of binary texts, A-Z lower-cased, with 0 behind each text for its end; where each text's codes
+    begin (and one past the last); the distinct words, the first with code 1. A null text has the end alone."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null(b"").view(pa.string())))
+    words = split.values
+    real = pc.binary_length(words).to_numpy() > 0  # white space at an end leaves an empty word there
+    found = words.filter(pa.array(real)).view(pa.binary()).dictionary_encode()
+    ends = np.concatenate(([0], np.cumsum(real)))[split.offsets.to_numpy()]
+    codes = np.insert(found.indices.to_numpy() + np.int32(1), ends[1:], np.int32(0))
+    return codes, ends + np.arange(len(ends)), found.dictionary.to_pylist()
 
 
 def log_likelihoods(p, borders, documents: list[np.ndarray], lanes: int = LANES) -> np.ndarray:
@@ -259,10 +344,17 @@ def log_likelihoods(p, borders, documents: list[np.ndarray], lanes: int = LANES)
     turn = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
     words, sizes, own = dealt([documents[i] for i in turn], lanes)
     h, logs = np.zeros((p["u"].shape[1], words.shape[1]), np.float32), np.zeros(words.shape)
+    held, n = [], 0
     for a, inputs, some, _ in windows(words, sizes):
-        states, _, _ = forward(p, inputs, h[:, : some.shape[1]])
-        logs[a : a + len(some), : some.shape[1]] = outputs(p, borders, flat(states), some.ravel()).reshape(some.shape)
+        states, _, _ = forward(p, inputs, h[:, : some.shape[1]], keep=False)
         h = states[-1]
+        held.append((logs[a : a + len(some), : some.shape[1]], some, flat(states)))
+        n += some.size
+        if n >= LANES * WINDOW or a + WINDOW >= len(words):  # windows of few lanes, at the end, meet the softmax together
+            found = outputs(p, borders, np.concatenate([x for *_, x in held]), np.concatenate([x.ravel() for _, x, _ in held]))
+            for (at, x, _), got in zip(held, np.split(found, np.cumsum([x.size for _, x, _ in held])[:-1])):
+                at[:] = got.reshape(x.shape)
+            held, n = [], 0
     for k, o in enumerate(own):
         mine = [turn[i] for i in o]
         first = np.cumsum([0, *(len(documents[i]) for i in mine)])[:-1]
@@ -270,9 +362,19 @@ def log_likelihoods(p, borders, documents: list[np.ndarray], lanes: int = LANES)
     return total
 
 
-# Word counts: blobs of words, kept in buckets of a hash of the word.
+# Coded chunks: texts are split into words once, and go on as numbers of their chunk's words.
+
+CODED = "chunk int, place int, doc_id long, trains boolean, words binary, codes binary, counts binary"
+COUNTS = "bucket int, chunk int, words binary, counts binary"
+
 
-COUNTS = "bucket int, words binary, counts binary"
+def _packed(x: np.ndarray) -> bytes:
+    """Integers as byte planes, which files compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _unpacked(data: bytes, dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
 def _by_bucket(words: list[bytes], buckets: int) -> list[tuple[int, np.ndarray]]:
@@ -283,53 +385,78 @@ def _by_bucket(words: list[bytes], buckets: int) -> list[tuple[int, np.ndarray]]
     return [(b, order[cuts[b] : cuts[b + 1]]) for b in range(buckets) if cuts[b] < cuts[b + 1]]
 
 
-def _joined(words: list[bytes], at: np.ndarray) -> bytes:
-    return b"\n".join(map(words.__getitem__, at.tolist()))
+def coded(docs: DataFrame, chunks: int, buckets: int = 1) -> DataFrame:
+    """CODED: the documents of each chunk by place, as codes of their tokens, with 0 for the end; and at place -1 - b the
+    chunk's distinct words of bucket b with their codes and their counts in the chunk's documents that train."""
+    rows = chunked(docs, chunks)
 
+    def code(part: pa.Table) -> pa.Table:
+        part = ordered(part)
+        trains = [d is None or zlib.crc32(str(d).encode()) % 5 != 1 for d in part["doc_id"].to_pylist()]
+        codes, cuts, words = numbered(pa.concat_arrays(part["text"].chunks))
+        counts = np.bincount(codes[np.repeat(trains, np.diff(cuts))], minlength=len(words) + 1)
+        codes = np.split(codes, cuts[1:-1])
+        got, n = _by_bucket(words, buckets), len(codes)
+        return pa.table(
+            {
+                "chunk": pa.array([part["chunk"][0].as_py()] * (n + len(got)), pa.int32()),
+                "place": pa.array([*range(n), *(-1 - b for b, _ in got)], pa.int32()),
+                "doc_id": pa.array([*part["doc_id"].to_pylist(), *[None] * len(got)], pa.int64()),
+                "trains": pa.array([*trains, *[None] * len(got)], pa.bool_()),
+                "words": pa.array([*[None] * n, *(b"\n".join(map(words.__getitem__, at.tolist())) for _, at in got)], pa.binary()),
+                "codes": pa.array([*map(_packed, codes), *(_packed((at + 1).astype(np.int32)) for _, at in got)], pa.binary()),
+                "counts": pa.array([*[None] * n, *(_packed(counts[at + 1]) for _, at in got)], pa.binary()),
+            }
+        )
 
-def count_words(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, words, counts): all distinct tokens of the documents that train, without the end, and their counts."""
-    rows = docs.select(F.col("text").cast("binary").alias("text"), (F.coalesce(fold(), F.lit(-1)) != 1).alias("trains"))
+    return rows.groupBy("chunk").applyInArrow(code, CODED)
 
-    def run(batches):
-        counts: Counter = Counter()
 
-        def out():
-            words, numbers = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
-            for b, at in _by_bucket(words, buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_joined(words, at)]), pa.array([numbers[at].tobytes()])], names=["bucket", "words", "counts"])
-            counts.clear()
+def _of_chunk(part: pa.Table, value) -> tuple[pa.Table, np.ndarray]:
+    """The documents of a coded chunk by their place, and for each code what value gives for the words (0 for the end)."""
+    part = part.sort_by("place")
+    places = part["place"].to_numpy()
+    least = int(np.searchsorted(places, 0))
+    rows = [(-1 - k, words.split(b"\n"), _unpacked(codes, np.int32)) for k, words, codes in zip(places[:least].tolist(), part["words"][:least].to_pylist(), part["codes"][:least].to_pylist())]
+    out = np.zeros(1 + sum(len(at) for _, _, at in rows), np.int64)
+    for bucket, words, at in rows:
+        out[at] = value(bucket, words)
+    return part.slice(least), out
 
-        for batch in batches:
-            for text, trains in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if trains:
-                    counts.update(tokens(text))
-                    if len(counts) > 1_000_000:
-                        yield from out()
-        yield from out()
+
+def count_words(rows: DataFrame) -> DataFrame:
+    """COUNTS of coded chunks. Rows without a chunk hold the distinct words of a bucket with their counts in all documents
+    that train; others hold, for a chunk's words of a bucket in their order there, those same counts."""
+    asked = rows.filter("place < 0").select((-1 - F.col("place")).alias("bucket"), "chunk", "words", "counts")
 
     def add(part: pa.Table) -> pa.Table:
         counts: dict[bytes, int] = {}
-        for ws, ns in zip(part["words"].to_pylist(), part["counts"].to_pylist()):
-            for w, n in zip(ws.split(b"\n"), np.frombuffer(ns, np.int64).tolist()):
-                counts[w] = counts.get(w, 0) + n
-        ws = sorted(counts)
-        got = np.array([counts[w] for w in ws], np.int64)
-        return pa.table({"bucket": part["bucket"].slice(0, 1), "words": pa.array([b"\n".join(ws)]), "counts": pa.array([got.tobytes()])})
+        for ws, ns in zip(part["words"], part["counts"]):
+            for w, n in zip(ws.as_py().split(b"\n"), _unpacked(ns.as_py(), np.int64).tolist()):
+                if n:
+                    counts[w] = counts.get(w, 0) + n
+        told = [_packed(np.fromiter(map(counts.get, (words := ws.as_py().split(b"\n")), repeat(0)), np.int64, len(words))) for ws in part["words"]]
+        chunk, words = part["chunk"].to_pylist(), [None] * len(told)
+        if counts:
+            ws = sorted(counts)
+            chunk, words = [*chunk, None], [*words, b"\n".join(ws)]
+            told.append(_packed(np.array([counts[w] for w in ws], np.int64)))
+        return pa.table({"bucket": pa.array([part["bucket"][0].as_py()] * len(told), pa.int32()), "chunk": pa.array(chunk, pa.int32()), "words": pa.array(words, pa.binary()), "counts": pa.array(told, pa.binary())})
 
-    return rows.mapInArrow(run, COUNTS).groupBy("bucket").applyInArrow(add, COUNTS)
+    return asked.groupBy("bucket").applyInArrow(add, COUNTS)
 
 
 def vocabulary(counts: DataFrame, size: int) -> tuple[list[tuple[bytes, int]], int, int]:
     """The commonest words with their counts, the number of all tokens and of distinct ones, without the end."""
+    counts = counts.filter("chunk is null").select("words", "counts")
 
     def bins(ns):
         return (np.log2(ns) * 8).astype(np.int64)
 
     def spread(batches):
         for batch in batches:
-            for ns in batch.column(2).to_pylist():
-                ns = np.frombuffer(ns, np.int64)
+            for ns in batch.column(1).to_pylist():
+                ns = _unpacked(ns, np.int64)
                 label, n = np.unique(bins(ns), return_counts=True)
                 sums = np.bincount(np.searchsorted(label, bins(ns)), ns).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(n), pa.array(sums)], names=["bin", "n", "all"])
@@ -344,8 +471,8 @@ def vocabulary(counts: DataFrame, size: int) -> tuple[list[tuple[bytes, int]], i
 
     def common(batches):
         for batch in batches:
-            for ws, ns in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                ns = np.frombuffer(ns, np.int64)
+            for ws, ns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ns = _unpacked(ns, np.int64)
                 some = np.flatnonzero(bins(ns) >= least)
                 if len(some):
                     ws = ws.split(b"\n")
@@ -372,32 +499,36 @@ def averaged(trained: DataFrame, blobs: int) -> np.ndarray | None:
 
 def fit(docs: DataFrame, known: list[tuple[bytes, int]], n_tokens: int, n_ends: int, chunks: int) -> tuple[dict, np.ndarray]:
     """Parameters and class borders, trained once on every token of every training document."""
+    return fit_coded(coded(docs, chunks), known, n_tokens, n_ends, chunks)
+
+
+def fit_coded(rows: DataFrame, known: list[tuple[bytes, int]], n_tokens: int, n_ends: int, chunks: int) -> tuple[dict, np.ndarray]:
     common = np.array([n for _, n in known], np.float64)
     counts = np.concatenate(([max(1.0, n_tokens - common.sum()), max(1.0, n_ends)], common))
     borders = classes(counts)
-    sc = docs.sparkSession.sparkContext
+    sc = rows.sparkSession.sparkContext
     params = start(len(counts), borders)
     params["cb"] = np.log(np.add.reduceat(counts, borders[:-1]) / counts.sum()).astype(np.float32)
     params["wb"] = np.log(counts / np.add.reduceat(counts, borders[:-1])[np.searchsorted(borders, np.arange(len(counts)), "right") - 1]).astype(np.float32)
     vocab = sc.broadcast({w: i + 2 for i, (w, _) in enumerate(known)})
-    rows = chunked(docs.filter(F.coalesce(fold(), F.lit(-1)) != 1), chunks)
+    rows = rows.filter("place < 0 or trains")
 
     def trainer(sent):
         def run(part: pa.Table) -> pa.Table:
-            p, look = {k: v.copy() for k, v in sent.value.items()}, vocab.value
-            documents = []
-            for text in ordered(part)["text"]:
-                own = tokens(text.as_py())
-                documents.append(np.append(np.fromiter(map(look.get, own, repeat(UNKNOWN)), np.int32, len(own)), np.int32(END)))
+            p, look, chunk = {k: v.copy() for k, v in sent.value.items()}, vocab.value, part["chunk"][0].as_py()
+            part, model = _of_chunk(part, lambda _, words: np.fromiter(map(look.get, words, repeat(UNKNOWN)), np.int32, len(words)))
+            model[0] = END
+            model = model.astype(np.int32)
+            documents = [model[_unpacked(codes, np.int32)] for codes in part["codes"].to_pylist()]
             done = train(p, borders, documents, Adam(p))
             whole = np.concatenate([p[k].ravel() for k in sorted(p)]).astype(np.float64) * done
-            return pa.table({"chunk": part["chunk"].slice(0, 1), "weight": pa.array([float(done)]), "sum": pa.array([whole.tobytes()], pa.binary())})
+            return pa.table({"chunk": pa.array([chunk], pa.int32()), "weight": pa.array([float(done)]), "sum": pa.array([whole.tobytes()], pa.binary())})
 
         return run
 
     for turn in range(ROUNDS):
         own = rows.filter(F.col("chunk") % ROUNDS == turn).groupBy("chunk")
-        trained = own.applyInArrow(trainer(sc.broadcast(params)), "chunk int, weight double, sum binary")
+        trained = own.applyInArrow(trainer(sc.broadcast(params)), "chunk int, weight double, sum binary").filter("weight > 0")
         mean = averaged(trained, chunks)
         if mean is not None:
             parts = np.split(mean, np.cumsum([params[k].size for k in sorted(params)])[:-1])
@@ -417,59 +548,35 @@ def score(docs: DataFrame, words: int = WORDS) -> DataFrame:
     docs = docs.select("doc_id", "text")
     size = text_bytes(docs)
     chunks, buckets = chunks_for(size, CHUNK), max(8, -(-size // BUCKET))
-    counts = checkpointed(count_words(docs, buckets))
+    rows = written(coded(docs, chunks, buckets))
+    counts = written(count_words(rows))
     n_ends = docs.filter(F.coalesce(fold(), F.lit(-1)) != 1).count()
     known, n_words, n_distinct = vocabulary(counts, words - 2)
-    params, borders = fit(docs, known, n_words, n_ends, chunks)
+    params, borders = fit_coded(rows, known, n_words, n_ends, chunks)
     n_all, v_all = n_words + n_ends, n_distinct + (n_ends > 0)
     rare_n, rare_v = n_words - sum(n for _, n in known), n_distinct - len(known)
     sent = spark.sparkContext.broadcast((params, borders, {w: i + 2 for i, (w, _) in enumerate(known)}))
-    rows = chunked(docs, chunks)
-
-    def ask(part: pa.Table) -> pa.Table:
-        held: set[bytes] = set()
-        for text in part["text"].to_pylist():
-            held.update(tokens(text))
-        words = list(held)
-        got = _by_bucket(words, buckets)
-        chunk = part["chunk"][0].as_py()
-        return pa.table({"bucket": pa.array([b for b, _ in got], pa.int32()), "chunk": pa.array([chunk] * len(got), pa.int32()), "words": pa.array([_joined(words, at) for _, at in got], pa.binary())})
-
-    def answer(asked: pa.Table, kept: pa.Table) -> pa.Table:
-        look = {}
-        for ws, ns in zip(kept["words"].to_pylist(), kept["counts"].to_pylist()):
-            look.update(zip(ws.split(b"\n"), np.frombuffer(ns, np.int64).tolist()))
-        out = [np.fromiter(map(look.get, ws.split(b"\n"), repeat(0)), np.int64) for ws in asked["words"].to_pylist()]
-        return pa.table({"chunk": asked["chunk"], "words": asked["words"], "counts": pa.array([x.tobytes() for x in out], pa.binary())})
 
     def finish(part: pa.Table, told: pa.Table) -> pa.Table:
-        part, (p, cuts, ids) = ordered(part), sent.value
+        p, cuts, ids = sent.value
         unit = math.log10(n_all + 0.5 * (v_all + 1))
         spread = math.log10(rare_n + 0.5 * (rare_v + 1))
-        words = [w for ws in told["words"].to_pylist() for w in ws.split(b"\n")]
-        counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in told["counts"].to_pylist()), [n_ends]])
-        end, number = len(words), dict(zip(words, range(len(words))))
-        model = np.append(np.fromiter(map(ids.get, words, repeat(UNKNOWN)), np.int32, end), np.int32(END))
-        del words
-        seen, logs, odd = counts > 0, np.log10(counts + 0.5), model == UNKNOWN
-        lists = map(tokens, part["text"].to_pylist())
-        documents, n, n_known, base, rare = [], [], [], [], []
-        for own in lists:
-            at = np.append(np.fromiter(map(number.__getitem__, own), np.int64, len(own)), end)
-            documents.append(model[at])
-            value, strange = logs[at], odd[at]
-            n.append(len(at)), n_known.append(int(seen[at].sum())), base.append(float(value.sum()) - len(at) * unit)
-            rare.append(float(value[strange].sum()) - int(strange.sum()) * spread)
-        total = log_likelihoods(p, cuts, documents) / math.log(10) + np.array(rare)
+        by_bucket = dict(zip(told["bucket"].to_pylist(), told["counts"].to_pylist()))
+        _, counts = _of_chunk(part, lambda bucket, _: _unpacked(by_bucket[bucket], np.int64))
+        part, model = _of_chunk(part, lambda _, words: np.fromiter(map(ids.get, words, repeat(UNKNOWN)), np.int32, len(words)))
+        counts[0], model[0] = n_ends, END
+        model, seen, logs = model.astype(np.int32), (counts > 0).astype(np.int64), np.log10(counts + 0.5)
+        strange = np.where(model == UNKNOWN, logs - spread, 0.0)
+        codes = [_unpacked(x, np.int32) for x in part["codes"].to_pylist()]
+        n = np.array([len(c) for c in codes], np.int64)
+        total = log_likelihoods(p, cuts, [model[c] for c in codes]) / math.log(10)
+        known_n, base, rare = (np.array([x[c].sum() for c in codes]) for x in (seen, logs, strange))
         return pa.table(
-            {"doc_id": part["doc_id"], "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([n_all] * len(n), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(total, pa.float64())}
+            {"doc_id": part["doc_id"], "n_tokens": n, "n_known": known_n, "train_tokens": np.full(len(n), n_all), "base_score": base - n * unit, "score": total + rare}
         )
 
-    by_chunk = rows.groupBy("chunk")
-    asked = by_chunk.applyInArrow(ask, "bucket int, chunk int, words binary")
-    told = asked.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(answer, "chunk int, words binary, counts binary")
     result = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(finish, result)
+    return rows.groupBy("chunk").cogroup(counts.filter("chunk is not null").select("chunk", "bucket", "counts").groupBy("chunk")).applyInArrow(finish, result)
 
 
 def op9_lm(spark, sf_dir) -> DataFrame:

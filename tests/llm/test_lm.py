@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from chronolith.llm import lm
 from tests.llm import plain
@@ -121,3 +122,59 @@ def test_the_mean_of_many_chunks_is_their_weighted_mean(spark):
     df = spark.createDataFrame([(i, w, x.tobytes()) for i, w, x in blobs], "chunk int, weight double, sum binary")
     want = sum(x for _, _, x in blobs) / sum(w for _, w, _ in blobs)
     assert np.allclose(lm.averaged(df, 300), want, atol=1e-12)
+
+
+def test_texts_are_split_once():
+    texts = [b"", None, b" A\x0bb\x0c c\r\nd\x1ce\xc2\x85f\xc2\xa0g \t ", b"\xff\xfe \xc3\x89 X\x00Y a", b"  "]
+    codes, cuts, words = lm.numbered(pa.array(texts, pa.binary()))
+    got = [codes[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])]
+    assert [[words[c - 1] for c in own[:-1]] for own in got] == [(t or b"").lower().split() for t in texts]
+    assert all(own[-1] == 0 and 0 not in own[:-1] for own in got) and len(set(words)) == len(words)
+
+
+def test_buckets_answer_each_chunk(spark):
+    rows = [(i, " ".join(f"w{(i * j) % 11}" for j in range(i % 9))) for i in range(80)]
+    coded = lm.coded(spark.createDataFrame(rows, "doc_id long, text string"), 5, 3).cache()
+    found = lm.count_words(coded).collect()
+    want = Counter(w for d, t in rows if zlib.crc32(str(d).encode()) % 5 != 1 for w in t.encode().split())
+    asked = {(-1 - r.place, r.chunk): bytes(r.words).split(b"\n") for r in coded.filter("place < 0").collect()}
+    numbers = lambda r: lm._unpacked(r.counts, np.int64).tolist()
+    assert {w: n for r in found if r.chunk is None for w, n in zip(bytes(r.words).split(b"\n"), numbers(r))} == want
+    assert {(r.bucket, r.chunk): numbers(r) for r in found if r.chunk is not None} == {k: [want[w] for w in ws] for k, ws in asked.items()}
+    assert coded.filter("place >= 0").count() == len(rows)
+
+
+def test_softmax_of_large_weights_and_many_tokens():
+    p, borders = setup()
+    words = np.random.default_rng(3).integers(0, 40, 2 * lm.BLOCK + 7)
+    h = np.random.default_rng(4).normal(size=(len(words), 5))
+    for scale in (1, 1000):  # beyond what exponentials hold
+        q = {k: v * scale for k, v in p.items()}
+        assert lm.small(np.column_stack((q["w"], q["wb"])), h) == (scale == 1)
+        cls = np.searchsorted(borders, words, "right") - 1
+        top, low = h @ q["c"].T + q["cb"], h @ q["w"].T + q["wb"]
+        want = [top[i, c] - np.logaddexp.reduce(top[i]) + low[i, w] - np.logaddexp.reduce(low[i, borders[c] : borders[c + 1]]) for i, (w, c) in enumerate(zip(words, cls))]
+        assert np.allclose(lm.outputs(q, borders, h, words), want, rtol=1e-9, atol=1e-9)
+
+
+def test_moves_are_adams():
+    rng = np.random.default_rng(6)
+    p = {"x": rng.normal(size=(7, 3))}
+    own, m, v, adam = p["x"].copy(), 0, 0, lm.Adam(p)
+    for t in range(1, 6):
+        g = rng.normal(size=(7, 3)) * 4
+        adam.apply(p, {"x": g.copy()}, 2)
+        g = np.clip(g * 2, -5, 5)
+        m, v = 0.9 * m + 0.1 * g, 0.98 * v + 0.02 * g * g
+        own = own - 0.01 * math.sqrt(1 - 0.98**t) / (1 - 0.9**t) * m / (np.sqrt(v) + 1e-6)
+    assert np.allclose(p["x"], own, rtol=1e-12)
+
+
+def test_rows_are_added_up_by_id():
+    rng = np.random.default_rng(7)
+    for size in (1, 40, 3000):
+        ids, rows = np.minimum(rng.geometric(0.05, size), 60), rng.normal(size=(size, 4))
+        own, sums = lm.sums_by(ids, rows, 61)
+        want = np.zeros((61, 4))
+        np.add.at(want, ids, rows)
+        assert sorted(own) == sorted(set(ids.tolist())) and np.allclose(sums, want[own])
