@@ -394,6 +394,7 @@ def coded(docs: DataFrame, chunks: int, buckets: int = 1) -> DataFrame:
         part = ordered(part)
         trains = [d is None or zlib.crc32(str(d).encode()) % 5 != 1 for d in part["doc_id"].to_pylist()]
         codes, cuts, words = numbered(pa.concat_arrays(part["text"].chunks))
+        pa.default_memory_pool().release_unused()
         counts = np.bincount(codes[np.repeat(trains, np.diff(cuts))], minlength=len(words) + 1)
         codes = np.split(codes, cuts[1:-1])
         got, n = _by_bucket(words, buckets), len(codes)
@@ -503,6 +504,7 @@ def fit(docs: DataFrame, known: list[tuple[bytes, int]], n_tokens: int, n_ends:
 
 
 def fit_coded(rows: DataFrame, known: list[tuple[bytes, int]], n_tokens: int, n_ends: int, chunks: int) -> tuple[dict, np.ndarray]:
+    """fit, of coded chunks."""
     common = np.array([n for _, n in known], np.float64)
     counts = np.concatenate(([max(1.0, n_tokens - common.sum()), max(1.0, n_ends)], common))
     borders = classes(counts)
